@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, language, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": bpe.op8_byte_bpe}
+    return {
+        "op7_revisits": warc.op7_revisits,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op10_byte_cnn": language.op10_byte_cnn,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_revisits": warc.ORACLE_SQL}
