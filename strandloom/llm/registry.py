@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, warc
+from . import bpe, language, lbl, tiling, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_log_bilinear": lbl.op5_log_bilinear,
+        "op6_string_tiling": tiling.op6_string_tiling,
         "op7_revisits": warc.op7_revisits,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op10_byte_cnn": language.op10_byte_cnn,
