@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lbl, tiling, warc
+from . import bpe, jaccard, language, lbl, tiling, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op5_log_bilinear": lbl.op5_log_bilinear,
         "op6_string_tiling": tiling.op6_string_tiling,
         "op7_revisits": warc.op7_revisits,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_revisits": warc.ORACLE_SQL}
+    return {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op7_revisits": warc.ORACLE_SQL}
