@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, cotrain, jaccard, language, lbl, license, tiling, warc
+from . import bpe, chat, chroma, cotrain, jaccard, language, lbl, license, tiling, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chroma": chroma.op1_chroma,
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_license_digests": license.op3_license_digests,
         "op4_cotraining": cotrain.op4_cotraining,
