@@ -1 +1 @@
-
+"""Column helpers: intervals, chains, sequences."""

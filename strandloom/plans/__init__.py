@@ -1 +1 @@
-
+"""Queries: operators applied to tables, with their SQL."""
