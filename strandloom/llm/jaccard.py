@@ -2,10 +2,12 @@
 
 Documents of equal shingle sets are one node. If two sets are similar enough, their prefixes share a
 token under any order of all tokens. The first order is: a hash class first, then how many nodes hold
-the token, then its hash. Tokens of one node match nothing but fill its prefix, so rare wording keeps
+the token, then its hash; so tokens of one class are counted over all nodes. Nodes that share no
+prefix token with another are done. The second order is by how many of the remaining nodes hold a
+token, all tokens counted. Tokens of one node match nothing but fill its prefix, so rare wording keeps
 documents apart that merely share passages. Positions bound the overlap, which drops most of the rest.
-Further orders are seeded hashes; a candidate must share a prefix token under each of them too, before
-the sets themselves are compared.
+The further orders are seeded hashes; a candidate must share a prefix token under each of them too,
+before the sets themselves are compared.
 
 Buckets (tokens) aren't expanded into pairs: first each node is held against one centre of its bucket,
 the one with the fewest words of its own; links found so unite most of a group of near copies, and
@@ -77,12 +79,13 @@ def set_keys(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
-def tokens(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """The tokens of each set that its prefix under the first order can hold: (h, node, n, m0, m1).
+def tokens(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """The tokens of each set that its prefix under a counting order can hold: (h, node, n, m0, m1).
 
     Those of the leading class if they fill the prefix, else all; m0 and m1: how many of either kind.
+    The class holds 1 / 2**bits of all tokens.
     """
-    mask = np.uint64((1 << class_bits(percent)) - 1)
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +109,10 @@ def tokens(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "h long, node long, n int, m0 int, m1 int")
 
 
-def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+def prefixes(tokens: DataFrame, percent: int, bits: int) -> DataFrame:
     """Prefix tokens that more than one node holds: (h, node, n, pos, own); own: the share of a node's tokens that no other node holds."""
     counts = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(counts, "h").withColumn("late", (F.col("h").bitwiseAND((1 << class_bits(percent)) - 1) != 0).cast("int"))
+    held = tokens.join(counts, "h").withColumn("late", (F.col("h").bitwiseAND((1 << bits) - 1) != 0).cast("int"))
     by_node = Window.partitionBy("node")
     ranked = held.withColumns(
         {
@@ -176,8 +179,17 @@ def similar_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     copies = stash(sets.join(copied, ["k1", "k2", "n_shingles"]).where("doc_id <> node").select("doc_id", "node"), "jaccard-copies")
     unique = rows.join(hinted(copies.select("doc_id"), copies.count()), "doc_id", "left_anti")
 
-    held = stash(tokens(unique, k, percent), "jaccard-tokens")
-    prefix = stash(prefixes(held, percent), "jaccard-prefixes")
+    # the first order counts a class of tokens over all documents, the second all tokens of those that
+    # the first could not set apart
+    bits = class_bits(percent)
+    held = stash(tokens(unique, k, percent, bits), "jaccard-tokens")
+    prefix = prefixes(held, percent, bits)
+    met = stash(prefix.select("h", "node"), "jaccard-met")
+    drop_stash(held)
+    shared = met.groupBy("h").count().where("count > 1").select("h")
+    met = stash(met.join(shared, "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "jaccard-met")
+    held = stash(tokens(unique.join(hinted(met, met.count()), "doc_id", "left_semi"), k, percent, 0), "jaccard-tokens")
+    prefix = stash(prefixes(held, percent, 0), "jaccard-prefixes")
     drop_stash(held)
 
     centre = prefix.groupBy("h").agg(F.min(F.struct("own", "node", "n", "pos")).alias("c"), F.count("*").alias("members")).where("members > 1").select("h", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.pos").alias("cp"))
