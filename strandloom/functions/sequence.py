@@ -47,11 +47,12 @@ def polya_motif(upstream: Column, strict: bool = True, least: int = 10, most: in
     """
     n = F.length(upstream)
     starts = F.sequence(F.lit(1), F.greatest(n - 5, F.lit(1)))
-    found = []
-    for motif in STRICT_HEXAMERS if strict else HEXAMERS:
-        hits = F.filter(starts, lambda i, m=motif: (F.substring(upstream, i, F.lit(6)) == m) & (n - i + 1).between(least, most))
-        found.append(F.when(F.size(hits) > 0, F.struct(F.lit(motif).alias("motif"), (n - F.array_min(hits) + 1).alias("dist"))))
-    return F.when(n >= 6, F.coalesce(*found))
+
+    def best(motif: str) -> Column:
+        hits = F.filter(starts, lambda i: (F.substring(upstream, i, F.lit(6)) == motif) & (n - i + 1).between(least, most))
+        return F.when(F.size(hits) > 0, F.struct(F.lit(motif).alias("motif"), (n - F.array_min(hits) + 1).alias("dist")))
+
+    return F.when(n >= 6, F.coalesce(*map(best, STRICT_HEXAMERS if strict else HEXAMERS)))
 
 
 def leading_run(s: Column, base: str = "A") -> Column:

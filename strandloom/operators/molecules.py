@@ -40,18 +40,28 @@ def merge_cell(counts: dict[str, int]) -> dict[str, str]:
 def collapse_umis(reads: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, cell, umi, n): reads of each molecule.
 
-    Counts come first, so what meets in Python is a cell's distinct UMIs within a key, never its reads;
-    cells with one UMI, the most of them, don't go there at all.
+    Counts come first, so what goes to Python, in Arrow batches of many cells, is a cell's distinct UMIs
+    within a key, never its reads; cells with one UMI, the most of them, don't go there at all.
     """
-    counted = exact_counts(reads, keys).withColumn("_many", F.count("*").over(Window.partitionBy(*keys, "cell")))
-    alone = counted.where("_many = 1").drop("_many")
-    several = counted.where("_many > 1").drop("_many")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner = merge_cell(dict(zip(pdf["umi"], pdf["n"], strict=True)))
-        return pdf.assign(umi=pdf["umi"].map(owner)).groupby([*keys, "cell", "umi"], as_index=False, dropna=False)["n"].sum()[list(pdf.columns)]
-
-    return alone.unionByName(several.groupBy(*keys, "cell").applyInPandas(merge, several.schema))
+    cells = exact_counts(reads, keys).groupBy(*keys, "cell").agg(F.collect_list("umi").alias("us"), F.collect_list("n").alias("ns"))
+    alone = cells.where(F.size("us") == 1).select(*keys, "cell", F.col("us")[0].alias("umi"), F.col("ns")[0].alias("n"))
+    merged = cells.where(F.size("us") > 1).select(*keys, "cell", F.explode(_merge_udf()(F.col("us"), F.col("ns"))).alias("m"))
+    return alone.unionByName(merged.select(*keys, "cell", "m.umi", "m.n"))
+
+
+def _merge_udf():
+    @F.pandas_udf("array<struct<umi:string,n:bigint>>")
+    def merge(us: pd.Series, ns: pd.Series) -> pd.Series:
+        out = []
+        for u, n in zip(us, ns, strict=True):
+            counts = dict(zip(u.tolist(), n.tolist(), strict=True))
+            total: dict[str, int] = {}
+            for umi, to in merge_cell(counts).items():
+                total[to] = total.get(to, 0) + counts[umi]
+            out.append([{"umi": k, "n": v} for k, v in total.items()])
+        return pd.Series(out)
+
+    return merge
 
 
 def molecule_weights(reads: DataFrame, keys: list[str]) -> DataFrame:

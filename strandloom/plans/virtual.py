@@ -110,9 +110,12 @@ CTES = {
     "tc": f"SELECT tx_id, gene_id, contig, strand, rank, tss, tts, count(*) AS n, {_CHAIN} AS chain FROM tj GROUP BY ALL",
     "cg": "SELECT contig, strand, chain, n, count(*) AS n_reads, count(DISTINCT (cell, umi)) AS n_mols, count(DISTINCT cell) AS n_cells, min(read_id) AS first_read FROM rd GROUP BY 1, 2, 3, 4",
     "ct": "SELECT contig, strand, chain, string_agg(tx_id, ',' ORDER BY tx_id) AS tx_ids, min(gene_id) AS tx_gene FROM tc GROUP BY 1, 2, 3",
+    "rk": "SELECT read_id, list(k ORDER BY k) AS ks FROM rj GROUP BY 1",
+    "md": "SELECT contig || '|' || strand || '|' || chain AS model_id, *, least(five, three) AS lo, greatest(five, three) AS hi, list_transform(ks, lambda k: k * 1000) AS ds, list_transform(ks, lambda k: k * 1000 + 500) AS acs FROM (SELECT contig, strand, chain, ks, count(*) AS n_reads, count(DISTINCT (cell, umi)) AS n_mols, CASE WHEN strand = '+' THEN min(tss) ELSE max(tss) END AS five, CASE WHEN strand = '+' THEN max(tts) ELSE min(tts) END AS three FROM rd JOIN rk USING (read_id) GROUP BY contig, strand, chain, ks)",
+    "mx": "SELECT *, list_prepend(lo, acs) AS es, list_append(ds, hi) AS ee FROM md",
     "gr": "SELECT cg.*, tx_ids, tx_gene, tx_ids IS NOT NULL AS annotated, n_mols AS support FROM cg LEFT JOIN ct USING (contig, strand, chain)",
 }
-_NEEDS = {"rj": ["od", "ln"], "rx": ["od", "ln"], "r0": ["rj"], "rd": ["r0"], "mr": ["od", "ln"], "tj": ["tx"], "tc": ["tj"], "cg": ["rd"], "ct": ["tc"], "gr": ["cg", "ct"]}
+_NEEDS = {"rj": ["od", "ln"], "rx": ["od", "ln"], "r0": ["rj"], "rd": ["r0"], "mr": ["od", "ln"], "tj": ["tx"], "tc": ["tj"], "cg": ["rd"], "ct": ["tc"], "gr": ["cg", "ct"], "rk": ["rj"], "md": ["rd", "rk"], "mx": ["md"]}
 
 
 def sql(names: str, body: str, recursive: bool = False) -> str:
