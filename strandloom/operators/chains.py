@@ -128,3 +128,18 @@ def rehome(groups: DataFrame, resolved: DataFrame) -> DataFrame:
 def fold(read_chain: DataFrame, mapping: DataFrame) -> DataFrame:
     """read_chain(read_id, contig, strand, chain) with root: its chain's target where it has one. Reads are never lost."""
     return read_chain.join(mapping.where(F.col("target").isNotNull()).select(*KEY, "target"), KEY, "left").withColumn("root", F.coalesce("target", "chain")).drop("target")
+
+
+def positional_genes(groups: DataFrame, exons: DataFrame) -> DataFrame:
+    """groups whose gene_id is null with the gene of whose exons their chain's span covers most (ties: the first id).
+
+    exons(gene_id, contig, strand, s, e).
+    """
+    from .joins import interval_join, interval_union
+
+    lost = groups.where("gene_id IS NULL").select(*KEY, F.array_min(F.transform("chain", lambda j: j["donor"])).alias("s"), F.array_max(F.transform("chain", lambda j: j["acceptor"])).alias("e"))
+    islands = interval_union(exons, ["gene_id", "contig", "strand"]).select(F.col("gene_id").alias("g"), "contig", "strand", F.col("s").alias("rs"), F.col("e").alias("re"))
+    # a base to either side: the exons that the outer junctions border
+    hit = interval_join(lost, islands, ["contig", "strand"], 65_536, 1).groupBy(*KEY, "g").agg(F.sum(F.least("e", "re") - F.greatest("s", "rs")).alias("bp"))
+    best = hit.groupBy(*KEY).agg(F.min_by("g", F.struct(-F.col("bp"), F.col("g"))).alias("near_gene"))
+    return groups.join(best, KEY, "left").withColumn("gene_id", F.coalesce("gene_id", "near_gene")).drop("near_gene")

@@ -82,7 +82,7 @@ def snap_map(junctions: DataFrame, annotated: DataFrame, site: str, tol: int = 5
         to = seed_sites(list(zip(pdf["pos"], pdf["n"], strict=True)), tol)
         return pdf[["contig", "strand", "pos"]].assign(to=pdf["pos"].map(to))
 
-    seeded = rest.groupBy("contig", "strand", "mb", "stretch").applyInPandas(seed, "contig long, strand string, pos long, to long")
+    seeded = rest.groupBy("contig", "strand", "mb", "stretch").applyInPandas(seed, rest.select("contig", "strand", "pos").schema.add("to", "long"))
     return known.where("site IS NOT NULL").select("contig", "strand", "pos", F.col("site").alias("to")).unionByName(seeded)
 
 

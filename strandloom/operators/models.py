@@ -241,7 +241,7 @@ def cluster_single_exons(reads: DataFrame, window: int = 100, min_share: float =
 
 def assign_ids(models: DataFrame, order: list[str], prefix: str = "M") -> DataFrame:
     """models(gene_id, ..) with model_name: its gene's name and a number in the given order, the same whatever the partitions."""
-    return models.withColumn("model_name", F.concat_ws(".", F.lit(prefix), "gene_id", F.row_number().over(Window.partitionBy("gene_id").orderBy(*order)).cast("string")))
+    return models.withColumn("model_name", F.concat_ws(".", F.lit(prefix), F.coalesce("gene_id", F.lit("none")), F.row_number().over(Window.partitionBy("gene_id").orderBy(*order)).cast("string")))
 
 
 def abundance(models: DataFrame) -> DataFrame:

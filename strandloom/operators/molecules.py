@@ -45,8 +45,8 @@ def collapse_umis(reads: DataFrame, keys: list[str]) -> DataFrame:
     """
     cells = exact_counts(reads, keys).groupBy(*keys, "cell").agg(F.collect_list("umi").alias("us"), F.collect_list("n").alias("ns"))
     alone = cells.where(F.size("us") == 1).select(*keys, "cell", F.col("us")[0].alias("umi"), F.col("ns")[0].alias("n"))
-    merged = cells.where(F.size("us") > 1).select(*keys, "cell", F.explode(_merge_udf()(F.col("us"), F.col("ns"))).alias("m"))
-    return alone.unionByName(merged.select(*keys, "cell", "m.umi", "m.n"))
+    merged = cells.where(F.size("us") > 1).select(*keys, "cell", F.explode(_merge_udf()(F.col("us"), F.col("ns"))).alias("_merged"))
+    return alone.unionByName(merged.select(*keys, "cell", "_merged.umi", "_merged.n"))
 
 
 def _merge_udf():

@@ -15,6 +15,7 @@ from ..operators import models as M
 from ..operators import molecules as U
 from ..sources import alignments as A
 from ..sources import text as T
+from .lineage import cut
 
 
 class GateError(RuntimeError):
@@ -43,43 +44,45 @@ def build(reads: DataFrame, transcripts: DataFrame, cfg: Config) -> dict[str, Da
     spliced = reads.where(F.size("chain") > 0)
     known = transcripts.select("tx_id", "gene_id", "contig", "strand", F.explode("chain").alias("x")).select("tx_id", "gene_id", "contig", "strand", "x.donor", "x.acceptor")
     records = spliced.select("read_id", "contig", "strand", "cell", "umi", F.explode("chain").alias("x")).select("read_id", "contig", "strand", "cell", "umi", "x.donor", "x.acceptor")
-    raw = N.census(records).persist()  # distinct junctions
+    raw = cut(N.census(records))
     moved = N.apply_snap(records, N.snap_map(raw, known, "donor", j.tolerance), N.snap_map(raw, known, "acceptor", j.tolerance))
     features = N.site_shares(N.census(moved)).join(known.select(*N.KEY).distinct().withColumn("a", F.lit(True)), N.KEY, "left")
     features = features.select(*N.KEY, "n_reads", "n_mols", "n_cells", "min_site_share", F.col("a").isNotNull().alias("annotated"), F.lit("unknown").alias("motif_class"), F.lit(None).cast("int").alias("direct_repeat"), F.lit(None).cast("int").alias("sr_n_libs"), F.lit(None).cast("double").alias("lfdr"))
-    curated = N.curate(features, j.min_umis, j.min_reads, j.min_share, j.conditional_libraries, j.conditional_reads, j.repeat_len, j.max_lfdr).persist()
+    curated = cut(N.curate(features, j.min_umis, j.min_reads, j.min_share, j.conditional_libraries, j.conditional_reads, j.repeat_len, j.max_lfdr))
     good = N.read_status(moved, curated).where("ok").select("read_id")
     chain = moved.join(good, "read_id", "left_semi").groupBy("read_id").agg(F.collect_set(F.struct("donor", "acceptor")).alias("js"))
-    kept = spliced.drop("chain").join(chain, "read_id").withColumn("chain", I.oriented(F.col("js"), F.col("strand"))).drop("js")
+    kept = cut(spliced.drop("chain").join(chain, "read_id").withColumn("chain", I.oriented(F.col("js"), F.col("strand"))).drop("js"))
 
-    groups = C.mark_candidates(C.assign_genes(C.annotate(C.chain_groups(kept), transcripts), known), c.min_umis, c.min_reads, c.min_share)
+    exons = transcripts.select("gene_id", "contig", "strand", F.explode("exons").alias("x")).select("gene_id", "contig", "strand", "x.s", "x.e")
+    groups = C.positional_genes(C.assign_genes(C.annotate(C.chain_groups(kept), transcripts), known), exons)
+    groups = C.mark_candidates(groups, c.min_umis, c.min_reads, c.min_share)
     five = kept.groupBy(*C.KEY).agg(F.when(F.col("strand") == "+", F.min("tss")).otherwise(F.max("tss")).alias("five"))
     sites = transcripts.groupBy("contig", "strand").agg(F.collect_set("tss").alias("sites"))
-    groups = groups.join(five, C.KEY).join(sites, ["contig", "strand"], "left").withColumn("tss_evidence", F.coalesce(F.exists("sites", lambda s: F.abs(s - F.col("five")) <= c.tss_distance), F.lit(False))).drop("sites", "five").persist()
-    resolved = C.resolve_suffixes(groups.where("candidate"), c.debris_ratio, c.dominant_ratio).persist()
+    groups = cut(groups.join(five, C.KEY).join(sites, ["contig", "strand"], "left").withColumn("tss_evidence", F.coalesce(F.exists("sites", lambda s: F.abs(s - F.col("five")) <= c.tss_distance), F.lit(False))).drop("sites", "five"))
+    resolved = cut(C.resolve_suffixes(groups.where("candidate"), c.debris_ratio, c.dominant_ratio))
     lost = C.rehome(groups, resolved)
-    mapping = resolved.select(*C.KEY, "merge_class", "target").unionByName(lost.select(*C.KEY, "merge_class", "target")).persist()
+    mapping = cut(resolved.select(*C.KEY, "merge_class", "target").unionByName(lost.select(*C.KEY, "merge_class", "target")))
     gone = mapping.where("target IS NULL AND merge_class LIKE 'dropped%'").select(*C.KEY)
     rooted = C.fold(kept.join(gone, C.KEY, "left_anti"), mapping).drop("chain").withColumnRenamed("root", "chain")
 
     peaks = E.cluster_ends(E.histogram(rooted, C.KEY), C.KEY, e.peak_window).select(*C.KEY, F.col("pos").alias("tts"), "peak")
     ended = rooted.join(peaks, [*C.KEY, "tts"])
     gate = E.peak_gate(ended.groupBy(*C.KEY, "peak").agg(F.count("*").alias("n_reads"), F.count_distinct("cell", "umi").alias("n_mols")), C.KEY, transcripts.select(*C.KEY, F.col("tts").alias("end")), e.min_reads, e.min_umis if _has_umis(reads) else 0, e.peak_window)
-    ended = ended.join(gate.select(*C.KEY, "peak", "to"), [*C.KEY, "peak"]).drop("peak").withColumnRenamed("to", "three")
+    ended = cut(ended.join(gate.select(*C.KEY, "peak", "to"), [*C.KEY, "peak"]).drop("peak").withColumnRenamed("to", "three"))
     shape = ended.groupBy(*C.KEY, "three").agg(F.count("*").alias("n_reads"), F.count_distinct("cell", "umi").alias("n_mols"), F.count_distinct("cell").alias("n_cells"), F.stddev_pop("tts").alias("dispersion"))
     ends5 = E.five_prime(ended, C.KEY, e.percentile).select(*C.KEY, "three", "five")
     models = shape.join(ends5, [*C.KEY, "three"]).join(groups.select(*C.KEY, "gene_id", "annotated"), C.KEY)
     models = models.withColumns({"model_id": F.concat_ws("|", F.col("contig").cast("string"), "strand", I.chain_repr(F.col("chain")), F.col("three").cast("string")), "exons": I.build_exons(F.col("chain"), F.col("strand"), F.col("five"), F.col("three"))})
-    models = models.withColumns({"support": I.support(F.col("n_mols"), F.col("n_reads")), "tx_len": I.exonic_length(F.col("exons")), "start": F.element_at("exons", 1)["s"], "category": F.when(F.col("annotated"), "FSM").otherwise("NOVEL")}).persist()
+    models = cut(models.withColumns({"support": I.support(F.col("n_mols"), F.col("n_reads")), "tx_len": I.exonic_length(F.col("exons")), "start": F.element_at("exons", 1)["s"], "category": F.when(F.col("annotated"), "FSM").otherwise("NOVEL")}))
 
     folds = ended.select("read_id", "read_name", "start", "end", "cell", "umi", *C.KEY, F.concat_ws("|", F.col("contig").cast("string"), "strand", I.chain_repr(F.col("chain")), F.col("three").cast("string")).alias("model_id"))
     p = cfg.posthoc
     if p.enabled:
         near = M.consolidate_ends(models.withColumn("end_annotated", F.col("annotated")), C.KEY, p.end3_tolerance, p.end5_window).select("model_id", "representative")
-        folds = folds.join(near, "model_id").drop("model_id").withColumnRenamed("representative", "model_id")
+        folds = cut(folds.join(near, "model_id").drop("model_id").withColumnRenamed("representative", "model_id"))
         models = _recount(models, folds)
-        to = M.surviving_targets(M.fragments(models, p.subchain_ratio, p.subchain_fuzzy, p.subchain_slack, p.protected)).select("model_id", "target")
-        folds = folds.join(to, "model_id", "left").withColumn("model_id", F.coalesce("target", "model_id")).drop("target")
+        to = M.surviving_targets(cut(M.fragments(models, p.subchain_ratio, p.subchain_fuzzy, p.subchain_slack, p.protected))).select("model_id", "target")
+        folds = cut(folds.join(to, "model_id", "left").withColumn("model_id", F.coalesce("target", "model_id")).drop("target"))
         models = _recount(models, folds)
     models = M.assign_ids(models, ["contig", "start", "model_id"])
     assigned = reads.select("read_id", "read_name", "start", "end", "cell", "umi").join(folds.select("read_id", "model_id"), "read_id", "left").join(models.select("model_id", "model_name"), "model_id", "left")
@@ -93,7 +96,7 @@ def _has_umis(reads: DataFrame) -> bool:
 def _recount(models: DataFrame, folds: DataFrame) -> DataFrame:
     """models that still have reads, with their counts from the reads they now hold."""
     n = folds.groupBy("model_id").agg(F.count("*").alias("n_reads"), F.count_distinct("cell", "umi").alias("n_mols"), F.count_distinct("cell").alias("n_cells"))
-    return models.drop("n_reads", "n_mols", "n_cells", "support").join(n, "model_id").withColumn("support", I.support(F.col("n_mols"), F.col("n_reads"))).persist()
+    return cut(models.drop("n_reads", "n_mols", "n_cells", "support").join(n, "model_id").withColumn("support", I.support(F.col("n_mols"), F.col("n_reads"))))
 
 
 def run(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
@@ -107,7 +110,8 @@ def run(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
     else:
         reads = reads.withColumns({"cell": F.lit(None).cast("string"), "umi": F.lit(None).cast("string")})
     reads = reads.select("read_id", "read_name", "contig", "strand", "chain", "tss", "tts", "start", "end", "cell", "umi")
-    transcripts = T.annotation(T.read_gtf(spark, cfg.annotation, list(cfg.contigs) or None))
+    reads = cut(reads)
+    transcripts = cut(T.annotation(T.read_gtf(spark, cfg.annotation, list(cfg.contigs) or None)))
     out = build(reads, transcripts, cfg)
     T.write_gtf(out["models"], f"{cfg.out}/models.gtf")
     T.write_table(out["models"].select("model_name", "gene_id", "contig", "strand", I.chain_repr(F.col("chain")).alias("chain"), "five", "three", "category", "n_reads", "n_mols", "n_cells", "read_share", "mol_share"), f"{cfg.out}/models.tsv")

@@ -20,7 +20,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     at = lambda i: F.get(f, F.lit(i))
     rows = spark.read.text(path).where(~F.col("value").startswith("@"))
     nm = F.regexp_extract("value", "\tNM:i:([0-9]+)", 1)
-    return rows.select(at(0).alias("read_name"), at(1).cast("int").alias("flag"), at(2).alias("contig"), (at(3).cast("long") - 1).alias("pos"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"), at(9).alias("seq"), F.when(nm != "", nm).cast("int").alias("nm")).where("contig <> '*' AND flag % 8 < 4")
+    return rows.select(at(0).alias("read_name"), at(1).try_cast("int").alias("flag"), at(2).alias("contig"), (at(3).try_cast("long") - 1).alias("pos"), at(4).try_cast("int").alias("mapq"), at(5).alias("cigar"), at(9).alias("seq"), F.when(nm != "", nm).try_cast("int").alias("nm")).where("contig <> '*' AND flag % 8 < 4")
 
 
 def bgzf_blocks(data: bytes) -> Iterator[bytes]:

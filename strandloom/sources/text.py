@@ -89,7 +89,7 @@ def read_cage_bed(spark: SparkSession, path: str, min_score: float = 0.0) -> Dat
     lines = spark.read.text(path).where(~F.col("value").rlike("^(#|track|browser)"))
     f = F.split("value", "\t")
     at = lambda i: F.get(f, F.lit(i))
-    start, end, thick = at(1).cast("long"), at(2).cast("long"), F.expr("try_cast(get(split(value, '\t'), 6) AS BIGINT)")
+    start, end, thick = at(1).try_cast("long"), at(2).try_cast("long"), F.expr("try_cast(get(split(value, '\t'), 6) AS BIGINT)")
     strand = F.when(at(5) == "-", "-").otherwise("+")
     rep = F.when((thick >= start) & (thick < end), thick).otherwise(F.when(strand == "-", end - 1).otherwise(start))
     rows = lines.select(at(0).alias("contig"), strand.alias("strand"), start.alias("start"), end.alias("end"), rep.alias("rep"), F.expr("coalesce(try_cast(get(split(value, '\t'), 4) AS DOUBLE), 0)").alias("score"), at(3).alias("name"))
@@ -140,7 +140,7 @@ def write_gtf(models: DataFrame, path: str, source: str = "strandloom") -> None:
     each other in order: no single task writes all.
     """
     names = [c for c in ("category", "n_reads", "n_mols") if c in models.columns]
-    attrs = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "'), "model_name", F.lit('";'), *(F.coalesce(F.concat(F.lit(f' {"n_molecules" if n == "n_mols" else n} "'), F.col(n).cast("string"), F.lit('";')), F.lit("")) for n in names))
+    attrs = F.concat(F.lit('gene_id "'), F.coalesce("gene_id", F.lit("none")), F.lit('"; transcript_id "'), "model_name", F.lit('";'), *(F.coalesce(F.concat(F.lit(f' {"n_molecules" if n == "n_mols" else n} "'), F.col(n).cast("string"), F.lit('";')), F.lit("")) for n in names))
     m = models.withColumns({"attrs": attrs, "lo": F.element_at("exons", 1)["s"], "hi": F.element_at("exons", -1)["e"]})
     line = lambda kind, s, e, extra: F.concat_ws("\t", F.col("contig").cast("string"), F.lit(source), F.lit(kind), (s + 1).cast("string"), e.cast("string"), F.lit("."), "strand", F.lit("."), F.concat(F.col("attrs"), extra))
     tx = m.select("contig", "lo", "hi", "model_name", F.lit(0).alias("n"), line("transcript", F.col("lo"), F.col("hi"), F.lit("")).alias("value"))

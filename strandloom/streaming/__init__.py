@@ -1 +1 @@
-
+"""Streaming operators: none are needed so far; every operator of this library is a batch operator."""
