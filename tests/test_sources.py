@@ -132,13 +132,14 @@ def test_settings(tmp_path):
 
 def plant(tmp_path):
     """25 whole reads of T1, 30 truncated ones, 12 of a new exon skip, 2 of a false junction, 20 of T2 on minus."""
+    # each base twice: no two UMIs are neighbours, so none are merged
     lines, umis, n = ["@HD\tVN:1.6"], ["cell_barcode\tumi\tread_name"], 0
 
     def add(times, flag, contig, pos, cigar, size):
         nonlocal n
         for _ in range(times):
             lines.append(f"q{n}\t{flag}\t{contig}\t{pos}\t60\t{cigar}\t*\t0\t0\t{'G' * size}\t*\tNM:i:0")
-            umis.append(f"C{n % 4}\t{''.join('ACGT'[n // 4**k % 4] for k in range(8))}\tq{n}")
+            umis.append(f"C{n % 4}\t{''.join('ACGT'[n // 4**k % 4] * 2 for k in range(6))}\tq{n}")
             n += 1
 
     add(25, 0, "chr1", 1001, "200M800N200M800N500M", 900)
