@@ -109,6 +109,29 @@ def count_pairs(texts: DataFrame, vocabulary) -> DataFrame:
     return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def least_head_count(counts: DataFrame, head_size: int) -> int:
+    """The smallest count that at most head_size short words reach, told from histograms of counts.
+
+    First by powers of two, then within the power where the number is passed: few rows reach the driver,
+    as large counts are few and small counts have few values.
+    """
+    short = counts.where(F.length("word") <= HEAD_BYTES)
+    rough = {r["k"]: r["m"] for r in short.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("m")).collect()}
+    have = 0
+    for k in sorted(rough, reverse=True):
+        if have + rough[k] > head_size:
+            fine = short.where((F.floor(F.log2("n")) == k)).groupBy("n").agg(F.count("*").alias("m")).collect()
+            least = 2 ** (k + 1)
+            for row in sorted(fine, key=lambda r: -r["n"]):
+                have += row["m"]
+                if have > head_size:
+                    break
+                least = row["n"]
+            return least
+        have += rough[k]
+    return 1
+
+
 def fit(counts: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = 0.05, seed: int = 3) -> np.ndarray:
     """Log-probabilities (natural), one row for each context, from counts of (context, word)."""
     size = len(counts)
@@ -151,8 +174,10 @@ def score(docs: DataFrame, training: Column, words: int = WORDS, classes: int =
     ends = known.count()
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] + ends, totals["v"] + (ends > 0)
-    head = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head_size).toPandas()
-    vocabulary = Vocabulary([(bytes(w), int(c)) for w, c in zip(head["word"], head["n"], strict=True)], words, classes)
+    least = least_head_count(counts, head_size)
+    head = counts.where((F.length("word") <= HEAD_BYTES) & (F.col("n") >= least)).toPandas()
+    head = sorted(((bytes(w), int(c)) for w, c in zip(head["word"], head["n"], strict=True)), key=lambda x: (-x[1], x[0]))
+    vocabulary = Vocabulary(head, words, classes)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     pairs = count_pairs(known, shared).toPandas()  # at most size * size rows
@@ -202,8 +227,7 @@ def score(docs: DataFrame, training: Column, words: int = WORDS, classes: int =
     scored = stash(scored.withColumn("row", F.monotonically_increasing_id()), "lbl-rows")
     # words outside the broadcast head: add log10(c + 1) where the count is known, else 0
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("times"))
-    least = int(head["n"].iloc[-1]) if len(head) else 0
-    below = counts.where((F.col("n") <= least) | (F.length("word") > HEAD_BYTES)).select("word", "n")
+    below = counts.where((F.col("n") < least) | (F.length("word") > HEAD_BYTES)).select("word", "n")
     added = rare.join(below, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0) * F.col("times")).alias("extra"), F.sum("times").alias("known"))
     extra = F.coalesce("extra", F.lit(0.0))
     return scored.drop("tail", "tail_n").join(added, "row", "left").select(
