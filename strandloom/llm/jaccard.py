@@ -67,23 +67,24 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return shingle_hashes(word_hashes(text.lower()), k)
 
 
-def set_keys(rows: DataFrame, k: int) -> DataFrame:
-    """rows(doc_id, text) to (doc_id, n_shingles, k1, k2); the keys name the set."""
+def set_keys(rows: DataFrame, k: int, bits: int) -> DataFrame:
+    """rows(doc_id, text) to (doc_id, n_shingles, first, k1, k2); the keys name the set, first counts its tokens of the leading class."""
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
             keys = [np.array([mix(s, seed).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for seed in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, keys)], names=["doc_id", "n_shingles", "k1", "k2"])
+            first = pa.array([int(((s & mask) == 0).sum()) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), first, *map(pa.array, keys)], names=["doc_id", "n_shingles", "first", "k1", "k2"])
 
-    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, first long, k1 long, k2 long")
 
 
 def tokens(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """The tokens of each set that its prefix under a counting order can hold: (h, node, n, m0, m1).
+    """The tokens of each set that its prefix under a counting order can hold: (h, node).
 
-    Those of the leading class if they fill the prefix, else all; m0 and m1: how many of either kind.
-    The class holds 1 / 2**bits of all tokens.
+    Those of the leading class, which holds 1 / 2**bits of all tokens, if they fill the prefix, else all.
     """
     mask = np.uint64((1 << bits) - 1)
 
@@ -91,28 +92,30 @@ def tokens(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(ids), 500):
-                found = []
+                nodes, found = [], []
                 for node, text in zip(ids[at : at + 500], texts[at : at + 500], strict=True):
                     s = shingles(text, k)
-                    if not len(s):
-                        continue
-                    first = s[(s & mask) == 0]
-                    rest = len(first) < prefix_size(len(s), percent)
-                    found.append((s if rest else first, node, len(s), len(first), len(s) - len(first) if rest else 0))
-                if not found:
-                    continue
-                sizes = [len(x[0]) for x in found]
-                cols = [pa.array(np.concatenate([x[0] for x in found]).view(np.int64))]
-                cols += [pa.array(np.repeat(np.array([x[i] for x in found], t), sizes)) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "node", "n", "m0", "m1"])
-
-    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "h long, node long, n int, m0 int, m1 int")
-
-
-def prefixes(tokens: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Prefix tokens that more than one node holds: (h, node, n, pos, own); own: the share of a node's tokens that no other node holds."""
+                    if len(s):
+                        first = s[(s & mask) == 0]
+                        found.append(s if len(first) < prefix_size(len(s), percent) else first)
+                        nodes.append(node)
+                if nodes:
+                    own = np.repeat(np.array(nodes, np.int64), [len(x) for x in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(own)], names=["h", "node"])
+
+    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "h long, node long")
+
+
+def prefixes(tokens: DataFrame, sizes: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Prefix tokens that more than one node holds: (h, node, n, pos, own); own: the share of a node's tokens that no other node holds.
+
+    sizes(node, n, first): of each set, and of its part in the leading class. They are joined after the
+    tokens of one node are gone, so the large shuffles hold (h, node) alone.
+    """
     counts = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(counts, "h").withColumn("late", (F.col("h").bitwiseAND((1 << bits) - 1) != 0).cast("int"))
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    held = tokens.join(counts, "h").join(sizes, "node").withColumn("late", (F.col("h").bitwiseAND((1 << bits) - 1) != 0).cast("int"))
+    held = held.withColumns({"p": size, "m0": F.col("first"), "m1": F.when(F.col("first") < size, F.col("n") - F.col("first")).otherwise(0)})
     by_node = Window.partitionBy("node")
     ranked = held.withColumns(
         {
@@ -123,8 +126,7 @@ def prefixes(tokens: DataFrame, percent: int, bits: int) -> DataFrame:
     )
     pos = F.when(F.col("late") == 0, F.col("rank") + F.col("m0") - F.col("c0")).otherwise(F.col("rank") - F.col("c0") + F.col("m0") + F.col("m1") - F.col("c1"))
     own = 1 - (F.col("c0") + F.col("c1")) / (F.col("m0") + F.col("m1"))
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return ranked.select("h", "node", "n", pos.cast("int").alias("pos"), own.alias("own"), size.alias("p")).where("pos <= p").drop("p")
+    return ranked.select("h", "node", F.col("n").cast("int").alias("n"), pos.cast("int").alias("pos"), own.alias("own"), "p").where("pos <= p").drop("p")
 
 
 def can_link(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int) -> Column:
@@ -173,7 +175,8 @@ def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
 def similar_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """docs(doc_id, text) to a row for each row: doc_id, n_shingles, component_id, same_set_id."""
     rows = one_row_each(docs)
-    sets = stash(set_keys(rows, k), "jaccard-sets")
+    bits = class_bits(percent)
+    sets = stash(set_keys(rows, k, bits), "jaccard-sets")
     kinds = sets.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     copied = kinds.where("copies > 1")
     copies = stash(sets.join(copied, ["k1", "k2", "n_shingles"]).where("doc_id <> node").select("doc_id", "node"), "jaccard-copies")
@@ -181,15 +184,15 @@ def similar_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     # the first order counts a class of tokens over all documents, the second all tokens of those that
     # the first could not set apart
-    bits = class_bits(percent)
     held = stash(tokens(unique, k, percent, bits), "jaccard-tokens")
-    prefix = prefixes(held, percent, bits)
+    sizes = sets.where("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "first")
+    prefix = prefixes(held, sizes, percent, bits)
     met = stash(prefix.select("h", "node"), "jaccard-met")
     drop_stash(held)
     shared = met.groupBy("h").count().where("count > 1").select("h")
     met = stash(met.join(shared, "h", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "jaccard-met")
     held = stash(tokens(unique.join(hinted(met, met.count()), "doc_id", "left_semi"), k, percent, 0), "jaccard-tokens")
-    prefix = stash(prefixes(held, percent, 0), "jaccard-prefixes")
+    prefix = stash(prefixes(held, sizes.withColumn("first", F.col("n")), percent, 0), "jaccard-prefixes")
     drop_stash(held)
 
     centre = prefix.groupBy("h").agg(F.min(F.struct("own", "node", "n", "pos")).alias("c"), F.count("*").alias("members")).where("members > 1").select("h", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.pos").alias("cp"))
