@@ -2,10 +2,12 @@
 
 A recording is 8-bit unsigned PCM in one channel. Frames of FRAME samples every HOP are turned into 12
 pitch classes, smoothed and normalised; filters over rectangles of their integral image, each cut at
-three thresholds into two Gray-coded bits, pack every position into a 32-bit code. Recordings are
-aligned by their codes: equal codes vote for an offset, and the offset with the most votes (ties: the
-smallest shift, then the earlier one) is accepted if at least MIN_VOTES agree, MIN_OVERLAP codes
-overlap there and at most MAX_ERROR of their bits differ. Of a run of equal codes the first one votes.
+three thresholds into two Gray-coded bits, pack every position into a 32-bit code. Recordings align at
+an offset where MIN_OVERLAP codes overlap, at most MAX_ERROR of their bits differ and each recording
+begins at least MIN_VOTES runs of equal codes (silence and held tones align with nothing). Offsets are
+looked for where two codes that begin runs agree in a seed, a choice of 16 of their bits, so bits may
+be wrong in every code; the equal ones among them are the votes. Of the accepted offsets the one with
+the most votes is given (ties: the most bits that agree beyond half, the smallest shift, the earlier).
 
 The tables hold no audio: op1 reads the UTF-8 bytes of each whole text of `documents` as its PCM, so
 copies sound the same and near copies align. Recordings of equal codes are one class, named by its
@@ -38,6 +40,13 @@ MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 2, 8, 0.2
 QUERY_STEP = 50
 #: Query codes that tasks hold at a time.
 BLOCK_CODES = 2_000_000
+#: An alignment is looked for where SEED_BITS chosen bits of two codes agree, for SEEDS choices.
+SEEDS, SEED_BITS = 28, 16
+#: Pairs of steps from such a code, far ones first, and the most wrong bits by the number of codes so far: a little over MAX_ERROR.
+BESIDE = [(0, -4), (4, -2), (2, -3), (3, -1)]
+MOST_WRONG = np.array([0, 7, 14, 21, 28, 35, 41, 47, 52], np.uint16)
+#: Items of arrays, and pairs of run starts, that are worked on at a time.
+_FLAT, _PAIRS = 200_000, 200_000_000
 #: Frames that are transformed at a time.
 _CHUNK = 8192
 
@@ -136,42 +145,151 @@ def _starts(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
 
 
-class Queries:
-    """Codes of a block of queries, sorted for lookups."""
+def _seed_masks() -> np.ndarray:
+    """SEEDS choices of SEED_BITS of a code's bits; the two bits that hardly ever change stay out."""
+    rng = np.random.default_rng(0)
+    bits = [b for b in range(32) if b not in (8, 20)]
+    return np.array([sum(1 << int(b) for b in rng.choice(bits, SEED_BITS, replace=False)) for _ in range(SEEDS)], np.uint32)
+
+
+MASKS = _seed_masks()
+
+
+def _gather(mask: int) -> np.ndarray:
+    """(4, 256): the bits of a mask in each byte value, moved to where they go in the key."""
+    places = np.cumsum([0] + [mask >> b & 1 for b in range(32)])
+    byte = np.arange(256)
+    return np.array([sum(((byte >> b) & 1) << places[8 * i + b] for b in range(8) if mask >> (8 * i + b) & 1) + 0 * byte for i in range(4)]).astype(np.uint32)
+
+
+def _key(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    part = np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 4)
+    return tables[0, part[:, 0]] | tables[1, part[:, 1]] | tables[2, part[:, 2]] | tables[3, part[:, 3]]
+
 
-    def __init__(self, ids: list[int], codes: list[np.ndarray]) -> None:
-        self.ids, self.codes = ids, codes
+def _runs(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1 and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _pieces(n: np.ndarray, most: int = _FLAT) -> Iterator[slice]:
+    """Slices of n whose sums stay at most `most`, but for single items."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+class Recordings:
+    """Codes of several recordings end to end."""
+
+    def __init__(self, codes: list[np.ndarray]) -> None:
+        self.length = np.array([len(c) for c in codes], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.codes = np.concatenate([np.empty(0, np.uint32), *codes]).astype(np.uint32)
         starts = [_starts(c) for c in codes]
-        own = np.repeat(np.arange(len(codes)), [len(s) for s in starts])
-        at = np.concatenate([np.empty(0, np.int64), *starts])
-        value = np.concatenate([np.empty(0, np.uint32), *(c[s] for c, s in zip(codes, starts, strict=True))])
-        order = np.argsort(value, kind="stable")
-        self.value, self.own, self.at = value[order], own[order], at[order]
-
-    def align(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(query id, offset, votes, overlap, bit error rate) of each query that aligns with a recording."""
-        starts = _starts(codes)
-        lo = np.searchsorted(self.value, codes[starts], "left")
-        n = np.searchsorted(self.value, codes[starts], "right") - lo
-        if not n.sum():
+        self.own = np.repeat(np.arange(len(codes)), [len(s) for s in starts])
+        self.at = np.concatenate([np.empty(0, np.int64), *starts])
+        self.begins = np.zeros(len(self.codes), bool)
+        self.begins[self.first[self.own] + self.at] = True
+        self.n_begins = np.r_[0, np.cumsum(self.begins)]
+
+
+    def beside(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each pair of steps of BESIDE, the codes so far from each run start in one integer, and the bits of those that there are."""
+        at, length, out = np.flatnonzero(self.begins), self.length[self.own], []
+        for steps in BESIDE:
+            codes, there = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+            for step, shift in zip(steps, (np.uint64(0), np.uint64(32)), strict=True):
+                has = (self.at + step >= 0) & (self.at + step < length)
+                codes |= np.where(has, self.codes.take(at + step, mode="clip"), 0).astype(np.uint64) << shift
+                there |= np.where(has, np.uint64(2**32 - 1), np.uint64(0)) << shift
+            out.append((codes, there))
+        return out
+
+
+class Queries:
+    """Codes of a block of queries, and for each seed the places of its run starts by key."""
+
+    def __init__(self, ids: list, codes: list[np.ndarray]) -> None:
+        self.ids, self.data = ids, codes
+        self.index: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "data": self.data, "index": None}  # the index is built where it is used
+
+    def _build(self) -> None:
+        self.all = r = Recordings(self.data)
+        value, self.near = r.codes[r.begins], r.beside()
+        self.index = []
+        for mask in MASKS:
+            tables = _gather(int(mask))
+            key = _key(value, tables).astype(np.uint16)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            self.index.append((tables, np.r_[0, np.cumsum(np.bincount(key, minlength=1 << SEED_BITS))], order))
+
+    def _diagonals(self, r: Recordings, r_beside: list[tuple[np.ndarray, np.ndarray]], part: slice) -> np.ndarray:
+        """(query, recording, offset) of all places where a seed holds at one of a part of the run starts and the codes beside it are near."""
+        q, q_beside, r_beside = self.all, self.near, [(x[part], y[part]) for x, y in r_beside]
+        value, r_own, r_at = (r_beside[0][0] & np.uint64(2**32 - 1)).astype(np.uint32), r.own[part], r.at[part]
+        width = int(max(q.length.max(initial=1), r.length.max(initial=1)) + 1).bit_length() + 1
+        found = [np.empty(0, np.int64)]
+        for tables, first, order in self.index:
+            key = _key(value, tables)
+            lo, n = first[key], first[key + np.uint32(1)] - first[key]
+            for piece in _pieces(n):
+                at = np.repeat(np.arange(len(n))[piece], n[piece])
+                of = order[np.repeat(lo[piece], n[piece]) + _runs(n[piece])]
+                wrong, bits = np.zeros(len(at), np.uint16), np.zeros(len(at), np.uint16)
+                for (x, x_there), (y, y_there) in zip(q_beside, r_beside, strict=True):
+                    there = y_there[at] & x_there[of]
+                    wrong += np.bitwise_count((y[at] ^ x[of]) & there)
+                    bits += np.bitwise_count(there)
+                    near = np.flatnonzero(wrong <= MOST_WRONG[bits >> 5])
+                    at, of, wrong, bits = at[near], of[near], wrong[near], bits[near]
+                found.append((q.own[of] * len(r.length) + r_own[at] << width) + (r_at[at] - q.at[of] + (1 << width - 1)))
+        key = np.unique(np.concatenate(found))
+        pair = key >> width
+        return np.stack([pair // len(r.length), pair % len(r.length), (key & (1 << width) - 1) - (1 << width - 1)])
+
+    def _verify(self, r: Recordings, found: np.ndarray) -> tuple[np.ndarray, ...]:
+        """query, recording, offset, overlap, votes and bit error rate of the alignments that are accepted."""
+        q, (own, to, offset) = self.all, found
+        m = np.minimum(q.length[own] + np.minimum(offset, 0), r.length[to] - np.maximum(offset, 0))
+        a, b = q.first[own] - np.minimum(offset, 0), r.first[to] + np.maximum(offset, 0)
+        # a held tone or silence has one run, which tells nothing
+        changes = np.minimum(q.n_begins[a + m] - q.n_begins[a], r.n_begins[b + m] - r.n_begins[b])
+        some = np.flatnonzero((m >= MIN_OVERLAP) & (changes >= MIN_VOTES))
+        own, to, offset, m, a, b = (x[some] for x in (own, to, offset, m, a, b))
+        wrong, votes = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64)
+        for piece in _pieces(m):
+            step, n = _runs(m[piece]), m[piece]
+            i, j = np.repeat(a[piece], n) + step, np.repeat(b[piece], n) + step
+            edges = np.cumsum(n) - n
+            x = q.codes[i] ^ r.codes[j]
+            wrong[piece] = np.add.reduceat(np.bitwise_count(x), edges, dtype=np.int64)
+            votes[piece] = np.add.reduceat((x == 0) & q.begins[i] & r.begins[j], edges, dtype=np.int64)
+        error = wrong / (32 * m)
+        some = np.flatnonzero(error <= MAX_ERROR)
+        return tuple(x[some] for x in (own, to, offset, m, votes, error))
+
+    def align(self, recordings: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
+        """(query, recording, offset, votes, overlap, bit error rate) of each query that aligns with one of the recordings, by their places in the lists."""
+        if self.index is None:
+            self._build()
+        q, r = self.all, Recordings(recordings)
+        if not len(q.codes) or not len(r.codes):
             return
-        flat = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        offset = np.repeat(starts, n) - self.at[flat]
-        bias = 1 << 40
-        key, votes = np.unique(self.own[flat] * (2 * bias) + offset + bias, return_counts=True)
-        own, offset = key // (2 * bias), key % (2 * bias) - bias
-        some = votes >= MIN_VOTES
-        own, offset, votes = own[some], offset[some], votes[some]
-        order = np.lexsort((offset, np.abs(offset), -votes, own))
-        own, offset, votes = own[order], offset[order], votes[order]
-        for i in np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else ():
-            q, o = self.codes[own[i]], int(offset[i])
-            a, b = codes[max(0, o) :], q[max(0, -o) :]
-            m = min(len(a), len(b))
-            if m >= MIN_OVERLAP:
-                error = float(np.bitwise_count(a[:m] ^ b[:m]).sum()) / (32 * m)
-                if error <= MAX_ERROR:
-                    yield self.ids[own[i]], o, int(votes[i]), m, error
+        beside = r.beside()
+        size = max(1, _PAIRS // max(1, len(q.own)))
+        parts = [self._verify(r, self._diagonals(r, beside, slice(at, at + size))) for at in range(0, len(r.own), size)]
+        own, to, offset, m, votes, error = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((offset, np.abs(offset), m * (2 * error - 1), -votes, to, own))
+        own, to, offset, m, votes, error = (x[order] for x in (own, to, offset, m, votes, error))
+        best = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (to[1:] != to[:-1])]) if len(own) else []
+        for i in best:
+            yield int(own[i]), int(to[i]), int(offset[i]), int(votes[i]), int(m[i]), float(error[i])
 
 
 def search(queries: DataFrame, recordings: DataFrame, block_codes: int = BLOCK_CODES) -> DataFrame:
@@ -183,9 +301,9 @@ def search(queries: DataFrame, recordings: DataFrame, block_codes: int = BLOCK_C
     def scan(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    rows += [(q, doc_id, *x) for q, *x in shared.value.align(np.frombuffer(data, "<u4")) if q != doc_id]
+                ids, asked = batch.column(0).to_pylist(), shared.value
+                codes = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
+                rows = [(asked.ids[q], ids[d], *x) for q, d, *x in asked.align(codes) if asked.ids[q] != ids[d]]
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.float64()], strict=True)], names=["query_id", "doc_id", "offset", "votes", "overlap", "bit_error_rate"])
 

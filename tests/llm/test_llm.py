@@ -340,6 +340,28 @@ def test_chroma_alignment_against_brute_force(spark):
     assert one == many and one
 
 
+def test_chroma_finds_alignments_with_wrong_bits_in_every_code(spark):
+    rng = np.random.default_rng(8)
+    codes = {i: rng.integers(0, 2**32, 30, dtype=np.uint32) for i in range(40)}
+    for i in range(40):  # the beginning of recording i again, each code with 3 to 6 wrong bits
+        part = codes[i][: int(rng.integers(8, 20))].copy()
+        part ^= np.array([sum(1 << int(b) for b in rng.permutation(32)[: rng.integers(3, 7)]) for _ in part], np.uint32)
+        codes[100 + i] = np.concatenate([rng.integers(0, 2**32, int(rng.integers(0, 9)), dtype=np.uint32), part])
+    df = spark.createDataFrame([(i, len(c), hashlib.sha256(c.tobytes()).hexdigest(), bytearray(c.tobytes())) for i, c in codes.items()], "doc_id long, n_codes long, fingerprint string, codes binary")
+    got = {(r.query_id, r.doc_id): r for r in chroma.search(df.where("doc_id < 100"), df).collect()}
+    want = {}
+    for q, a in codes.items():
+        for d, b in codes.items():
+            for o in range(1 - len(a), len(b)) if q < 100 and d != q else ():
+                x, y = b[max(0, o) :], a[max(0, -o) :]
+                m = min(len(x), len(y))
+                error = int(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32 * m)
+                if m >= chroma.MIN_OVERLAP and error <= chroma.MAX_ERROR:
+                    want.setdefault((q, d), {})[o] = (m, error)
+    assert len(want) >= 40 and set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    assert all((r.overlap, r.bit_error_rate) == want[p][r.offset] for p, r in got.items())
+
+
 # --- licences and chat ---------------------------------------------------------------------------
 
 
