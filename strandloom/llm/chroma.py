@@ -14,7 +14,9 @@ copies sound the same and near copies align. Recordings of equal codes are one c
 smallest doc_id; queries (doc_id divisible by 50) are searched, by class, against the class of every
 row. Queries are held by all tasks a bounded block at a time, so no bucket of a common code is formed.
 
-Null, empty and short recordings have no codes: each is a class of its own and matches nothing.
+Recordings under SHORTEST samples are padded with silence to one code; their classes go by their samples.
+One of fewer than MIN_OVERLAP codes must overlap whole, with less error in proportion (one code: none).
+Null and empty recordings have no codes: each is a class of its own and matches nothing.
 Repeated rows and equal doc_ids give their own rows. Rows of null doc_id are fingerprinted only. Empty
 tables give no rows. Other columns are not read.
 """
@@ -36,6 +38,8 @@ RATE, FRAME, HOP = 8000, 256, 64
 LOWEST, HIGHEST = 110.0, 3520.0
 SMOOTH = (0.25, 0.75, 1.0, 0.75, 0.25)
 WIDTH = 8
+#: Samples of one code; shorter recordings are padded with silence.
+SHORTEST = FRAME + (len(SMOOTH) + WIDTH - 2) * HOP
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 2, 8, 0.2
 QUERY_STEP = 50
 #: Query codes that tasks hold at a time.
@@ -91,8 +95,8 @@ def chroma(pcm: bytes) -> np.ndarray:
 
 
 def codes_of(pcm: bytes) -> np.ndarray:
-    """The 32-bit codes of a recording, as uint32; none if it is too short."""
-    c = chroma(pcm)
+    """The 32-bit codes of a recording, as uint32; none if it is empty."""
+    c = chroma(pcm.ljust(SHORTEST, b"\x80") if pcm else pcm)
     n = len(c) - WIDTH + 1
     if n <= 0:
         return np.empty(0, np.uint32)
@@ -128,13 +132,18 @@ def codes_of(pcm: bytes) -> np.ndarray:
 
 
 def fingerprint(recordings: DataFrame) -> DataFrame:
-    """recordings(doc_id, pcm binary) to (doc_id, n_codes, fingerprint, codes): codes are little-endian 32-bit integers."""
+    """recordings(doc_id, pcm binary) to (doc_id, n_codes, fingerprint, codes): codes are little-endian 32-bit integers.
+
+    The fingerprint is the digest of the codes; of a recording that was padded, that of its samples, as silence hides much of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [codes_of(x or b"").astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
+            pcm = [x or b"" for x in batch.column(1).to_pylist()]
+            codes = [codes_of(x).astype("<u4").tobytes() for x in pcm]
+            prints = [hashlib.sha256(x if 0 < len(x) < SHORTEST else c).hexdigest() for x, c in zip(pcm, codes, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in codes]), pa.array(codes, pa.binary())],
+                [batch.column(0), pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array(prints), pa.array(codes, pa.binary())],
                 names=["doc_id", "n_codes", "fingerprint", "codes"],
             )
 
@@ -260,7 +269,9 @@ class Queries:
         a, b = q.first[own] - np.minimum(offset, 0), r.first[to] + np.maximum(offset, 0)
         # a held tone or silence has one run, which tells nothing
         changes = np.minimum(q.n_begins[a + m] - q.n_begins[a], r.n_begins[b + m] - r.n_begins[b])
-        some = np.flatnonzero((m >= MIN_OVERLAP) & (changes >= MIN_VOTES))
+        # a recording under MIN_OVERLAP codes must overlap whole, with fewer wrong bits in proportion
+        shorter = np.minimum(q.length[own], r.length[to])
+        some = np.flatnonzero((m >= np.minimum(MIN_OVERLAP, shorter)) & (changes >= np.minimum(MIN_VOTES, shorter)))
         own, to, offset, m, a, b = (x[some] for x in (own, to, offset, m, a, b))
         wrong, votes = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64)
         for piece in _pieces(m):
@@ -271,7 +282,7 @@ class Queries:
             wrong[piece] = np.add.reduceat(np.bitwise_count(x), edges, dtype=np.int64)
             votes[piece] = np.add.reduceat((x == 0) & q.begins[i] & r.begins[j], edges, dtype=np.int64)
         error = wrong / (32 * m)
-        some = np.flatnonzero(error <= MAX_ERROR)
+        some = np.flatnonzero(error <= MAX_ERROR * np.minimum(m / MIN_OVERLAP, 1))
         return tuple(x[some] for x in (own, to, offset, m, votes, error))
 
     def align(self, recordings: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:

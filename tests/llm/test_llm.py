@@ -362,6 +362,17 @@ def test_chroma_finds_alignments_with_wrong_bits_in_every_code(spark):
     assert all((r.overlap, r.bit_error_rate) == want[p][r.offset] for p, r in got.items())
 
 
+def test_chroma_of_short_recordings(spark):
+    rng = random.Random(6)
+    pcm = [bytes(rng.randrange(256) for _ in range(n)) for n in (1, 40, 300, 959, 1100, 1300)]
+    rows = [(i, x) for i, x in enumerate(pcm)] + [(20 + i, x) for i, x in enumerate(pcm)] + [(50, pcm[5] + bytes(rng.randrange(256) for _ in range(3000))), (100, b""), (101, b"")]
+    got = chroma.align_classes(spark.createDataFrame([(i, bytearray(x)) for i, x in rows], "doc_id long, pcm binary")).collect()
+    members = {r.doc_id: (r.class_id, r.n_codes) for r in got if r.kind == "member"}
+    assert all(members[i] == members[20 + i] and members[i][0] == i and members[i][1] > 0 for i in range(6))
+    assert members[100] == (100, 0) and members[101] == (101, 0)
+    assert {(r.query_id, r.doc_id, r.offset, r.overlap) for r in got if r.kind == "match" and r.overlap > 1} == {(50, 5, 0, len(chroma.codes_of(pcm[5])))} and len(chroma.codes_of(pcm[5])) < chroma.MIN_OVERLAP
+
+
 # --- licences and chat ---------------------------------------------------------------------------
 
 
