@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -126,6 +127,10 @@ def _parts(spark: SparkSession) -> int:
     return max(1, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() // BLOCK_BYTES)
 
 
+def decode_ids(ids: list[int], token_bytes: dict[int, bytes]) -> bytes:
+    return b"".join([token_bytes[i] for i in ids])
+
+
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
@@ -185,13 +190,11 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
         ranks = load_ranks(path)
         token_bytes = {i: b for b, i in ranks.items()}
         digits: dict[str, str] = {}
-        sizes: dict[str, int] = {}
-        plain: dict[str, bytes] = {}
+        of_word: dict[str, list[int]] = {}
 
         def learn(word: str, ids: list[int]) -> None:
             digits[word] = " ".join(map(str, ids))
-            sizes[word] = len(ids)
-            plain[word] = b"".join([token_bytes[i] for i in ids])
+            of_word[word] = ids
 
         for data in coded.column("data"):
             dictionary = pa.ipc.open_stream(data.as_buffer()).read_all()
@@ -205,9 +208,9 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
                 found = split(text)
                 for word in set(found).difference(digits):
                     learn(word, merge_word(word.encode(), ranks))
-                ids = " ".join([digits[w] for w in found])
-                decoded = b"".join([plain[w] for w in found])
-                rows.append((doc_id, sum([sizes[w] for w in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), list(map(int, ids.split())) if with_ids else None))
+                ids = list(chain.from_iterable([of_word[w] for w in found]))
+                listed = " ".join([digits[w] for w in found])
+                rows.append((doc_id, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decode_ids(ids, token_bytes)).hexdigest(), ids if with_ids else None))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         fields = {"doc_id": pa.array(cols[0], pa.int64()), "n_tokens": pa.array(cols[1], pa.int64()), "ids_sha256": pa.array(cols[2], pa.string()), "decoded_sha256": pa.array(cols[3], pa.string())}
         return pa.table(fields | ({"ids": pa.array(cols[4], pa.list_(pa.int32()))} if with_ids else {}))
@@ -223,7 +226,7 @@ def decode(rows: DataFrame, ranks_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes = {i: b for b, i in load_ranks(path).items()}
         for batch in batches:
-            texts = [None if ids is None else b"".join([token_bytes[i] for i in ids]) for ids in batch.column(1).to_pylist()]
+            texts = [None if ids is None else decode_ids(ids, token_bytes) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array(texts, pa.binary())})
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,20 @@ def test_bpe_agrees_with_the_library_and_round_trips(spark):
     assert back == Counter((i, t or "") for i, t in texts)
 
 
+def test_bpe_decodes_each_document_from_its_whole_list_of_ids(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    run, decoded = [], []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: run.append(f))
+    bpe.encode(docs(spark, []), with_ids=True)
+    texts = pa.record_batch({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a b a", ""]})
+    real = bpe.decode_ids
+    monkeypatch.setattr(bpe, "decode_ids", lambda ids, table: decoded.append(list(ids)) or real(ids, table))
+    out = run[0](pa.table({"data": pa.array([bpe._ipc(texts)], pa.binary())}), pa.table({"data": pa.array([], pa.binary())}))
+    assert decoded == out.column("ids").to_pylist() and len(decoded[0]) > 1 and decoded[1] == []
+    assert out.column("decoded_sha256").to_pylist() == [hashlib.sha256(t).hexdigest() for t in (b"a b a", b"")]
+
+
 def test_bpe_merges_long_words_alike():
     ranks = bpe.load_ranks(bpe.default_path())
     rng = random.Random(5)
