@@ -17,7 +17,8 @@ row. Queries are held by all tasks a bounded block at a time, so no bucket of a
 Recordings under SHORTEST samples are padded with silence to one code; their classes go by their samples.
 One of fewer than MIN_OVERLAP codes must overlap whole, with less error in proportion (one code: none).
 Null and empty recordings have no codes: each is a class of its own and matches nothing.
-Repeated rows and equal doc_ids give their own rows. Rows of null doc_id are fingerprinted only. Empty
+Repeated rows and equal doc_ids give their own rows; if one doc_id has different recordings, two classes
+may bear its name, and the fingerprint, of matches too, tells them apart. Rows of null doc_id are fingerprinted only. Empty
 tables give no rows. Other columns are not read.
 """
 
@@ -304,7 +305,10 @@ class Queries:
 
 
 def search(queries: DataFrame, recordings: DataFrame, block_codes: int = BLOCK_CODES) -> DataFrame:
-    """queries(doc_id, n_codes, codes), recordings(doc_id, codes) to (query_id, doc_id, offset, votes, overlap, bit_error_rate)."""
+    """queries(doc_id, n_codes, fingerprint, codes), recordings(doc_id, fingerprint, codes) to (query_id, doc_id, fingerprint, offset, votes, overlap, bit_error_rate).
+
+    The fingerprint is the recording's; a query isn't matched with the recording of its own doc_id and fingerprint.
+    """
     spark = recordings.sparkSession
     total = queries.agg(F.coalesce(F.sum("n_codes"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_codes))
@@ -312,19 +316,20 @@ def search(queries: DataFrame, recordings: DataFrame, block_codes: int = BLOCK_C
     def scan(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, asked = batch.column(0).to_pylist(), shared.value
-                codes = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-                rows = [(asked.ids[q], ids[d], *x) for q, d, *x in asked.align(codes) if asked.ids[q] != ids[d]]
-                cols = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.float64()], strict=True)], names=["query_id", "doc_id", "offset", "votes", "overlap", "bit_error_rate"])
+                ids, asked = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), shared.value
+                codes = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
+                rows = [(asked.ids[q][0], *ids[d], *x) for q, d, *x in asked.align(codes) if asked.ids[q] != ids[d]]
+                cols = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = [pa.int64()] * 2 + [pa.string()] + [pa.int64()] * 3 + [pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["query_id", "doc_id", "fingerprint", "offset", "votes", "overlap", "bit_error_rate"])
 
-        return recordings.select("doc_id", "codes").mapInArrow(run, "query_id long, doc_id long, offset long, votes long, overlap long, bit_error_rate double")
+        return recordings.select("doc_id", "fingerprint", "codes").mapInArrow(run, "query_id long, doc_id long, fingerprint string, offset long, votes long, overlap long, bit_error_rate double")
 
     found = []
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block).select("doc_id", "codes").collect()
-        rows.sort(key=lambda r: r["doc_id"])
-        found.append(scan(spark.sparkContext.broadcast(Queries([r["doc_id"] for r in rows], [np.frombuffer(r["codes"], "<u4") for r in rows]))))
+        rows = queries.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block).select("doc_id", "fingerprint", "codes").collect()
+        rows.sort(key=lambda r: (r["doc_id"], r["fingerprint"]))
+        found.append(scan(spark.sparkContext.broadcast(Queries([(r["doc_id"], r["fingerprint"]) for r in rows], [np.frombuffer(r["codes"], "<u4") for r in rows]))))
     return reduce(DataFrame.unionAll, found)
 
 
@@ -333,7 +338,7 @@ def align_classes(recordings: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     printed = stash(fingerprint(recordings), "chroma")
     named = printed.where("n_codes > 0 AND doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.max((F.col("doc_id") % step == 0).cast("int")).alias("asked"))
     named = stash(named, "chroma-classes")
-    classes = printed.where("n_codes > 0").join(named, "fingerprint").where("doc_id = class_id").select("doc_id", "n_codes", "codes", "asked").dropDuplicates(["doc_id"])
+    classes = printed.where("n_codes > 0").join(named, "fingerprint").where("doc_id = class_id").select("doc_id", "n_codes", "fingerprint", "codes", "asked").dropDuplicates(["fingerprint"])
     classes = stash(classes, "chroma-kinds")
     matches = search(classes.where("asked = 1"), classes)
     none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
@@ -345,7 +350,7 @@ def align_classes(recordings: DataFrame, step: int = QUERY_STEP) -> DataFrame:
         "fingerprint",
         *none(("query_id", "long"), ("offset", "long"), ("votes", "long"), ("overlap", "long"), ("bit_error_rate", "double")),
     )
-    pairs = matches.select(F.lit("match").alias("kind"), "doc_id", F.col("doc_id").alias("class_id"), *none(("n_codes", "long"), ("fingerprint", "string")), "query_id", "offset", "votes", "overlap", "bit_error_rate")
+    pairs = matches.select(F.lit("match").alias("kind"), "doc_id", F.col("doc_id").alias("class_id"), *none(("n_codes", "long")), "fingerprint", "query_id", "offset", "votes", "overlap", "bit_error_rate")
     return members.unionAll(pairs)
 
 

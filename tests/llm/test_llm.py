@@ -388,6 +388,16 @@ def test_chroma_of_short_recordings(spark):
     assert {(r.query_id, r.doc_id, r.offset, r.overlap) for r in got if r.kind == "match" and r.overlap > 1} == {(50, 5, 0, len(chroma.codes_of(pcm[5])))} and len(chroma.codes_of(pcm[5])) < chroma.MIN_OVERLAP
 
 
+def test_chroma_keeps_every_recording_of_a_doc_id(spark):
+    a, b = tone([220, 330, 550], 6000), tone([440, 700, 1250], 6000)
+    rows = [(1, a), (1, b), (2, b), (50, a[640:]), (100, b[1280:])]
+    got = chroma.align_classes(spark.createDataFrame([(i, bytearray(x)) for i, x in rows], "doc_id long, pcm binary")).collect()
+    prints = {x: hashlib.sha256(chroma.codes_of(x).astype("<u4").tobytes()).hexdigest() for x in (a, b)}
+    found = {(r.query_id, r.doc_id, r.fingerprint, r.offset) for r in got if r.kind == "match"}
+    assert {(50, 1, prints[a], 10), (100, 1, prints[b], 20)} <= found
+    assert sorted((r.doc_id, r.fingerprint) for r in got if r.kind == "member" and r.class_id == 1) == sorted([(1, prints[a]), (1, prints[b]), (2, prints[b])])
+
+
 # --- licences and chat ---------------------------------------------------------------------------
 
 
