@@ -49,6 +49,14 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, by the planner's statistics; 0 if it is more than a scan of files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if leaves.size() != 1 or leaves.apply(0).nodeName() != "LogicalRelation":
+        return 0
+    return int(str(leaves.apply(0).stats().sizeInBytes()))
+
+
 # --- words and 64-bit hashes, over many texts at once -------------------------------------------
 
 _MASK = (1 << 64) - 1

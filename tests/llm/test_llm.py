@@ -57,18 +57,31 @@ def test_bpe_agrees_with_the_library_and_round_trips(spark):
     assert back == Counter((i, t or "") for i, t in texts)
 
 
-def test_bpe_decodes_each_document_from_its_whole_list_of_ids(spark, monkeypatch):
-    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
-
-    run, decoded = [], []
-    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: run.append(f))
-    bpe.encode(docs(spark, []), with_ids=True)
-    texts = pa.record_batch({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a b a", ""]})
-    real = bpe.decode_ids
-    monkeypatch.setattr(bpe, "decode_ids", lambda ids, table: decoded.append(list(ids)) or real(ids, table))
-    out = run[0](pa.table({"data": pa.array([bpe._ipc(texts)], pa.binary())}), pa.table({"data": pa.array([], pa.binary())}))
-    assert decoded == out.column("ids").to_pylist() and len(decoded[0]) > 1 and decoded[1] == []
-    assert out.column("decoded_sha256").to_pylist() == [hashlib.sha256(t).hexdigest() for t in (b"a b a", b"")]
+def test_bpe_blocks_and_repeated_words(spark):
+    rng = random.Random(9)
+    pool = ["the", "zqxjv", "Ünïcode", "日本語", "12345678", "\n\n  ", "a" * 200]
+    texts = [(i % 40, " ".join(rng.choice(pool) + str(rng.randrange(30)) for _ in range(rng.randrange(80)))) for i in range(200)] + [(None, None)]
+    own = reference_bpe()
+    want = Counter((i, tuple(own.encode_ordinary(t or ""))) for i, t in texts)
+    for block_bytes in (1, 500, 1 << 24):
+        got = bpe.encode(docs(spark, texts).repartition(3), with_ids=True, block_bytes=block_bytes)
+        assert Counter((r.doc_id, tuple(r.ids)) for r in got.collect()) == want
+    assert bpe.encode(docs(spark, [])).count() == 0
+
+
+def test_bpe_encodes_a_word_once_and_does_not_shuffle_texts(spark):
+    plan = bpe.encode(docs(spark, EDGES))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "Bucketed: true" in plan
+    parts = [bpe._vocabulary(bpe.default_path())[0]]
+    assert bpe.merge_word(b"zqxjv", parts[0]) == reference_bpe().encode_ordinary("zqxjv")
+
+
+def test_bpe_decodes_by_the_token_table(spark):
+    ranks = bpe.load_ranks(bpe.default_path())
+    by_rank = {i: b for b, i in ranks.items()}
+    rows = [(1, [5, 300, 7000]), (2, []), (3, None), (4, [max(by_rank) + 1]), (5, [-1, 5]), (None, [65])]
+    got = {r.doc_id: None if r.text is None else bytes(r.text) for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    assert got == {1: by_rank[5] + by_rank[300] + by_rank[7000], 2: b"", 3: None, 4: None, 5: None, None: by_rank[65]}
 
 
 def test_bpe_merges_long_words_alike():
