@@ -1,7 +1,7 @@
 """A quality classifier by co-training.
 
-Two views of a document: what its text holds (shares of kinds of bytes, repetition of words and lines,
-sizes of words), and its page metadata (language, source, stated length), each with a ridge logistic
+Two views of a document: what its text holds (its words by hash, shares of kinds of bytes, repetition of
+words and lines, sizes of words), and its page metadata (language, source, stated length), each with a ridge logistic
 model. Over rounds either view labels the pool's documents that it is most sure of, and the other view
 learns from them. Both are then calibrated on labelled documents that neither has seen, and their
 log-odds are added (less the prior's, which both hold).
@@ -37,6 +37,8 @@ _GROUPS[97:123], _GROUPS[65:91], _GROUPS[48:58], _GROUPS[32], _GROUPS[10], _GROU
 _PUNCT = [i for i in range(33, 127) if not chr(i).isalnum()]
 _GROUPS[_PUNCT] = 7 + np.arange(len(_PUNCT))
 N_GROUPS = 7 + len(_PUNCT)
+#: Words are counted by a hash into so many columns.
+WORD_COLUMNS = 128
 
 
 def text_features(text: bytes) -> np.ndarray:
@@ -49,7 +51,8 @@ def text_features(text: bytes) -> np.ndarray:
     lines = text.split(b"\n")
     few = len(times) / n
     extra = [np.log1p(len(words)) / 10, few, few * np.log1p(n) / 10, times.max() / n if len(times) else 0.0, *near, len(set(lines)) / len(lines), len(raw) / n / 10, float((times > 1).sum()) / n]
-    return np.concatenate([np.sqrt(shares), extra, [shares[7:].sum(), shares[2] / (shares[1] + shares[2] + 1e-9)]])
+    held = np.bincount((words % np.uint64(WORD_COLUMNS)).astype(np.int64), minlength=WORD_COLUMNS) / n
+    return np.concatenate([np.sqrt(shares), np.sqrt(held), extra, [shares[7:].sum(), shares[2] / (shares[1] + shares[2] + 1e-9)]])
 
 
 N_TEXT = len(text_features(b""))
@@ -165,11 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     def part(df: DataFrame, most: int, seed: str) -> DataFrame:
         n = df.count()
         picked = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < min(1.0, most / max(1, n)) * 1_000_003
-        return df.where(picked).limit(2 * most)
+        return df.where(picked).orderBy(F.xxhash64("doc_id", F.lit(seed)), *df.columns[:1]).limit(2 * most)
 
     agreed = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y")).where("y <> 0.5").select("doc_id", (F.col("y") > 0.5).cast("int").alias("y"))
     some = part(agreed, labelled, "labels")  # at most 2 * labelled rows of 12 bytes: broadcast whatever the input
-    known = _features(docs.join(F.broadcast(some), "doc_id"), ["doc_id", "y"]).limit(4 * labelled).toPandas().sort_values("doc_id", kind="stable")
+    known = _features(docs.join(F.broadcast(some), "doc_id"), ["doc_id", "y"]).orderBy("doc_id", "tf", "mf").limit(4 * labelled).toPandas().sort_values("doc_id", kind="stable")
     ids = set(known["doc_id"])
     rest = _features(part(docs.where("doc_id IS NOT NULL"), pool, "pool"), ["doc_id"]).toPandas().sort_values("doc_id", kind="stable")
     rest = rest[~rest["doc_id"].isin(ids)]

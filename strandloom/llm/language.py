@@ -5,7 +5,7 @@ embedded bytes, max pooling over the window, one linear layer and softmax give e
 probabilities, and the whole text's are the mean of the windows' logarithms, weighted by their letters.
 
 Prediction reads the text alone. A null text or one without a letter is `und` with score 0. Training
-reads texts with a language; rows without one, or with a null or empty text, are left out. Empty
+reads texts with a language; rows without one, or with a text that is null or has no letter, are left out. Empty
 tables give no rows; without any usable training row every prediction is `und`. Repeated rows and
 equal doc_ids get a result each. Other columns may be present; they are not read.
 """
@@ -44,7 +44,12 @@ def _symbol_table() -> np.ndarray:
 
 _SYMBOL = _symbol_table()
 _LETTERISH = (_SYMBOL < 26) | (_SYMBOL >= 94)
-_has_letter = re.compile(r"[^\W\d_]").search
+_ascii_letter = re.compile("[A-Za-z]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by its Unicode category; number signs and marks are none."""
+    return bool(_ascii_letter(text)) or any(map(str.isalpha, text))
 
 
 def windows_of(text: bytes) -> np.ndarray:
@@ -144,9 +149,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", texts: int =
     known = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("y"), F.col(text).alias("x"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
-    net = ByteConvNet(languages)
     if not languages:
-        return net
+        return ByteConvNet([])
     share = F.lit(0.0)
     for y in languages:
         share = F.when(F.col("y") == y, F.lit(min(1.0, texts / counts[y]))).otherwise(share)
@@ -155,11 +159,13 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", texts: int =
     picked = (
         known.where(F.pmod(F.xxhash64("x", F.lit("language")), F.lit(1_000_003)) < share * 1_000_003)
         .select("y", F.xxhash64("x").alias("k"), F.substring("x", offset.cast("int"), F.lit(bytes_wanted)).alias("x"))
+        .orderBy("k", "y", "x")
         .limit(2 * texts * len(languages))
         .toPandas()
-        .sort_values(["k", "y"])
     )
-    rows = [(w, y) for y, x in zip(picked["y"], picked["x"], strict=True) if _has_letter(x) for w in windows_of(x.encode()[:bytes_wanted])]
+    rows = [(w, y) for y, x in zip(picked["y"], picked["x"], strict=True) if has_letter(x) for w in windows_of(x.encode()[:bytes_wanted])]
+    languages = sorted({y for _, y in rows})  # those that something was learned of
+    net = ByteConvNet(languages)
     if rows:
         net.fit(np.stack([w for w, _ in rows]), np.array([languages.index(y) for _, y in rows]))
     return net
@@ -191,7 +197,7 @@ def predict(docs: DataFrame, net: ByteConvNet, keep: list[str] | None = None, te
                     held.clear()
                     owners.clear()
 
-            usable = [bool(x) and bool(net.languages) and bool(_has_letter(x)) for x in texts]
+            usable = [bool(x) and bool(net.languages) and bool(has_letter(x)) for x in texts]
             n = 0
             for i, x in enumerate(texts):
                 if usable[i]:

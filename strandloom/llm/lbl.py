@@ -12,16 +12,18 @@ score, and a log-sum-exp over each row makes them normalised log-probabilities.
 vocabulary gets its class's probability times (c + 1) / (sum of c + 1 over the class + 1), the last 1
 being for unseen words; so the probabilities of all known words and one unseen word per class sum to 1.
 
-Counts of the HEAD most frequent short words are broadcast (a fixed size bound); rarer words of each
-text are shuffled by the word and joined to their counts, so no key is hot.
+Counts of the HEAD most frequent words are broadcast (a fixed size bound); rarer words of each
+text are shuffled by the word and joined to their counts, so no key is hot. A word of more than
+LONG_WORD bytes goes by its digest and last two bytes, in counts, vocabulary and joins alike.
 
 Null and empty texts hold the end alone. Repeated rows and equal doc_ids get a result each. If nothing
-is held in for training, N and V are 0 and every model probability falls back to 1 / (N + V + 1) of
-the base. Empty tables give no rows. Other columns may be present; they are not read.
+is held in for training, N and V are 0, the base gives every token 1 / (0 + 0 + 1), and the model, whose
+symbols are then the end and the classes, gives each of them the same probability. Empty tables give no rows. Other columns may be present; they are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,13 +36,17 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 WORDS, CLASSES, DIM, NOISE, STEPS = 1024, 127, 48, 10, 120
-#: So many frequent words of at most HEAD_BYTES bytes are broadcast with their counts.
-HEAD, HEAD_BYTES = 131_072, 48
+#: So many frequent words are broadcast with their counts; words of more than LONG_WORD bytes go by a digest.
+HEAD, LONG_WORD = 131_072, 48
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """A-Z lowered; runs without 0x20 and 0x09-0x0D."""
-    return text.lower().split()
+    """A-Z lowered; runs without 0x20 and 0x09-0x0D, long ones by a digest that keeps their last two bytes."""
+    found = text.lower().split()
+    if len(text) > LONG_WORD:
+        for i in [i for i, w in enumerate(found) if len(w) > LONG_WORD]:
+            found[i] = b"\0" + hashlib.sha256(found[i]).digest() + found[i][-2:]
+    return found
 
 
 def class_of(word: bytes, classes: int = CLASSES) -> int:
@@ -110,17 +116,16 @@ def count_pairs(texts: DataFrame, vocabulary) -> DataFrame:
 
 
 def least_head_count(counts: DataFrame, head_size: int) -> int:
-    """The smallest count that at most head_size short words reach, told from histograms of counts.
+    """The smallest count that at most head_size words reach, told from histograms of counts.
 
     First by powers of two, then within the power where the number is passed: few rows reach the driver,
     as large counts are few and small counts have few values.
     """
-    short = counts.where(F.length("word") <= HEAD_BYTES)
-    rough = {r["k"]: r["m"] for r in short.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("m")).collect()}
+    rough = {r["k"]: r["m"] for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("m")).collect()}
     have = 0
     for k in sorted(rough, reverse=True):
         if have + rough[k] > head_size:
-            fine = short.where((F.floor(F.log2("n")) == k)).groupBy("n").agg(F.count("*").alias("m")).collect()
+            fine = counts.where((F.floor(F.log2("n")) == k)).groupBy("n").agg(F.count("*").alias("m")).collect()
             least = 2 ** (k + 1)
             for row in sorted(fine, key=lambda r: -r["n"]):
                 have += row["m"]
@@ -175,7 +180,7 @@ def score(docs: DataFrame, training: Column, words: int = WORDS, classes: int =
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] + ends, totals["v"] + (ends > 0)
     least = least_head_count(counts, head_size)
-    head = counts.where((F.length("word") <= HEAD_BYTES) & (F.col("n") >= least)).toPandas()
+    head = counts.where(F.col("n") >= least).toPandas()
     head = sorted(((bytes(w), int(c)) for w, c in zip(head["word"], head["n"], strict=True)), key=lambda x: (-x[1], x[0]))
     vocabulary = Vocabulary(head, words, classes)
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -227,7 +232,7 @@ def score(docs: DataFrame, training: Column, words: int = WORDS, classes: int =
     scored = stash(scored.withColumn("row", F.monotonically_increasing_id()), "lbl-rows")
     # words outside the broadcast head: add log10(c + 1) where the count is known, else 0
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("times"))
-    below = counts.where((F.col("n") < least) | (F.length("word") > HEAD_BYTES)).select("word", "n")
+    below = counts.where(F.col("n") < least).select("word", "n")
     added = rare.join(below, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0) * F.col("times")).alias("extra"), F.sum("times").alias("known"))
     extra = F.coalesce("extra", F.lit(0.0))
     return scored.drop("tail", "tail_n").join(added, "row", "left").select(
