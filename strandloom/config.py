@@ -128,7 +128,7 @@ class Posthoc:
     subchain_ratio: float = 2.0
     subchain_fuzzy: int = 5
     subchain_slack: int = 50
-    protected: tuple[str, ...] = ("FSM",)
+    protected: tuple[str, ...] = ("FSM", "INFERRED")
 
 
 @dataclass(frozen=True)

@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import proper_suffixes, support
+from .molecules import support_counts
 
 KEY = ["contig", "strand", "chain"]
 
 
 def chain_groups(reads: DataFrame) -> DataFrame:
-    """reads(contig, strand, chain, cell, umi, read_id) to one row for each exact chain; mono-exonic reads stay out.
+    """reads(contig, strand, chain, cell, umi, read_id, and tss if there) to one row for each exact chain; mono-exonic reads stay out.
 
-    Arrays of structs are legal keys, so it is one aggregate with partial sums before the shuffle.
+    Arrays of structs are legal keys, so reads meet in one aggregate with partial sums before the shuffle.
+    n_mols counts molecules after directional merging of UMIs, as everywhere; five is the farthest 5' end.
     """
-    return reads.where(F.size("chain") > 0).groupBy(*KEY).agg(
-        F.count("*").alias("n_reads"),
-        F.count_distinct("cell", "umi").alias("n_mols"),
-        F.count_distinct("cell").alias("n_cells"),
-        F.min("read_id").alias("first_read"),
-    )
+    extra = [F.min("read_id").alias("first_read")]
+    if "tss" in reads.columns:
+        extra += [F.min("tss").alias("_lo"), F.max("tss").alias("_hi")]
+    out = support_counts(reads.where(F.size("chain") > 0), KEY, *extra)
+    if "tss" in reads.columns:
+        out = out.withColumn("five", F.when(F.col("strand") == "-", F.col("_hi")).otherwise(F.col("_lo"))).drop("_lo", "_hi")
+    return out
 
 
 def annotate(groups: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -38,11 +41,14 @@ def assign_genes(groups: DataFrame, transcript_junctions: DataFrame) -> DataFram
     return groups.join(best, KEY, "left").withColumn("gene_id", F.coalesce("tx_gene", "near_gene")).drop("near_gene")
 
 
-def mark_candidates(groups: DataFrame, min_umis: int = 3, min_reads: int = 5, min_share: float = 0.01) -> DataFrame:
-    """groups with share (of its gene's support) and candidate; annotated chains always are."""
+def mark_candidates(groups: DataFrame, min_umis: int = 3, min_reads: int = 5, min_share: float = 0.01, max_lfdr: float | None = None) -> DataFrame:
+    """groups with share (of its gene's support) and candidate; annotated chains always are.
+
+    max_lfdr: novel chains of a higher lfdr are none; null is no opinion.
+    """
     share = F.col("support") / F.sum("support").over(Window.partitionBy("gene_id"))
     share = F.when(F.col("gene_id").isNotNull(), share)
-    enough = (F.col("n_reads") >= min_reads) & (F.coalesce(F.col("share"), F.lit(1.0)) >= min_share)
+    enough = (F.lit(True) if max_lfdr is None else F.coalesce(F.col("lfdr") <= max_lfdr, F.lit(True))) & (F.col("n_reads") >= min_reads) & (F.coalesce(F.col("share"), F.lit(1.0)) >= min_share)
     use = groups.agg((F.coalesce(F.max("n_mols"), F.lit(0)) > 0).alias("use_mols"))  # one row: a count of a counted table
     out = groups.withColumn("share", share).join(F.broadcast(use))
     return out.withColumn("candidate", F.col("annotated") | (enough & (~F.col("use_mols") | (F.col("n_mols") >= min_umis)))).drop("use_mols")
@@ -89,6 +95,7 @@ def resolve_suffixes(groups: DataFrame, debris: float = 0.33, dominant: float =
     facts = _with_parents(maximal_parents(groups), groups).join(groups.select(*KEY, "support", "annotated", "tss_evidence", "n_reads"), KEY)
     ratio = F.col("support") / F.col("top_support")
     ann = F.col("n_annotated_parents")
+    # The classes' names.
     kind = (
         F.when(F.col("annotated"), "annotated_kept")
         .when((ann > 0) & F.col("tss_evidence"), "alt_tss_kept")

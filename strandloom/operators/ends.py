@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import more_distal, support
+from .joins import runs_by_gap
 
 
 def histogram(reads: DataFrame, keys: list[str], pos: str = "tts", weight: Column | None = None) -> DataFrame:
@@ -28,8 +29,8 @@ def peak_seed(hist: DataFrame, keys: list[str], window: int) -> DataFrame:
     return hist.withColumn("mass", mass).groupBy(*keys).agg(F.min(F.struct(-F.round("mass", 9), F.col("pos"))).alias("b")).select(*keys, F.col("b.pos").alias("pos"), (-F.col("b.col1")).alias("mass"))
 
 
-def greedy_peaks(pos: np.ndarray, weight: np.ndarray, window: int) -> tuple[np.ndarray, list[int]]:
-    """Labels of sorted distinct positions, and each label's peak: the weighted median of what it claimed.
+def greedy_peaks(pos: np.ndarray, weight: np.ndarray, window: int) -> tuple[np.ndarray, list[int], list[float], list[int]]:
+    """Labels of sorted distinct positions, and each label's peak (the weighted median of what it claimed), mass and centre.
 
     Again and again the position with most unclaimed weight within the window (leftmost on ties) claims
     all positions within the window.
@@ -38,6 +39,8 @@ def greedy_peaks(pos: np.ndarray, weight: np.ndarray, window: int) -> tuple[np.n
     left = weight.astype(float).copy()
     lo, hi = np.searchsorted(pos, pos - window, "left"), np.searchsorted(pos, pos + window, "right")
     peaks: list[int] = []
+    masses: list[float] = []
+    centres: list[int] = []
     open_ = np.ones(len(pos), bool)
     while open_.any():
         sums = np.r_[0.0, np.cumsum(left)]
@@ -47,27 +50,35 @@ def greedy_peaks(pos: np.ndarray, weight: np.ndarray, window: int) -> tuple[np.n
         mine = mine[open_[mine]]
         run = np.cumsum(left[mine])
         peaks.append(int(pos[mine[min(int(np.searchsorted(run, run[-1] / 2)), len(mine) - 1)]]))
+        masses.append(float(mass[k]))
+        centres.append(int(pos[k]))
         label[mine] = len(peaks) - 1
         left[mine] = 0
         open_[mine] = False
-    return label, peaks
+    return label, peaks, masses, centres
 
 
 def cluster_ends(hist: DataFrame, keys: list[str], window: int = 30) -> DataFrame:
-    """hist(keys, pos, w) with peak (its position) and label."""
-    groups = hist.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("h"))
+    """hist(keys, pos, w) with peak (its position) and label (peaks of a key by falling mass when they were chosen).
 
-    @F.pandas_udf("array<struct<label:bigint,peak:bigint>>")
+    Positions over `window` apart can't touch each other's mass or claims, so a key is first cut into
+    stretches without such a gap; Python gets one stretch's distinct positions at a time.
+    """
+    groups = runs_by_gap(hist, keys, "pos", window).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("h"))
+
+    @F.pandas_udf("array<struct<label:bigint,peak:bigint,mass:double,centre:bigint>>")
     def cluster(pos: pd.Series, w: pd.Series) -> pd.Series:
         out = []
         for p, x in zip(pos, w, strict=True):
-            label, peaks = greedy_peaks(np.asarray(p, np.int64), np.asarray(x, float), window)
-            out.append([{"label": int(i), "peak": peaks[i]} for i in label])
+            label, peaks, masses, centres = greedy_peaks(np.asarray(p, np.int64), np.asarray(x, float), window)
+            out.append([{"label": int(i), "peak": peaks[i], "mass": masses[i], "centre": centres[i]} for i in label])
         return pd.Series(out)
 
     rows = groups.withColumn("c", cluster(F.transform("h", lambda x: x["pos"]), F.transform("h", lambda x: x["w"])))
     rows = rows.select(*keys, F.explode(F.arrays_zip("h", "c")).alias("r"))
-    return rows.select(*keys, F.col("r.h.pos").alias("pos"), F.col("r.h.w").alias("w"), F.col("r.c.label").alias("label"), F.col("r.c.peak").alias("peak"))
+    rows = rows.select(*keys, F.col("r.h.pos").alias("pos"), F.col("r.h.w").alias("w"), F.col("r.c.peak").alias("peak"), (-F.col("r.c.mass")).alias("_m"), F.col("r.c.centre").alias("_c"))
+    label = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_m", "_c")) - 1
+    return rows.withColumn("label", label.cast("long")).select(*keys, "pos", "w", "label", "peak")
 
 
 def peak_gate(peaks: DataFrame, keys: list[str], annotated: DataFrame | None = None, min_reads: int = 5, min_mols: int = 3, near: int = 30) -> DataFrame:
@@ -146,36 +157,48 @@ def promoted(most_dispersion: float = 12.0) -> Column:
 def prune_terminal(models: DataFrame, keys: list[str], most_dispersion: float = 12.0, max_dist: int = 5000, ratio: float = 2.0, min_share: float = 0.3) -> DataFrame:
     """models(keys with strand, model_id, three, n_mols, n_reads, end_annotated, at_polya_site, step_supported, dispersion) with absorbed_into and tier.
 
+    Shares and tiers are taken after absorption, of the support that survivors then hold.
     A shorter variant that earned no place folds into the best-supported more distal sibling that did;
     where none did, into one of `ratio` times its support. A sibling that is itself absorbed is no
     target, which is settled from the most distal end inwards, so this last case is a Python group.
     """
     m = models.withColumns({"mass": support(F.col("n_mols"), F.greatest("n_reads", F.lit(1))).cast("double"), "promoted": promoted(most_dispersion)})
-    schema = m.select("*").schema.add("absorbed_into", "string").add("candidate_share", "double").add("tier", "string")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        plus = pdf["strand"].iloc[0] == "+"
-        pdf = pdf.sort_values(["three", "model_id"], ascending=[not plus, True], kind="stable").reset_index(drop=True)
-        three, mass = pdf["three"].to_numpy(np.int64), pdf["mass"].to_numpy(float)
-        fixed = pdf["end_annotated"].to_numpy(bool)
-        earned = pdf["promoted"].to_numpy(bool)
-        anchor = bool((fixed | earned).any())
-        into: list[str | None] = [None] * len(pdf)
-        gone = np.zeros(len(pdf), bool)
-        for i in range(len(pdf)):
-            if fixed[i] or earned[i]:
-                continue
-            ok = [j for j in range(i) if not gone[j] and three[j] != three[i] and abs(three[j] - three[i]) <= max_dist and ((fixed[j] or earned[j]) if anchor else mass[j] >= ratio * mass[i])]
-            if ok:
-                best = max(ok, key=lambda j: (mass[j], -j))
-                into[i], gone[i] = pdf["model_id"].iloc[best], True
-        total = mass[~fixed & earned & ~gone].sum()
-        share = np.where(~fixed & earned & ~gone, mass / total if total else 1.0, np.nan)
-        site = pdf["at_polya_site"].fillna(False).to_numpy(bool)
-        tier = np.where(gone, None, np.where(fixed, "annotated", np.where(~earned, "unsupported", np.where((share >= min_share) | site, "high", "reported"))))
-        return pdf.assign(absorbed_into=into, candidate_share=share, tier=tier)
-
-    return m.groupBy(*keys).applyInPandas(run, schema)
+    facts = F.struct(F.when(F.col("strand") == "-", F.col("three")).otherwise(-F.col("three")).alias("at"), "model_id", "mass", F.col("end_annotated").alias("fixed"), F.col("promoted").alias("earned"), F.coalesce("at_polya_site", F.lit(False)).alias("site"))
+    groups = m.groupBy(*keys).agg(F.array_sort(F.collect_list(facts)).alias("v"))  # a chain's ends, the most distal first
+
+    @F.pandas_udf("array<struct<into:string,share:double,tier:string>>")
+    def judge(variants: pd.Series) -> pd.Series:
+        return pd.Series([_absorb(list(v), max_dist, ratio, min_share) for v in variants])
+
+    judged = groups.withColumn("r", judge("v")).select(*keys, F.explode(F.arrays_zip("v", "r")).alias("z"))
+    judged = judged.select(*keys, F.col("z.v.model_id").alias("model_id"), F.col("z.r.into").alias("absorbed_into"), F.col("z.r.share").alias("candidate_share"), F.col("z.r.tier").alias("tier"))
+    return m.join(judged, [*keys, "model_id"])
+
+
+def _absorb(variants: list, max_dist: int, ratio: float, min_share: float) -> list[dict]:
+    """What becomes of a chain's ends, which come most distal first: absorbed into another, or a tier with a share."""
+    mass = [v["mass"] for v in variants]
+    held = [v["fixed"] or v["earned"] for v in variants]
+    into: list[int | None] = [None] * len(variants)
+    for i, v in enumerate(variants):
+        if held[i]:
+            continue
+        able = [j for j in range(i) if into[j] is None and 0 < v["at"] - variants[j]["at"] <= max_dist and (held[j] if any(held) else mass[j] >= ratio * mass[i])]
+        if able:
+            into[i] = max(able, key=lambda j: (mass[j], -j))
+    # shares and tiers are of what is left, with the support that it has taken in
+    left = list(mass)
+    for i, j in enumerate(into):
+        if j is not None:
+            left[j] += mass[i]
+    running = [into[i] is None and v["earned"] and not v["fixed"] for i, v in enumerate(variants)]
+    total = sum(x for x, r in zip(left, running, strict=True) if r)
+    out = []
+    for i, v in enumerate(variants):
+        share = left[i] / total if running[i] and total else None
+        tier = None if into[i] is not None else "annotated" if v["fixed"] else "unsupported" if not v["earned"] else "high" if v["site"] or share >= min_share else "reported"
+        out.append({"into": None if into[i] is None else variants[into[i]]["model_id"], "share": share, "tier": tier})
+    return out
 
 
 def more_distal_pairs(models: DataFrame, keys: list[str]) -> DataFrame:

@@ -63,3 +63,36 @@ def interval_union(rows: DataFrame, keys: list[str]) -> DataFrame:
     marked = rows.select(*keys, "s", "e").distinct().withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
     numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
+
+
+def runs_by_gap(rows: DataFrame, keys: list[str], pos: str, gap: int, span: int = 1 << 20) -> DataFrame:
+    """rows with _run: the first position of the stretch that theirs belongs to; stretches lie over `gap` apart.
+
+    Distinct positions are sorted within ranges of `span`; what a range's first position joins on to is
+    told by the last ones of the ranges before it, so no task holds more than a range, and a stretch may
+    cross any number of them.
+    """
+    at = rows.select(*keys, F.col(pos).alias("_x")).distinct().withColumn("_r", F.floor(F.col("_x") / span))
+    inner = Window.partitionBy(*keys, "_r").orderBy("_x")
+    edges = at.groupBy(*keys, "_r").agg(F.max("_x").alias("_hi"))
+    before = Window.partitionBy(*keys).orderBy("_r")
+    edges = edges.select(*keys, "_r", F.lag("_hi").over(before).alias("_last"))
+    at = at.join(edges, [*keys, "_r"]).withColumn("_prev", F.coalesce(F.lag("_x").over(inner), "_last"))
+    at = at.withColumn("_first", F.when(F.col("_prev").isNull() | (F.col("_x") - F.col("_prev") > gap), F.col("_x")))
+    carried = at.groupBy(*keys, "_r").agg(F.max("_first").alias("_open"))
+    carried = carried.select(*keys, "_r", F.last("_open", True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"))
+    own = F.max("_first").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    runs = at.withColumn("_own", own).join(carried, [*keys, "_r"]).select(*keys, F.col("_x").alias(pos), F.coalesce("_own", "_from").alias("_run"))
+    return rows.join(runs, [*keys, pos])
+
+
+def numbered(ids: DataFrame, column: str, name: str) -> DataFrame:
+    """Distinct values of a column with a number from 1 in their order: counted by ranges, not in one task."""
+    from ..plans.lineage import cut
+
+    # the ranges are kept, so that both readings of them see the same parts
+    parts = cut(ids.select(column).distinct().repartitionByRange(F.col(column)).select(column, F.spark_partition_id().alias("_part")))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each part
+    sizes = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(column))
+    return parts.withColumn("_place", place).join(F.broadcast(sizes), "_part").select(column, (F.col("_place") + F.col("_before")).cast("int").alias(name))

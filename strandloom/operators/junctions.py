@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import oriented
-from .joins import nearest_within
+from .joins import nearest_within, runs_by_gap
 
 KEY = ["contig", "strand", "donor", "acceptor"]
 
@@ -74,15 +74,13 @@ def snap_map(junctions: DataFrame, annotated: DataFrame, site: str, tol: int = 5
     """
     counted = junctions.groupBy("contig", "strand", F.col(site).alias("pos")).agg(F.sum("n_reads").alias("n"))
     known = nearest_within(counted, annotated.select("contig", "strand", F.col(site).alias("site")), ["contig", "strand"], tol)
-    w = Window.partitionBy("contig", "strand", F.floor(F.col("pos") / 1_000_000)).orderBy("pos")
-    rest = known.where("site IS NULL").withColumn("fresh", F.when(F.col("pos") - F.lag("pos").over(w) <= tol, 0).otherwise(1))
-    rest = rest.withColumn("stretch", F.sum("fresh").over(w)).withColumn("mb", F.floor(F.col("pos") / 1_000_000))
+    rest = runs_by_gap(known.where("site IS NULL"), ["contig", "strand"], "pos", tol)
 
     def seed(pdf: pd.DataFrame) -> pd.DataFrame:
         to = seed_sites(list(zip(pdf["pos"], pdf["n"], strict=True)), tol)
         return pdf[["contig", "strand", "pos"]].assign(to=pdf["pos"].map(to))
 
-    seeded = rest.groupBy("contig", "strand", "mb", "stretch").applyInPandas(seed, rest.select("contig", "strand", "pos").schema.add("to", "long"))
+    seeded = rest.groupBy("contig", "strand", "_run").applyInPandas(seed, rest.select("contig", "strand", "pos").schema.add("to", "long"))
     return known.where("site IS NOT NULL").select("contig", "strand", "pos", F.col("site").alias("to")).unionByName(seeded)
 
 
@@ -110,6 +108,7 @@ def curate(
     """
     use = features.agg((F.coalesce(F.max("n_mols"), F.lit(0)) > 0).alias("use_mols"))
     allowed = F.col("motif_class").isin("canonical", "unknown") | ((F.col("motif_class") == "semi_canonical") & ((F.coalesce("sr_n_libs", F.lit(0)) >= min_libraries) | (F.col("n_reads") >= conditional_reads)))
+    # The reasons' names.
     reason = (
         F.when(F.col("annotated"), F.lit(None))
         .when(F.col("use_mols") & (F.col("n_mols") < min_umis), "low_molecules")
@@ -134,6 +133,7 @@ def read_status(records: DataFrame, curated: DataFrame) -> DataFrame:
 
 def gate(alignments: DataFrame, min_coverage: float = 0.9, min_identity: float = 0.95, max_5p_clip: int = 200, min_mapq: int = 0, max_3p_clip: int | None = None) -> Column:
     """The first reason that keeps an alignment out, as a Column over (secondary, supplementary, mapq, coverage, identity, clip5, clip3); null if admitted."""
+    # The reasons' names.
     return (
         F.when(F.col("secondary"), "secondary")
         .when(F.col("supplementary"), "supplementary")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..functions.intervals import genomic, overlap, retained_introns, signed_offset, subchain_offsets, subsequence_gaps
 
 
@@ -99,7 +100,7 @@ def structural_class(models: DataFrame, transcripts: DataFrame, junctions: DataF
     return out.select("model_id", category.alias("category"), sub.alias("subcategory"), miss["m5"].alias("miss5"), miss["m3"].alias("miss3"), "novel_sites", "novel_combinations")
 
 
-def fragments(models: DataFrame, ratio: float = 2.0, fuzzy: int = 5, slack: int = 50, protected: tuple[str, ...] = ("FSM",), bucket: int = 1000) -> DataFrame:
+def fragments(models: DataFrame, ratio: float = 2.0, fuzzy: int = 5, slack: int = 50, protected: tuple[str, ...] = ("FSM", "INFERRED"), bucket: int = 1000) -> DataFrame:
     """(model_id, container): each unprotected model that is part of a longer one of `ratio` times its support, and the one it goes to.
 
     models(model_id, contig, strand, chain, exons, support, category). A part's introns stand in the
@@ -129,10 +130,11 @@ def surviving_targets(mapping: DataFrame, max_rounds: int = 20) -> DataFrame:
 
     Pointers are doubled: each round halves what is left of every path. One row per folded model.
     """
-    now = mapping.select("model_id", "container", F.col("container").alias("target")).persist()
+    now = cut(mapping.select("model_id", "container", F.col("container").alias("target")))
     for _ in range(max_rounds):
         step = now.select(F.col("model_id").alias("target"), F.col("target").alias("next"))
-        ahead = now.join(step, "target", "left").select("model_id", "container", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")).persist()
+        ahead = now.join(step, "target", "left").select("model_id", "container", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved"))
+        ahead = cut(ahead)
         if not ahead.where("moved").limit(1).count():
             return ahead.drop("moved")
         now = ahead.drop("moved")
@@ -143,8 +145,13 @@ def consolidate_ends(models: DataFrame, keys: list[str], end3: int = 200, end5:
     """models(keys, model_id, five, three, end_annotated, support, tx_len, start) with representative.
 
     By rank (annotated end, support, length, leftmost) each live model takes all live ones of its key
-    whose 3' end lies within end3 (and 5' end within end5, unless negative). Keys with one model don't go to Python.
+    whose 3' end lies within end3 (and 5' end within end5, unless negative). Models of category INFERRED
+    neither take nor are taken. Keys with one model don't go to Python.
     """
+    exempt = models.limit(0).withColumn("representative", F.col("model_id"))
+    if "category" in models.columns:
+        inferred = F.coalesce(F.col("category") == "INFERRED", F.lit(False))
+        exempt, models = models.where(inferred).withColumn("representative", F.col("model_id")), models.where(~inferred)
     sized = models.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     alone = sized.where("_n = 1").drop("_n").withColumn("representative", F.col("model_id"))
     many = sized.where("_n > 1").groupBy(*keys).agg(F.collect_list(F.struct("end_annotated", "support", "tx_len", "start", "five", "three", "model_id")).alias("ms"))
@@ -166,7 +173,7 @@ def consolidate_ends(models: DataFrame, keys: list[str], end3: int = 200, end5:
         return pd.Series(out)
 
     chosen = many.select(F.explode(choose("ms")).alias("c")).select("c.model_id", "c.representative")
-    return alone.unionByName(sized.where("_n > 1").drop("_n").join(chosen, "model_id").select(*alone.columns))
+    return alone.unionByName(sized.where("_n > 1").drop("_n").join(chosen, "model_id").select(*alone.columns)).unionByName(exempt)
 
 
 def end3_tier(excess: int = 8, share: float = 0.5, contrast: float = 0.1, most_dispersion: float = 12.0, max_lfdr: float | None = None) -> Column:

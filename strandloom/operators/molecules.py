@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import normalise_name
+from .joins import numbered
 
 
 def attach(reads: DataFrame, molecules: DataFrame, how: str = "none") -> DataFrame:
-    """Left join of molecules(read_name, cell, umi) by the normalised name; both sides are keyed alike."""
-    index = molecules.select(normalise_name(F.col("read_name"), how).alias("_name"), "cell", "umi").dropDuplicates(["_name"])
+    """Left join of molecules(read_name, cell, umi) by the normalised name; both sides are keyed alike.
+
+    Of rows whose names become one, that of the smallest (cell, umi) counts, whatever their order.
+    """
+    index = molecules.select(normalise_name(F.col("read_name"), how).alias("_name"), "cell", "umi").groupBy("_name").agg(F.min(F.struct("cell", "umi")).alias("_m")).select("_name", "_m.cell", "_m.umi")
     return reads.withColumn("_name", normalise_name(F.col("read_name"), how)).join(index, "_name", "left").drop("_name")
 
 
@@ -64,6 +68,25 @@ def _merge_udf():
     return merge
 
 
+def support_counts(reads: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+    """(keys, n_reads, n_mols, n_cells, extra..): molecules are UMIs of a cell after directional merging; unknown ones count as reads alone.
+
+    The counts of one aggregate feed the next, so reads are shuffled once, after partial sums. extra:
+    aggregates by min or max of a column, named by alias, that go along.
+    """
+    names = [c._jc.toString().rpartition(" AS ")[2].strip("`") for c in extra]
+    again = [F.expr(f"{'min' if c._jc.toString().lower().startswith('min') else 'max'}(`{n}`)").alias(n) for c, n in zip(extra, names, strict=True)]
+    known = F.col("cell").isNotNull() & F.col("umi").isNotNull()
+    each = reads.groupBy(*keys, "cell", "umi").agg(F.count("*").alias("_n"), *extra)
+    cells = each.groupBy(*keys, "cell").agg(F.sum("_n").alias("_n"), F.collect_list(F.when(known, F.struct(F.col("umi").alias("u"), F.col("_n").alias("n")))).alias("_m"), *again)
+    merged = F.size(_merge_udf()(F.transform("_m", lambda x: x["u"]), F.transform("_m", lambda x: x["n"])))
+    cells = cells.select(*keys, "cell", "_n", "_m", *names)
+    alone = cells.where(F.size("_m") < 2).withColumn("_k", F.size("_m"))
+    many = cells.where(F.size("_m") > 1).withColumn("_k", merged)
+    both = alone.unionByName(many)
+    return both.groupBy(*keys).agg(F.sum("_n").alias("n_reads"), F.sum("_k").cast("long").alias("n_mols"), F.count("cell").alias("n_cells"), *again)
+
+
 def molecule_weights(reads: DataFrame, keys: list[str]) -> DataFrame:
     """reads with weight: 1 over the reads of its molecule within the key; 1 where it is unknown."""
     n = F.count("*").over(Window.partitionBy(*keys, "cell", "umi"))
@@ -72,6 +95,5 @@ def molecule_weights(reads: DataFrame, keys: list[str]) -> DataFrame:
 
 def matrix(counts: DataFrame, model: str = "model_id") -> DataFrame:
     """(row, col, n) with indices from 1 in order of the ids, as a MatrixMarket body. counts: (model, cell, n)."""
-    rows = counts.select(model).distinct().withColumn("row", F.row_number().over(Window.orderBy(model)))
-    cols = counts.select("cell").distinct().withColumn("col", F.row_number().over(Window.orderBy("cell")))
+    rows, cols = numbered(counts, model, "row"), numbered(counts, "cell", "col")
     return counts.join(rows, model).join(cols, "cell").select("row", "col", model, "cell", "n")

@@ -56,9 +56,8 @@ def build(reads: DataFrame, transcripts: DataFrame, cfg: Config) -> dict[str, Da
     exons = transcripts.select("gene_id", "contig", "strand", F.explode("exons").alias("x")).select("gene_id", "contig", "strand", "x.s", "x.e")
     groups = C.positional_genes(C.assign_genes(C.annotate(C.chain_groups(kept), transcripts), known), exons)
     groups = C.mark_candidates(groups, c.min_umis, c.min_reads, c.min_share)
-    five = kept.groupBy(*C.KEY).agg(F.when(F.col("strand") == "+", F.min("tss")).otherwise(F.max("tss")).alias("five"))
     sites = transcripts.groupBy("contig", "strand").agg(F.collect_set("tss").alias("sites"))
-    groups = cut(groups.join(five, C.KEY).join(sites, ["contig", "strand"], "left").withColumn("tss_evidence", F.coalesce(F.exists("sites", lambda s: F.abs(s - F.col("five")) <= c.tss_distance), F.lit(False))).drop("sites", "five"))
+    groups = cut(groups.join(sites, ["contig", "strand"], "left").withColumn("tss_evidence", F.coalesce(F.exists("sites", lambda s: F.abs(s - F.col("five")) <= c.tss_distance), F.lit(False))).drop("sites", "five"))
     resolved = cut(C.resolve_suffixes(groups.where("candidate"), c.debris_ratio, c.dominant_ratio))
     lost = C.rehome(groups, resolved)
     mapping = cut(resolved.select(*C.KEY, "merge_class", "target").unionByName(lost.select(*C.KEY, "merge_class", "target")))
@@ -67,9 +66,9 @@ def build(reads: DataFrame, transcripts: DataFrame, cfg: Config) -> dict[str, Da
 
     peaks = E.cluster_ends(E.histogram(rooted, C.KEY), C.KEY, e.peak_window).select(*C.KEY, F.col("pos").alias("tts"), "peak")
     ended = rooted.join(peaks, [*C.KEY, "tts"])
-    gate = E.peak_gate(ended.groupBy(*C.KEY, "peak").agg(F.count("*").alias("n_reads"), F.count_distinct("cell", "umi").alias("n_mols")), C.KEY, transcripts.select(*C.KEY, F.col("tts").alias("end")), e.min_reads, e.min_umis if _has_umis(reads) else 0, e.peak_window)
+    gate = E.peak_gate(U.support_counts(ended, [*C.KEY, "peak"]), C.KEY, transcripts.select(*C.KEY, F.col("tts").alias("end")), e.min_reads, e.min_umis if _has_umis(reads) else 0, e.peak_window)
     ended = cut(ended.join(gate.select(*C.KEY, "peak", "to"), [*C.KEY, "peak"]).drop("peak").withColumnRenamed("to", "three"))
-    shape = ended.groupBy(*C.KEY, "three").agg(F.count("*").alias("n_reads"), F.count_distinct("cell", "umi").alias("n_mols"), F.count_distinct("cell").alias("n_cells"), F.stddev_pop("tts").alias("dispersion"))
+    shape = U.support_counts(ended, [*C.KEY, "three"]).join(ended.groupBy(*C.KEY, "three").agg(F.stddev_pop("tts").alias("dispersion")), [*C.KEY, "three"])
     ends5 = E.five_prime(ended, C.KEY, e.percentile).select(*C.KEY, "three", "five")
     models = shape.join(ends5, [*C.KEY, "three"]).join(groups.select(*C.KEY, "gene_id", "annotated"), C.KEY)
     models = models.withColumns({"model_id": F.concat_ws("|", F.col("contig").cast("string"), "strand", I.chain_repr(F.col("chain")), F.col("three").cast("string")), "exons": I.build_exons(F.col("chain"), F.col("strand"), F.col("five"), F.col("three"))})
@@ -95,7 +94,7 @@ def _has_umis(reads: DataFrame) -> bool:
 
 def _recount(models: DataFrame, folds: DataFrame) -> DataFrame:
     """models that still have reads, with their counts from the reads they now hold."""
-    n = folds.groupBy("model_id").agg(F.count("*").alias("n_reads"), F.count_distinct("cell", "umi").alias("n_mols"), F.count_distinct("cell").alias("n_cells"))
+    n = U.support_counts(folds, ["model_id"])
     return cut(models.drop("n_reads", "n_mols", "n_cells", "support").join(n, "model_id").withColumn("support", I.support(F.col("n_mols"), F.col("n_reads"))))
 
 

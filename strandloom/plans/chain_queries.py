@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import chain_repr
 from ..operators import chains as C
 from . import virtual as V
+from .lineage import cut
 
 R = chain_repr
 
@@ -17,15 +18,13 @@ def groups(spark, d):
 
 def marked(spark, d):
     """Candidates flagged; thresholds on novel chains as in production."""
-    return C.mark_candidates(groups(spark, d)).persist()  # groups, not reads: read by every later step
+    return cut(C.mark_candidates(groups(spark, d)))  # groups, not reads: read by every later step
 
 
 def with_tss(df, spark, d):
     """tss_evidence: the group's farthest-upstream read begins within 100 bases of an annotated start."""
-    r = V.reads(spark, d)
-    five = r.groupBy(*C.KEY).agg(F.when(F.col("strand") == "+", F.min("tss")).otherwise(F.max("tss")).alias("five"))
     sites = V.transcripts(spark).groupBy("contig", "strand").agg(F.collect_set("tss").alias("sites"))  # some sites per contig: the annotation's size
-    near = df.join(five, C.KEY).join(F.broadcast(sites), ["contig", "strand"], "left")
+    near = df.join(F.broadcast(sites), ["contig", "strand"], "left")
     return near.withColumn("tss_evidence", F.coalesce(F.exists("sites", lambda s: F.abs(s - F.col("five")) <= 100), F.lit(False))).drop("sites", "five")
 
 

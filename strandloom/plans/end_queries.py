@@ -197,7 +197,7 @@ QUERIES = {
     "range_mass_peak_seed": (range_mass_peak_seed, SEED),
     "peak_clusters_3p": (peak_clusters_3p, None),
     "peak_centres_by_reads": (peak_centres_by_reads, CLUSTERS_BY_READS),
-    "umi_directional": (umi_directional, None),
+    "umi_directional": (umi_directional, V.sql("rd mo", "SELECT contig, strand, chain, n_mols, n_reads FROM (SELECT contig, strand, chain, count(*) AS n_reads FROM rd GROUP BY 1, 2, 3) JOIN mo USING (contig, strand, chain)")),
     "molecule_matrix": (molecule_matrix, MATRIX),
     "tail_evidence": (tail_evidence, TAILS),
     "terminal_prune": (terminal_prune, None),

@@ -210,13 +210,36 @@ AUDIT = V.sql("rd", """e AS (SELECT contig, strand, chain, n, count(*) AS c, qua
 SELECT CASE WHEN n > 3 THEN 'long' ELSE 'short' END AS class, count(*) AS n_models, CAST(sum(c) AS BIGINT) AS n_reads, round(quantile_cont(md, 0.5), 6) AS median_span, round(avg((h = l)::INT), 6) AS is_shortest, 1.0::DOUBLE AS is_longest FROM e GROUP BY 1""")
 
 
+def displaced_chains(spark, d):
+    """(chain_id, gene_id, chain): the displaced reads' chains, each with one end moved into its intron by ten times the read's displacement."""
+    one = lambda j: F.struct(j["donor"].alias("donor"), j["acceptor"].alias("acceptor"))
+    off = lambda j: F.pmod(j["donor"] + 500, F.lit(1000)) - 500
+    moved = lambda j: F.struct((j["donor"] - off(j) + F.greatest(off(j), F.lit(0)) * 10).alias("donor"), (j["acceptor"] - off(j) + F.least(off(j), F.lit(0)) * 10).alias("acceptor"))
+    g = V.reads(spark, d, True).select("contig", "strand", F.transform(I.genomic(F.col("chain")), moved).alias("chain")).distinct()
+    return g.withColumns({"chain_id": F.concat_ws("|", F.col("contig").cast("string"), "strand", I.chain_repr(F.col("chain"))), "gene_id": F.concat(F.lit("g1."), F.col("contig").cast("string"), F.when(F.col("strand") == "+", "p").otherwise("m")), "chain": F.transform("chain", one)})
+
+
 def displaced_plan(spark, d):
-    r = V.reads(spark, d, True)
-    g = r.select("contig", "strand", "chain").distinct().withColumns({"chain_id": F.concat_ws("|", F.col("contig").cast("string"), "strand", I.chain_repr(F.col("chain"))), "gene_id": F.concat(F.lit("g1."), F.col("contig").cast("string"), F.when(F.col("strand") == "+", "p").otherwise("m")), "chain": I.genomic(F.col("chain"))})
+    """Short reads support a displaced junction when its donor's thousand is 6, and all annotated ones."""
+    g = displaced_chains(spark, d)
     t = V.transcripts(spark).withColumn("chain", I.genomic(F.col("chain")))
     known = V.transcript_junctions(spark).select("gene_id", "donor", "acceptor").distinct().withColumn("uniq", F.lit(20))
-    return E.displaced_junction_plan(g.select("chain_id", "gene_id", "chain"), t, known, tol=1)
+    own = g.select("gene_id", F.explode("chain").alias("j")).select("gene_id", "j.donor", "j.acceptor").distinct().join(known.select("gene_id", "donor", "acceptor"), ["gene_id", "donor", "acceptor"], "left_anti")
+    own = own.withColumn("uniq", F.when(F.floor(F.col("donor") / 1000) == 6, 3).otherwise(0))
+    plan = E.displaced_junction_plan(g.select("chain_id", "gene_id", "chain"), t, known.unionByName(own), tol=1)
+    return plan.select("chain_id", "tx_id", "n_displaced", "n_swallowed", I.chain_repr(F.col("target")).alias("target"))
+
 
+DISPLACED = V.sql("rx tx", """xj AS (SELECT read_id, contig, strand, k * 1000 + 10 * greatest(donor - k * 1000, 0) AS d, k * 1000 + 500 + 10 * least(donor - k * 1000, 0) AS a FROM rx),
+xc AS (SELECT DISTINCT contig, strand, ds, acs FROM (SELECT read_id, contig, strand, list(d ORDER BY d) AS ds, list(a ORDER BY d) AS acs FROM xj GROUP BY 1, 2, 3)),
+pr AS (SELECT xc.*, tx_id, list_sort(ks) AS ks FROM xc JOIN tx USING (contig, strand) WHERE gene_id LIKE 'g1%' AND len(ds) <= len(ks)),
+wk AS (SELECT *, 0 AS i, 0 AS r, 0 AS n, 0 AS sw, TRUE AS ok FROM pr UNION ALL
+  SELECT contig, strand, ds, acs, tx_id, ks, i + 1, last, n + (NOT same)::INT, sw + CASE WHEN same THEN 0 ELSE last - r - 1 END, ok AND (same OR (ds[i + 1] // 1000 <> 6 AND TRUE)) FROM (
+    SELECT *, CASE WHEN same THEN r + 1 ELSE list_min(list_filter(range(r + 1, len(ks) + 1), lambda s: (abs(ds[i + 1] - ks[r + 1] * 1000) <= 1 AND ks[s] * 1000 + 500 - acs[i + 1] BETWEEN 1 AND 30) OR (abs(acs[i + 1] - ks[s] * 1000 - 500) <= 1 AND ds[i + 1] - ks[r + 1] * 1000 BETWEEN 1 AND 30))) END AS last FROM (
+      SELECT *, abs(ds[i + 1] - ks[r + 1] * 1000) <= 1 AND abs(acs[i + 1] - ks[r + 1] * 1000 - 500) <= 1 AS same FROM wk WHERE i < len(ds) AND r < len(ks))) WHERE last IS NOT NULL),
+dn AS (SELECT contig || '|' || strand || '|' || array_to_string(list_transform(range(1, len(ds) + 1), lambda x: ds[x] || '-' || acs[x]), ';') AS chain_id, tx_id, n, sw, ks FROM wk WHERE i = len(ds) AND r = len(ks) AND n > 0 AND ok),
+rk2 AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY n, tx_id) AS place FROM dn)
+SELECT chain_id, tx_id, n AS n_displaced, sw AS n_swallowed, array_to_string(list_transform(ks, lambda k: (k * 1000) || '-' || (k * 1000 + 500)), ';') AS target FROM rk2 WHERE place = 1""", recursive=True)
 
 
 QUERIES = {
@@ -235,5 +258,5 @@ QUERIES = {
     "qc_invariants": (qc_invariants, INVARIANTS),
     "name_diagnosis": (name_diagnosis, DIAGNOSIS),
     "model_audit": (model_audit, AUDIT),
-    "displaced_plan": (displaced_plan, None),
+    "displaced_plan": (displaced_plan, DISPLACED),
 }

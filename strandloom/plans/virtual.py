@@ -108,14 +108,17 @@ CTES = {
     "tx": f"SELECT * FROM (VALUES {_values()}) v(tx_id, gene_id, contig, strand, rank, ks, tss, tts)",
     "tj": "SELECT * EXCLUDE (ks), k * 1000 AS donor, k * 1000 + 500 AS acceptor FROM (SELECT *, unnest(ks) AS k FROM tx)",
     "tc": f"SELECT tx_id, gene_id, contig, strand, rank, tss, tts, count(*) AS n, {_CHAIN} AS chain FROM tj GROUP BY ALL",
-    "cg": "SELECT contig, strand, chain, n, count(*) AS n_reads, count(DISTINCT (cell, umi)) AS n_mols, count(DISTINCT cell) AS n_cells, min(read_id) AS first_read FROM rd GROUP BY 1, 2, 3, 4",
+    "uc": "SELECT contig, strand, chain, cell, list(umi ORDER BY n DESC, umi) AS us, list(n ORDER BY n DESC, umi) AS ns FROM (SELECT contig, strand, chain, cell, umi, count(*) AS n FROM rd GROUP BY ALL) GROUP BY ALL",
+    "um": "SELECT *, 1 AS i, list_transform(us, lambda u: 0) AS own FROM uc WHERE len(us) > 1 UNION ALL SELECT contig, strand, chain, cell, us, ns, i + 1, CASE WHEN own[i] <> 0 THEN own ELSE list_transform(range(1, len(us) + 1), lambda j: CASE WHEN j = i OR (own[j] = 0 AND hamming(us[i], us[j]) = 1 AND ns[i] >= 2 * ns[j] - 1) THEN i ELSE own[j] END) END FROM um WHERE i <= len(us)",
+    "mo": "SELECT contig, strand, chain, CAST(sum(m) AS BIGINT) AS n_mols FROM (SELECT contig, strand, chain, len(list_distinct(own)) AS m FROM um WHERE i = len(us) + 1 UNION ALL SELECT contig, strand, chain, 1 FROM uc WHERE len(us) = 1) GROUP BY ALL",
+    "cg": "SELECT * FROM (SELECT contig, strand, chain, n, count(*) AS n_reads, count(DISTINCT cell) AS n_cells, min(read_id) AS first_read FROM rd GROUP BY 1, 2, 3, 4) JOIN mo USING (contig, strand, chain)",
     "ct": "SELECT contig, strand, chain, string_agg(tx_id, ',' ORDER BY tx_id) AS tx_ids, min(gene_id) AS tx_gene FROM tc GROUP BY 1, 2, 3",
     "rk": "SELECT read_id, list(k ORDER BY k) AS ks FROM rj GROUP BY 1",
     "md": "SELECT contig || '|' || strand || '|' || chain AS model_id, *, least(five, three) AS lo, greatest(five, three) AS hi, list_transform(ks, lambda k: k * 1000) AS ds, list_transform(ks, lambda k: k * 1000 + 500) AS acs FROM (SELECT contig, strand, chain, ks, count(*) AS n_reads, count(DISTINCT (cell, umi)) AS n_mols, CASE WHEN strand = '+' THEN min(tss) ELSE max(tss) END AS five, CASE WHEN strand = '+' THEN max(tts) ELSE min(tts) END AS three FROM rd JOIN rk USING (read_id) GROUP BY contig, strand, chain, ks)",
     "mx": "SELECT *, list_prepend(lo, acs) AS es, list_append(ds, hi) AS ee FROM md",
     "gr": "SELECT cg.*, tx_ids, tx_gene, tx_ids IS NOT NULL AS annotated, n_mols AS support FROM cg LEFT JOIN ct USING (contig, strand, chain)",
 }
-_NEEDS = {"rj": ["od", "ln"], "rx": ["od", "ln"], "r0": ["rj"], "rd": ["r0"], "mr": ["od", "ln"], "tj": ["tx"], "tc": ["tj"], "cg": ["rd"], "ct": ["tc"], "gr": ["cg", "ct"], "rk": ["rj"], "md": ["rd", "rk"], "mx": ["md"]}
+_NEEDS = {"rj": ["od", "ln"], "rx": ["od", "ln"], "r0": ["rj"], "rd": ["r0"], "mr": ["od", "ln"], "tj": ["tx"], "tc": ["tj"], "uc": ["rd"], "um": ["uc"], "mo": ["um"], "cg": ["rd", "mo"], "ct": ["tc"], "gr": ["cg", "ct"], "rk": ["rj"], "md": ["rd", "rk"], "mx": ["md"]}
 
 
 def sql(names: str, body: str, recursive: bool = False) -> str:
@@ -130,7 +133,7 @@ def sql(names: str, body: str, recursive: bool = False) -> str:
 
     for name in names.split():
         need(name)
-    ctes = ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in wanted)
+    ctes = ", ".join(f"{n} AS {'' if n == 'um' else 'MATERIALIZED '}({CTES[n]})" for n in wanted)
     body = body.strip()
-    head = f"WITH {'RECURSIVE ' * recursive}{ctes}"
+    head = f"WITH {'RECURSIVE ' * (recursive or 'um' in wanted)}{ctes}"
     return f"{head} {body}" if body.upper().startswith("SELECT") else f"{head}, {body}"

@@ -125,7 +125,7 @@ def test_greedy_peaks_against_brute_force():
     for _ in range(60):
         hist = {rng.randrange(300): rng.randrange(1, 9) for _ in range(rng.randrange(1, 40))}
         pos = np.array(sorted(hist))
-        label, peaks = E.greedy_peaks(pos, np.array([hist[p] for p in pos], float), 15)
+        label, peaks, _, _ = E.greedy_peaks(pos, np.array([hist[p] for p in pos], float), 15)
         want = brute_peaks(hist, 15)
         assert {int(p): int(x) for p, x in zip(pos, label, strict=True)} == want
         assert len(peaks) == max(want.values()) + 1
@@ -145,6 +145,9 @@ def test_pruning_keeps_what_earned_its_place(spark):
     assert got == {"m0": (None, "annotated"), "m1": ("m0", None), "m2": (None, "high")}
     got = {r.model_id: (r.absorbed_into, r.tier) for r in E.prune_terminal(variants((1000, 50, 60, False, False, None, 40.0), (900, 20, 20, False, False, None, 40.0), (800, 30, 30, False, None, None, None)), ["c"]).collect()}
     assert got == {"m0": (None, "unsupported"), "m1": ("m0", None), "m2": (None, "unsupported")}
+    got = {r.model_id: (r.absorbed_into, r.candidate_share, r.tier) for r in E.prune_terminal(variants((1000, 10, 10, False, False, None, 3.0), (900, 90, 90, False, False, None, 40.0), (800, 30, 30, False, False, None, 3.0)), ["c"]).collect()}
+    assert got["m1"] == ("m0", None, None) and got["m0"][1] == pytest.approx(100 / 130) and got["m2"][1] == pytest.approx(30 / 130)
+    assert (got["m0"][2], got["m2"][2]) == ("high", "reported")  # of what is left after absorption
 
 
 def test_site_seeds_prefer_support_then_left():
@@ -244,22 +247,29 @@ def test_matching_takes_one_model_of_each_sample():
     rng = random.Random(3)
     for _ in range(50):
         n = rng.randrange(1, 14)
-        three = np.array(sorted(rng.sample(range(400), n)))
-        sample = np.array([rng.choice("abc") for _ in range(n)], object)
-        for f in (X.match_block, X.sweep_block):
-            g = f(three, sample, 60)
-            for k in set(g.tolist()):
-                mine = sample[g == k].tolist()
-                assert len(mine) == len(set(mine))
-        got, want = X.match_block(three, sample, 60), brute_match(three.tolist(), sample.tolist(), 60)
-        assert len(set(got.tolist())) == len(set(want.values()))
+        three = sorted(rng.choices(range(300), k=n))
+        sample = [rng.choice("abc") for _ in range(n)]
+        got, want = X.match_models(three, sample, 60), brute_match(three, sample, 60)
+        parts = lambda g: {tuple(i for i in range(n) if g[i] == k) for k in set(g[i] for i in range(n))}
+        assert parts(got) == parts(want)
+        assert all(len({sample[i] for i in p}) == len(p) for p in parts(got))
+
+
+def test_structures_of_a_table_are_those_of_its_blocks(spark):
+    rng = random.Random(12)
+    models = [(rng.choice("abc"), f"m{i}", "c", "+", [(100, 200)], rng.randrange(5000)) for i in range(60)]
+    got = {r.model_id: r.structure for r in X.structural_match(spark.createDataFrame(models, f"sample string, model_id string, contig string, strand string, chain {CHAIN}, three long"), 80).collect()}
+    order = sorted(models, key=lambda m: (m[5], m[0], m[1]))
+    want = X.match_models([m[5] for m in order], [m[0] for m in order], 80)
+    parts = lambda f: {frozenset(m[1] for j, m in enumerate(order) if f(j) == k) for k in {f(j) for j in range(len(order))}}
+    assert parts(lambda j: got[order[j][1]]) == parts(lambda j: want[j])
 
 
 def test_looser_tolerance_never_makes_more_structures():
     rng = random.Random(8)
-    three = np.array(sorted(rng.sample(range(2000), 40)))
-    sample = np.array([rng.choice("ab") for _ in range(40)], object)
-    counts = [len(set(X.match_block(three, sample, t).tolist())) for t in (0, 20, 50, 100, 400)]
+    three = sorted(rng.sample(range(2000), 40))
+    sample = [rng.choice("ab") for _ in range(40)]
+    counts = [len(set(X.match_models(three, sample, t))) for t in (0, 20, 50, 100, 400)]
     assert counts == sorted(counts, reverse=True)
 
 
@@ -295,9 +305,122 @@ def test_results_do_not_depend_on_partitions(spark):
     assert len(seen) == 1
 
 
+def test_sites_merge_across_ranges(spark):
+    j = spark.createDataFrame([("c", "+", p, p + 500, n) for p, n in ((999_999, 9), (1_000_001, 3), (1_048_575, 2), (1_048_577, 8), (2_097_150, 1), (2_097_152, 1), (2_097_154, 1))], "contig string, strand string, donor long, acceptor long, n_reads long")
+    a = j.limit(0)
+    assert rows(N.snap_map(j, a, "donor").select("pos", "to")) == [(999_999, 999_999), (1_000_001, 999_999), (1_048_575, 1_048_577), (1_048_577, 1_048_577), (2_097_150, 2_097_150), (2_097_152, 2_097_150), (2_097_154, 2_097_150)]
+
+
+def test_runs_by_gap_against_a_walk(spark):
+    rng = random.Random(5)
+    pos = {k: sorted(rng.sample(range(4000), 300)) for k in "ab"}
+    got = {(r.k, r.p): r._run for r in J.runs_by_gap(spark.createDataFrame([(k, p) for k in pos for p in pos[k] * 2], "k string, p long"), ["k"], "p", 12, span=50).collect()}
+    for k, ps in pos.items():
+        first = ps[0]
+        for before, p in zip([ps[0], *ps], ps, strict=False):
+            first = p if p - before > 12 else first
+            assert got[(k, p)] == first
+
+
+def test_numbers_follow_the_order(spark):
+    values = [f"v{i:04d}" for i in range(500)]
+    got = {r.v: r.n for r in J.numbered(spark.createDataFrame([(v,) for v in values * 3], "v string").repartition(7), "v", "n").collect()}
+    assert got == {v: i + 1 for i, v in enumerate(values)}
+
+
+def test_molecules_of_groups_are_those_of_the_matrix(spark):
+    rng = random.Random(3)
+    reads = [(i, "c", "+", [(100, 200)] if i % 3 else [(100, 200), (300, 400)], rng.choice(["x", "y", None]), rng.choice([None, "AA", "AC", "AT", "GG", "GC", "AAA"]), rng.randrange(50)) for i in range(300)]
+    df = spark.createDataFrame(reads, f"read_id long, contig string, strand string, chain {CHAIN}, cell string, umi string, tss long")
+    got = {len(r.chain): (r.n_reads, r.n_mols, r.n_cells, r.first_read, r.five) for r in C.chain_groups(df).collect()}
+    for n in (1, 2):
+        mine = [r for r in reads if len(r[3]) == n]
+        mols = 0
+        for cell in "xy":
+            counts = {}
+            for r in mine:
+                if r[4] == cell and r[5]:
+                    counts[r[5]] = counts.get(r[5], 0) + 1
+            mols += len(set(U.merge_cell(counts).values()))
+        assert got[n] == (len(mine), mols, 2, min(r[0] for r in mine), min(r[6] for r in mine))
+    pair = [(i, "c", "+", [(1, 2)], "x", "AAAA" if i < 10 else "AAAC", 5) for i in range(12)]
+    assert C.chain_groups(spark.createDataFrame(pair, df.schema)).first().n_mols == 1
+
+
+def plain_displaced(chain, reference, tol, most):
+    """By the rule, junction by junction: (novel, known, swallowed) or None."""
+    r, novel, known = 0, [], []
+    for d, a in chain:
+        if r >= len(reference):
+            return None
+        rd, ra = reference[r]
+        if abs(d - rd) <= tol and abs(a - ra) <= tol:
+            r += 1
+            continue
+        ends = [s for s in range(r, len(reference)) if (abs(d - rd) <= tol and 0 < reference[s][1] - a <= most) or (abs(a - reference[s][1]) <= tol and 0 < d - rd <= most)]
+        if not ends:
+            return None
+        novel.append((d, a))
+        known += reference[r : ends[0] + 1]
+        r = ends[0] + 1
+    return (novel, known) if r == len(reference) else None
+
+
+def test_displaced_reading_by_the_rule(spark):
+    rng = random.Random(21)
+    pairs = []
+    for i in range(300):
+        at, ref = 100, []
+        for _ in range(rng.randrange(1, 6)):
+            ref.append((at, at + rng.randrange(60, 200)))
+            at = ref[-1][1] + rng.choice([4, 8, 50])
+        chain, k = [], 0
+        while k < len(ref):
+            to = min(len(ref) - 1, k + rng.choice([0, 0, 0, 1, 2]))
+            d, a = ref[k][0], ref[to][1]
+            kind = rng.randrange(5)
+            chain.append((d + (rng.randrange(1, 34) if kind == 0 else rng.randrange(-2, 3) if kind == 1 else 0), a - (rng.randrange(1, 34) if kind == 2 else 0)))
+            k = to + 1
+        pairs.append((i, chain, ref))
+    df = spark.createDataFrame(pairs, f"i int, chain {CHAIN}, reference {CHAIN}")
+    got = {r.i: r.x for r in df.select("i", X.displaced(F.col("chain"), F.col("reference"), 2, 30).alias("x")).collect()}
+    found = 0
+    for i, chain, ref in pairs:
+        want = plain_displaced(chain, ref, 2, 30)
+        if want is None:
+            assert got[i] is None
+        else:
+            found += bool(want[0])
+            assert ([tuple(j) for j in got[i].novel], [tuple(j) for j in got[i].known]) == want
+            assert got[i].swallowed == len(want[1]) - len(want[0])
+    assert found > 40
+
+
 def test_displaced_junction(spark):
-    chains = spark.createDataFrame([("r", "g", [(100, 200), (312, 400)]), ("k", "g", [(100, 200)])], f"chain_id string, gene_id string, chain {CHAIN}")
+    # the first chain's second junction jumps over a short exon, with its donor in place
+    chains = spark.createDataFrame([("r", "g", [(100, 200), (300, 395)]), ("both", "g", [(100, 200), (312, 395)]), ("k", "g", [(100, 200)]), ("same", "g", [(100, 200), (300, 310), (320, 400)])], f"chain_id string, gene_id string, chain {CHAIN}")
     tx = spark.createDataFrame([("t", "g", [(100, 200), (300, 310), (320, 400)])], f"tx_id string, gene_id string, chain {CHAIN}")
-    sj = spark.createDataFrame([("g", 300, 310, 20), ("g", 320, 400, 20)], "gene_id string, donor long, acceptor long, uniq long")
-    assert rows(X.displaced_junction_plan(chains, tx, sj)) == [("r", "t", 1)]
-    assert rows(X.displaced_junction_plan(chains, tx, sj.withColumn("uniq", F.lit(1).cast("long")))) == []
+    sj = spark.createDataFrame([("g", 300, 310, 20), ("g", 320, 400, 20), ("g", 300, 395, 0)], "gene_id string, donor long, acceptor long, uniq long")
+    plan = X.displaced_junction_plan(chains, tx, sj, tol=3)
+    assert [(r.chain_id, r.tx_id, r.n_displaced, r.n_swallowed) for r in plan.collect()] == [("r", "t", 1, 1)]
+    for uniq in (sj.withColumn("uniq", F.lit(1).cast("long")), sj.where("acceptor <> 395")):  # support for it, or nobody looked
+        assert rows(X.displaced_junction_plan(chains, tx, uniq, tol=3)) == []
+    groups = chains.withColumns({"contig": F.lit("c"), "strand": F.lit("+")})
+    assert rows(X.substitute(groups, plan)) == [("r", "substituted", "same")]
+    assert rows(X.substitute(groups.where("chain_id <> 'same'"), plan)) == []
+
+
+def test_sole_annotated_agreement_and_continuity(spark):
+    j = spark.createDataFrame([("c", "+", 100, 200, 1), ("c", "+", 300, 400, 1), ("c", "+", 500, 600, 0)], "contig string, strand string, donor long, acceptor long, annotated long")
+    known = spark.createDataFrame([("c", "+", 100, 200), ("c", "+", 301, 400)], "contig string, strand string, donor long, acceptor long")
+    a = X.agreement(j, known).first()
+    assert (a.n_annotated, a.n_agreeing, a.agreement, a.ok) == (2, 1, 0.5, False)
+    assert X.agreement(j, known.withColumn("donor", F.col("donor") - (F.col("donor") % 100))).first().ok
+    track = spark.createDataFrame([("c", 0, 10, 4.0), ("c", 10, 30, 1.0)], "contig string, start long, end long, value double")
+    m = spark.createDataFrame([("m", "c", [(0, 10), (20, 30), (900, 950)]), ("n", "c", [(900, 950)])], "id string, contig string, exons array<struct<s:bigint,e:bigint>>")
+    assert {r.id: r.coverage for r in X.continuity(m, track).collect()} == {"m": 2.5, "n": None}
+    peaks = spark.createDataFrame([("c", "+", 10, 20, 10, "a"), ("c", "+", 10, 20, 10, "b")], "contig string, strand string, start long, end long, rep long, name string")
+    names = spark.createDataFrame([("a", 15), ("b", 99)], "name string, rep long")
+    assert {r.name: r.rep for r in X.with_representatives(peaks, names).collect()} == {"a": 15, "b": 10}
+    hits = spark.createDataFrame([("x", "none", 10), ("x", "zmw", 30), ("y", "zmw", 5), ("z", "strip_ccs", 4), ("z", "zmw", 4)], "column string, mode string, hits long")
+    assert {(r.column, r.mode) for r in X.safe_modes(hits).where("unsafe").collect()} == {("x", "zmw"), ("y", "zmw")}
