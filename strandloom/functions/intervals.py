@@ -163,3 +163,9 @@ def flanks(pos: Column, strand: Column, window: int) -> Column:
     left, right = (F.greatest(pos - window, F.lit(0)), pos), (pos, pos + window)
     pick = lambda a, b: F.when(strand == "-", b).otherwise(a)
     return F.struct(pick(left[0], right[0]).alias("us"), pick(left[1], right[1]).alias("ue"), pick(right[0], left[0]).alias("ds"), pick(right[1], left[1]).alias("de"))
+
+
+def retained_intron_rank(chain: Column, retained: Column) -> Column:
+    """Place from 0, from the 5' end, of the first intron of a chain that is retained; the chain's length if none of them is its own, -1 without any."""
+    places = F.array_min(F.transform(retained, lambda j: F.coalesce(F.nullif(F.array_position(chain, j), F.lit(0)) - 1, F.size(chain).cast("long"))))
+    return F.when(F.size(retained) == 0, F.lit(-1)).otherwise(places).cast("long")

@@ -97,3 +97,20 @@ def canonical_rank(tags: Column, kind: Column) -> Column:
         .when(kind.isin("nonsense_mediated_decay", "retained_intron", "processed_transcript"), 8)
         .otherwise(5)
     )
+
+
+def oriented_window(pos: Column, strand: Column, first: int, last: int) -> Column:
+    """struct(s, e): the genomic window of the bases from `first` to before `last` beyond a position, counted downstream (negative: upstream)."""
+    minus = strand == "-"
+    return F.struct(F.greatest(F.when(minus, pos - last).otherwise(pos + first), F.lit(0)).alias("s"), F.greatest(F.when(minus, pos - first).otherwise(pos + last), F.lit(0)).alias("e"))
+
+
+def oriented_sequence(s: Column, strand: Column) -> Column:
+    """A window's bases read along the transcript."""
+    return F.when(strand == "-", revcomp(s)).otherwise(F.upper(s))
+
+
+def contrast(s: Column) -> Column:
+    """(G + T - A) as a share of a sequence; null of an empty one."""
+    n = lambda b: F.length(s) - F.length(F.replace(s, F.lit(b), F.lit("")))
+    return F.when(F.length(s) > 0, (n("G") + n("T") - n("A")) / F.length(s))

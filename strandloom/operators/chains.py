@@ -150,3 +150,21 @@ def positional_genes(groups: DataFrame, exons: DataFrame) -> DataFrame:
     hit = interval_join(lost, islands, ["contig", "strand"], 65_536, 1).groupBy(*KEY, "g").agg(F.sum(F.least("e", "re") - F.greatest("s", "rs")).alias("bp"))
     best = hit.groupBy(*KEY).agg(F.min_by("g", F.struct(-F.col("bp"), F.col("g"))).alias("near_gene"))
     return groups.join(best, KEY, "left").withColumn("gene_id", F.coalesce("gene_id", "near_gene")).drop("near_gene")
+
+
+def junction_info(groups: DataFrame, curated: DataFrame) -> DataFrame:
+    """groups(contig, strand, chain, ..) with n_novel_junctions, n_decoy_junctions, min_posterior and share_annotated.
+
+    curated(contig, strand, donor, acceptor, annotated, posterior, decoy). A junction that isn't there is
+    novel with posterior 0; a novel one without a posterior has 1.
+    """
+    facts = curated.select("contig", "strand", "donor", "acceptor", F.col("annotated").alias("_a"), F.col("posterior").alias("_p"), F.col("decoy").alias("_d"))
+    j = groups.select(*KEY, F.explode("chain").alias("j")).select(*KEY, "j.donor", "j.acceptor").join(facts, ["contig", "strand", "donor", "acceptor"], "left")
+    known = F.coalesce("_a", F.lit(False))
+    info = j.groupBy(*KEY).agg(
+        F.count_if(~known).alias("n_novel_junctions"),
+        F.count_if(~known & F.coalesce("_d", F.lit(False))).alias("n_decoy_junctions"),
+        F.min(F.when(known, 1.0).when(F.col("_a").isNull(), 0.0).otherwise(F.coalesce("_p", F.lit(1.0)))).alias("min_posterior"),
+        (F.count_if(known) / F.count("*")).alias("share_annotated"),
+    )
+    return groups.join(info, KEY, "left")

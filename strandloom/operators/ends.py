@@ -205,3 +205,16 @@ def more_distal_pairs(models: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, model_id, sibling): siblings whose 3' end lies further along."""
     other = models.select(*keys, F.col("model_id").alias("sibling"), F.col("three").alias("_t"))
     return models.join(other, keys).where(more_distal(F.col("_t"), F.col("three"), F.col("strand"))).select(*keys, "model_id", "sibling")
+
+
+def within_budget(models: DataFrame, keys: list[str], most: int = 3, novel: tuple[str, ...] = ("end3_novel", "end3_unresolved"), emit_unresolved: bool = False) -> DataFrame:
+    """models(keys, model_id, mass, category) that are emitted: of a parent's novel and unresolved ends the `most` of greatest mass, ids breaking ties; unresolved ones only if asked for, and then within the same budget."""
+    shown = models if emit_unresolved else models.where(F.col("category") != "end3_unresolved")
+    counted = F.col("category").isin(*novel)
+    place = F.sum(counted.cast("int")).over(Window.partitionBy(*keys).orderBy(F.desc("mass"), "model_id").rowsBetween(Window.unboundedPreceding, 0))
+    return shown.withColumn("_place", place).where(~counted | (F.col("_place") <= most)).drop("_place")
+
+
+def below_ceiling(models: DataFrame, most: float | None = None, novel: tuple[str, ...] = ("end3_novel",)) -> DataFrame:
+    """models without those of novel ends whose terminal_lfdr is over `most`; null is no opinion, and no ceiling keeps all."""
+    return models if most is None else models.where(~F.col("category").isin(*novel) | F.coalesce(F.col("terminal_lfdr") <= most, F.lit(True)))

@@ -64,7 +64,13 @@ def structural_class(models: DataFrame, transcripts: DataFrame, junctions: DataF
     """
     m = models.withColumn("g", genomic(F.col("chain")))
     t = transcripts.select("contig", "strand", "tx_id", genomic(F.col("chain")).alias("tg"))
-    pair = m.join(t, ["contig", "strand"])
+    # a match of any kind has the model's first intron: that is what models and transcripts meet by
+    size = 2 * tol + 1
+    first = F.get("g", F.lit(0))
+    looked = m.withColumn("_b", F.explode(F.sequence(F.floor((first["donor"] - tol) / size), F.floor((first["donor"] + tol) / size))))
+    held = t.select("*", F.explode("tg").alias("_j")).withColumn("_b", F.floor(F.col("_j.donor") / size))
+    meets = (F.abs(F.col("_j.donor") - first["donor"]) <= tol) & (F.abs(F.col("_j.acceptor") - first["acceptor"]) <= tol)
+    pair = looked.join(held, ["contig", "strand", "_b"]).where(meets)
     near = F.zip_with("g", "tg", lambda a, b: F.coalesce((F.abs(a["donor"] - b["donor"]) <= tol) & (F.abs(a["acceptor"] - b["acceptor"]) <= tol), F.lit(False)))
     equal = (F.size("g") == F.size("tg")) & F.forall(near, lambda x: x)
     offsets = subchain_offsets(F.col("g"), F.col("tg"), tol)
@@ -257,3 +263,65 @@ def abundance(models: DataFrame) -> DataFrame:
     return models.join(F.broadcast(total)).withColumns({"read_share": F.col("n_reads") / F.col("_r"), "mol_share": F.col("n_mols") / F.col("_m")}).drop("_r", "_m")
 
 
+def dedupe(models: DataFrame) -> DataFrame:
+    """(contig, strand, exons, model_id, n_reads, n_mols, n_cells, flags): models of equal exons as one, of the first id.
+
+    Reads and molecules add up, cells are the larger number, flags are united. A recount from reads follows where molecules must be exact.
+    """
+    return models.groupBy("contig", "strand", "exons").agg(F.min("model_id").alias("model_id"), F.sum("n_reads").alias("n_reads"), F.sum("n_mols").alias("n_mols"), F.max("n_cells").alias("n_cells"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags"))
+
+
+def single_exon_class(models: DataFrame, transcripts: DataFrame, share: float = 0.5) -> DataFrame:
+    """(model_id, category, primary): a single-exon model as FSM (reciprocal overlap with a single-exon transcript), ISM (within a transcript's exon), genic or intergenic.
+
+    models(model_id, contig, strand, s, e), transcripts(contig, strand, tx_id, rank, exons). Pairs are those
+    that overlap, by bins; a model without any is intergenic. primary: the least rank, then id.
+    """
+    from .joins import interval_join
+
+    t = transcripts.select("contig", "strand", "tx_id", "rank", "exons", F.element_at("exons", 1)["s"].alias("rs"), F.element_at("exons", -1)["e"].alias("re"))
+    hit = interval_join(models.select("model_id", "contig", "strand", "s", "e"), t, ["contig", "strand"], 65_536)
+    touches = F.exists("exons", lambda x: (x["s"] < F.col("e")) & (F.col("s") < x["e"]))
+    both = overlap(F.col("s"), F.col("e"), F.col("rs"), F.col("re"))
+    whole = (F.size("exons") == 1) & (both >= share * (F.col("e") - F.col("s"))) & (both >= share * (F.col("re") - F.col("rs")))
+    within = F.exists("exons", lambda x: (x["s"] <= F.col("s")) & (F.col("e") <= x["e"]))
+    best = hit.where(touches).groupBy("model_id").agg(F.max(whole.cast("int")).alias("f"), F.max(within.cast("int")).alias("i"), F.min_by("tx_id", F.struct("rank", "tx_id")).alias("primary"))
+    category = F.when(F.col("f") == 1, "FSM").when(F.col("i") == 1, "ISM").when(F.col("f").isNotNull(), "genic").otherwise("intergenic")
+    return models.select("model_id").join(best, "model_id", "left").select("model_id", category.alias("category"), "primary")
+
+
+def fusions(models: DataFrame, gene_exons: DataFrame) -> DataFrame:
+    """(model_id, genes, fusion): genes of the strand whose exons a model's exons overlap, and whether that is more than one.
+
+    models(model_id, contig, strand, exons), gene_exons(gene_id, contig, strand, rs, re). FSM and ISM go before it.
+    """
+    from .joins import interval_join
+
+    x = models.select("model_id", "contig", "strand", F.explode("exons").alias("x")).select("model_id", "contig", "strand", "x.s", "x.e")
+    hit = interval_join(x, gene_exons, ["contig", "strand"], 16_384).groupBy("model_id").agg(F.array_sort(F.collect_set("gene_id")).alias("genes"))
+    out = models.select("model_id").join(hit, "model_id", "left").withColumn("genes", F.coalesce("genes", F.array().cast("array<string>")))
+    return out.withColumn("fusion", F.size("genes") > 1)
+
+
+def with_fusions(classes: DataFrame, fused: DataFrame) -> DataFrame:
+    """structural_class's rows with category fusion where a model that is neither FSM nor ISM spans genes."""
+    f = classes.join(fused.select("model_id", "fusion"), "model_id", "left")
+    is_fusion = F.coalesce("fusion", F.lit(False)) & ~F.col("category").isin("FSM", "ISM")
+    return f.withColumn("subcategory", F.when(is_fusion, "multi-exon").otherwise(F.col("subcategory"))).withColumn("category", F.when(is_fusion, "fusion").otherwise(F.col("category"))).drop("fusion")
+
+
+def terminal_class(category: Column, end_annotated: Column, at_polya_site: Column, internal_priming: Column) -> Column:
+    """Where a model ends, apart from which chain it has."""
+    yes = lambda c: F.coalesce(c.cast("boolean"), F.lit(False))
+    return F.when(yes(end_annotated), F.when(category == "FSM", "reference_end").otherwise("alt_end_annotated")).when(yes(at_polya_site), "alt_end_atlas").when(yes(internal_priming), "truncated_exonic").otherwise("unresolved")
+
+
+# Subcategories of models with a whole annotated chain.
+FSM_SUBCATEGORIES = {"FSM": "reference_match", "end3_annotated": "alternative_3end", "end3_novel": "alternative_3end", "end5_alt": "alternative_5end", "end5_extended": "alternative_5end"}
+
+
+def fsm_subcategory(category: Column) -> Column:
+    out = F.lit("")
+    for name, sub in FSM_SUBCATEGORIES.items():
+        out = F.when(category == name, sub).otherwise(out)
+    return out

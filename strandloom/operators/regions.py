@@ -76,3 +76,29 @@ def held_out_recall(junctions: DataFrame, cuts: tuple[float, ...] = (0.01, 0.05,
 def group_chains(folded: DataFrame) -> DataFrame:
     """folded(contig, strand, root, chain) to the member chains of each root and their reads."""
     return folded.groupBy("contig", "strand", "root", "chain").agg(F.count("*").alias("n_reads"))
+
+
+def readthrough_gene(ends: DataFrame, genes: DataFrame, exons: DataFrame) -> DataFrame:
+    """ends(id, gene_id, contig, strand, three) with readthrough: another gene of the strand in whose exons an end lies that is past its own gene (ties: the first id).
+
+    genes(gene_id, start, stop), exons(gene_id, contig, strand, rs, re). Ends without a gene run into none.
+    """
+    from .joins import interval_join
+
+    past = ends.where("gene_id IS NOT NULL").join(genes.select("gene_id", "start", "stop"), "gene_id").where((F.col("three") < F.col("start")) | (F.col("three") >= F.col("stop")))
+    points = past.select("id", "contig", "strand", F.col("gene_id").alias("_own"), F.col("three").alias("s"), (F.col("three") + 1).alias("e"))
+    hit = interval_join(points, exons.select("gene_id", "contig", "strand", "rs", "re"), ["contig", "strand"], 16_384).where("gene_id <> _own").groupBy("id").agg(F.min("gene_id").alias("readthrough"))
+    return ends.join(hit, "id", "left")
+
+
+def nearest_parent(ends: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """ends(id, gene_id, three) with parent: the gene's transcript of the nearest 3' end, then of least rank, then id."""
+    t = transcripts.select("gene_id", "tx_id", "tts", "rank")
+    best = ends.join(t, "gene_id").groupBy("id").agg(F.min_by("tx_id", F.struct(F.abs(F.col("three") - F.col("tts")), F.col("rank"), F.col("tx_id"))).alias("parent"))
+    return ends.join(best, "id", "left")
+
+
+def end_owners(transcripts: DataFrame, tol: int = 0) -> DataFrame:
+    """(gene_id, site, owners): the transcripts of each annotated 3' end of a gene."""
+    site = F.col("tts") if not tol else F.floor(F.col("tts") / tol) * tol
+    return transcripts.groupBy("gene_id", site.alias("site")).agg(F.array_sort(F.collect_set("tx_id")).alias("owners"))

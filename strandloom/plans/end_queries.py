@@ -134,7 +134,7 @@ def variants(spark, d):
             "end_annotated": (F.col("bin") % 5 == 0) & (F.col("contig") == 0),
             "at_polya_site": F.col("n_reads") % 4 == 0,
             "step_supported": F.when(F.col("n_reads") % 3 == 0, F.col("n_reads") % 2 == 0),
-            "dispersion": F.col("dispersion") * 4,
+            "dispersion": F.round(F.col("dispersion") * 4, 6),
         }
     )
 
@@ -143,6 +143,16 @@ def terminal_prune(spark, d):
     return named(E.prune_terminal(variants(spark, d), G)).select("model_id", "three", "n_reads", "absorbed_into", F.round("candidate_share", 6).alias("candidate_share"), "tier")
 
 
+PRUNE = V.sql("rd", """v3 AS (SELECT contig, strand, chain, tts // 120 AS bin, count(*) AS n_reads, count(DISTINCT (cell, umi)) AS m, min(tts) AS three, round(stddev_pop(tts) * 4, 6) AS disp FROM rd GROUP BY 1, 2, 3, 4),
+f AS (SELECT *, contig || '|' || strand || '|' || chain || '|' || bin AS model_id, CASE WHEN strand = '-' THEN three ELSE -three END AS pos, bin % 5 = 0 AND contig = 0 AS fx, n_reads % 4 = 0 OR n_reads % 6 = 0 OR disp <= 12 AS er FROM v3),
+g AS (SELECT contig, strand, chain, count(*) AS n, bool_or(fx OR er) AS held, list(model_id ORDER BY pos, model_id) AS ids, list(pos ORDER BY pos, model_id) AS ats, list(m ORDER BY pos, model_id) AS ms, list(fx ORDER BY pos, model_id) AS fs, list(er ORDER BY pos, model_id) AS es, list(n_reads ORDER BY pos, model_id) AS ns, list(three ORDER BY pos, model_id) AS ts FROM f GROUP BY 1, 2, 3),
+w AS (SELECT *, 1 AS i, []::BIGINT[] AS into_ FROM g UNION ALL SELECT * EXCLUDE (i, into_), i + 1, list_append(into_, CASE WHEN fs[i] OR es[i] THEN 0 ELSE coalesce(list_sort(list_transform(list_filter(range(1, i), lambda j: into_[j] = 0 AND ats[i] - ats[j] BETWEEN 1 AND 5000 AND CASE WHEN held THEN fs[j] OR es[j] ELSE ms[j] >= 2 * ms[i] END), lambda j: {'m': -ms[j], 'j': j}))[1].j, 0) END) FROM w WHERE i <= n),
+x AS (SELECT *, unnest(range(1, n + 1)) AS j FROM w WHERE i = n + 1),
+y AS (SELECT *, ms[j] + coalesce(list_sum(list_transform(list_filter(range(1, n + 1), lambda k: into_[k] = j), lambda k: ms[k])), 0) AS m, into_[j] = 0 AND es[j] AND NOT fs[j] AS run FROM x),
+z AS (SELECT *, CASE WHEN run THEN m / sum(m) FILTER (run) OVER (PARTITION BY contig, strand, chain) END AS share FROM y)
+SELECT ids[j] AS model_id, ts[j] AS three, ns[j] AS n_reads, CASE WHEN into_[j] > 0 THEN ids[into_[j]] END AS absorbed_into, round(share, 6) AS candidate_share, CASE WHEN into_[j] > 0 THEN NULL WHEN fs[j] THEN 'annotated' WHEN NOT es[j] THEN 'unsupported' WHEN ns[j] % 4 = 0 OR share >= 0.3 THEN 'high' ELSE 'reported' END AS tier FROM z""", recursive=True)
+
+
 def relative_terms(spark, d):
     return E.relative_terms(variants(spark, d), G).select("model_id", F.round("group_share", 6).alias("group_share"), F.round("ratio_to_dominant", 6).alias("ratio_to_dominant"))
 
@@ -200,7 +210,7 @@ QUERIES = {
     "umi_directional": (umi_directional, V.sql("rd mo", "SELECT contig, strand, chain, n_mols, n_reads FROM (SELECT contig, strand, chain, count(*) AS n_reads FROM rd GROUP BY 1, 2, 3) JOIN mo USING (contig, strand, chain)")),
     "molecule_matrix": (molecule_matrix, MATRIX),
     "tail_evidence": (tail_evidence, TAILS),
-    "terminal_prune": (terminal_prune, None),
+    "terminal_prune": (terminal_prune, PRUNE),
     "relative_terms": (relative_terms, RELATIVE),
     "end3_categories": (end3_categories, END3),
     "sequence_features": (sequence_features, SEQUENCES),

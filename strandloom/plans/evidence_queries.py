@@ -97,12 +97,12 @@ def track(spark, d):
 
 def coverage_step(spark, d):
     ends = V.reads(spark, d).select("contig", "strand", F.col("tts").alias("pos")).distinct().withColumn("id", F.concat_ws(":", F.col("contig").cast("string"), "strand", F.col("pos").cast("string")))
-    s = E.three_prime_step(ends.where("pos >= 200"), track(spark, d), least=1.0, most=0.9)
+    s = E.three_prime_step(ends, track(spark, d), least=1.0, most=0.9)
     return s.select("id", *(F.round(c, 6).alias(c) for c in ("upstream", "downstream", "ratio")), "supported")
 
 
 STEP = V.sql("rd", """tk AS (SELECT user_id % 5 AS contig, event_id % 200 * 50 AS s, event_id % 200 * 50 + 50 AS e, count(*) AS v FROM events WHERE (event_id % 200 * 50) % 350 <> 0 GROUP BY 1, 2, 3),
-q AS (SELECT DISTINCT contig, strand, tts AS pos FROM rd WHERE tts >= 200),
+q AS (SELECT DISTINCT contig, strand, tts AS pos FROM rd),
 w AS (SELECT *, CASE WHEN strand = '-' THEN pos ELSE pos - 100 END AS us, CASE WHEN strand = '-' THEN pos - 100 ELSE pos END AS ds FROM q),
 m AS (SELECT w.contig, strand, pos, sum(v * greatest(least(e, us + 100) - greatest(s, us), 0)) FILTER (s < us + 100 AND us < e) / 100 AS u, sum(v * greatest(least(e, ds + 100) - greatest(s, ds), 0)) FILTER (s < ds + 100 AND ds < e) / 100 AS dn FROM w LEFT JOIN tk USING (contig) GROUP BY 1, 2, 3)
 SELECT contig || ':' || strand || ':' || pos AS id, round(u, 6) AS upstream, round(dn, 6) AS downstream, round(CASE WHEN u >= 1 THEN coalesce(dn, 0) / u END, 6) AS ratio, CASE WHEN u >= 1 THEN coalesce(dn, 0) / u END <= 0.9 AS supported FROM m""")
@@ -113,7 +113,7 @@ def holdout_split(spark, d):
 
 
 def score_features(spark, d):
-    f = features(spark, d).where("contig < 4")
+    f = features(spark, d)
     decoy = ~F.col("annotated") & F.col("motif_class").isin("antisense", "non_canonical", "semi_canonical")
     return f.select("contig", F.concat_ws(":", "strand", F.col("donor").cast("string"), F.col("acceptor").cast("string")).alias("id"), F.log1p("n_reads").alias("reads"), F.log1p("n_mols").alias("mols"), "min_site_share", F.col("direct_repeat").cast("double").alias("repeat"), (F.col("donor") % 3 != 0).alias("positive"), decoy.alias("decoy"), F.col("annotated").alias("exempt"), (F.col("donor") % 2).alias("stratum"))
 

@@ -84,6 +84,14 @@ def splice_site_snap_map(spark, d):
     return N.snap_map(j, ann, "donor").withColumn("site", F.lit("donor")).unionByName(N.snap_map(j, ann, "acceptor").withColumn("site", F.lit("acceptor")))
 
 
+SNAP_MAP = V.sql("rx tj", """c AS (SELECT contig, strand, 'donor' AS site, donor AS pos, count(*) AS n FROM rx GROUP BY ALL UNION ALL SELECT contig, strand, 'acceptor', acceptor, count(*) FROM rx GROUP BY ALL),
+a AS (SELECT DISTINCT contig, strand, 'donor' AS site, donor AS known FROM tj WHERE contig % 2 = 0 UNION SELECT contig, strand, 'acceptor', acceptor FROM tj WHERE contig % 2 = 0),
+b AS (SELECT contig, strand, site, pos, arg_min(known, (abs(known - pos), known)) AS dest FROM c JOIN a USING (contig, strand, site) WHERE abs(known - pos) <= 5 GROUP BY ALL),
+g AS (SELECT contig, strand, site, count(*) AS k, list(pos ORDER BY n DESC, pos) AS ps FROM c ANTI JOIN b USING (contig, strand, site, pos) GROUP BY ALL),
+w AS (SELECT *, 1 AS i, []::BIGINT[] AS seeds, []::BIGINT[] AS dests FROM g UNION ALL SELECT contig, strand, site, k, ps, i + 1, CASE WHEN t = ps[i] THEN list_append(seeds, t) ELSE seeds END, list_append(dests, t) FROM (SELECT *, CASE WHEN ps[i] - list_max(list_filter(seeds, lambda s: s < ps[i])) <= 5 THEN list_max(list_filter(seeds, lambda s: s < ps[i])) WHEN list_min(list_filter(seeds, lambda s: s > ps[i])) - ps[i] <= 5 THEN list_min(list_filter(seeds, lambda s: s > ps[i])) ELSE ps[i] END AS t FROM w WHERE i <= k))
+SELECT contig, strand, site, pos, dest AS "to" FROM b UNION ALL SELECT contig, strand, site, ps[j], dests[j] FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM w WHERE i = k + 1)""", recursive=True)
+
+
 def nearest_tts_signed(spark, d):
     """Of each spliced read's 3' end, along the transcript; negative if it lies upstream of the annotated one."""
     r = V.reads(spark, d).select("read_id", "contig", "strand", F.col("tts").alias("pos"))
@@ -226,7 +234,7 @@ QUERIES = {
     "curation_summary": (curation_summary, SUMMARY),
     "read_status_antijoin": (read_status_antijoin, STATUS),
     "nearest_site_snap": (nearest_site_snap, SNAP),
-    "splice_site_snap_map": (splice_site_snap_map, None),
+    "splice_site_snap_map": (splice_site_snap_map, SNAP_MAP),
     "nearest_tts_signed": (nearest_tts_signed, TTS),
     "interval_union_islands": (interval_union_islands, ISLANDS),
     "constitutive_introns": (constitutive_introns, CONSTITUTIVE),

@@ -145,6 +145,14 @@ def end3_consolidation(spark, d):
     return M.consolidate_ends(v, G, 200).groupBy("representative").agg(F.count("*").alias("n_models"), F.sum("n_reads").alias("n_reads"))
 
 
+CONSOLIDATION = V.sql("rd", """v3 AS (SELECT contig, strand, chain, tts // 120 AS bin, count(*) AS n, count(DISTINCT (cell, umi)) AS m, min(tts) AS three FROM rd GROUP BY 1, 2, 3, 4),
+f AS (SELECT *, contig || '|' || strand || '|' || chain || '|' || bin AS id, (NOT (bin % 5 = 0 AND contig = 0))::INT AS a FROM v3),
+g AS (SELECT contig, strand, chain, count(*) AS k, list(id ORDER BY a, m DESC, n DESC, three, id) AS ids, list(three ORDER BY a, m DESC, n DESC, three, id) AS ts, list(n ORDER BY a, m DESC, n DESC, three, id) AS ns FROM f GROUP BY 1, 2, 3),
+w AS (SELECT *, 1 AS i, list_transform(ids, lambda x: 0) AS own FROM g UNION ALL SELECT * EXCLUDE (i, own), i + 1, CASE WHEN own[i] <> 0 THEN own ELSE list_transform(range(1, k + 1), lambda j: CASE WHEN own[j] = 0 AND abs(ts[j] - ts[i]) <= 200 THEN i ELSE own[j] END) END FROM w WHERE i <= k),
+x AS (SELECT ids, own, ns, unnest(range(1, k + 1)) AS j FROM w WHERE i = k + 1)
+SELECT ids[own[j]] AS representative, count(*) AS n_models, CAST(sum(ns[j]) AS BIGINT) AS n_reads FROM x GROUP BY 1""", recursive=True)
+
+
 def gene_dominance(spark, d):
     from .chain_queries import marked
 
@@ -253,7 +261,7 @@ QUERIES = {
     "subchain_container": (subchain_container, CONTAINER),
     "container_resolution": (container_resolution, RESOLUTION),
     "folded_counts": (folded_counts, FOLDED),
-    "end3_consolidation": (end3_consolidation, None),
+    "end3_consolidation": (end3_consolidation, CONSOLIDATION),
     "gene_dominance": (gene_dominance, _dominance()),
     "end3_tier": (end3_tier, TIER),
     "monoexon_class": (monoexon_class, _mono()),

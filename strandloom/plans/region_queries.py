@@ -61,13 +61,13 @@ TERMINAL = V.sql("rd", "SELECT contig, strand, chain, round(quantile_cont(read_i
 
 
 def start_ratio(spark, d):
-    ends = V.reads(spark, d).where("tss >= 200").select("contig", "strand", F.col("tss").alias("pos")).distinct().withColumn("id", F.concat_ws(":", F.col("contig").cast("string"), "strand", F.col("pos").cast("string")))
+    ends = V.reads(spark, d).select("contig", "strand", F.col("tss").alias("pos")).distinct().withColumn("id", F.concat_ws(":", F.col("contig").cast("string"), "strand", F.col("pos").cast("string")))
     out = R.start_ratio(ends, track(spark, d), least=1.0)
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("before", "after", "ratio")), "supported")
 
 
 RATIO = V.sql("rd", """tk AS (SELECT user_id % 5 AS contig, event_id % 200 * 50 AS s, event_id % 200 * 50 + 50 AS e, count(*) AS v FROM events WHERE (event_id % 200 * 50) % 350 <> 0 GROUP BY 1, 2, 3),
-q AS (SELECT DISTINCT contig, strand, tss AS pos FROM rd WHERE tss >= 200),
+q AS (SELECT DISTINCT contig, strand, tss AS pos FROM rd),
 w AS (SELECT *, CASE WHEN strand = '-' THEN pos ELSE pos - 100 END AS us, CASE WHEN strand = '-' THEN pos - 100 ELSE pos END AS ds FROM q),
 m AS (SELECT w.contig, w.strand, pos, sum(v * greatest(least(e, us + 100) - greatest(s, us), 0)) FILTER (s < us + 100 AND us < e) / 100 AS u, sum(v * greatest(least(e, ds + 100) - greatest(s, ds), 0)) FILTER (s < ds + 100 AND ds < e) / 100 AS dn FROM w LEFT JOIN tk USING (contig) GROUP BY 1, 2, 3)
 SELECT contig || ':' || strand || ':' || pos AS id, round(u, 6) AS before, round(dn, 6) AS after, round(CASE WHEN dn >= 1 THEN dn / greatest(coalesce(u, 0), 1) END, 6) AS ratio, CASE WHEN dn >= 1 THEN dn / greatest(coalesce(u, 0), 1) END >= 1.5 AS supported FROM m""")

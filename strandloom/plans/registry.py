@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chain_queries", "junction_queries", "end_queries", "model_queries", "evidence_queries", "region_queries"]
+MODULES = ["chain_queries", "junction_queries", "end_queries", "model_queries", "evidence_queries", "region_queries", "review_queries"]
 
 
 def _all() -> dict:

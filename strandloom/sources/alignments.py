@@ -193,3 +193,24 @@ def admitted_columns(alignments: DataFrame, least: int = 20, exclude_3p_clip: bo
     ).drop("ops", "aligned", "columns", "query")
 
 
+def exon_blocks(ops: Column, pos: Column) -> Column:
+    """array<struct<s, e>>: reference stretches between introns; insertions and clips take none, deletions are part of one."""
+    covers = F.filter(ops, lambda x: x["op"].isin("M", "D", "=", "X"))
+    kind = "array<struct<s:bigint,e:bigint>>"
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] == pos + x["at"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), (pos + x["at"] + x["n"]).alias("e"))))).otherwise(F.concat(acc, F.array(F.struct((pos + x["at"]).alias("s"), (pos + x["at"] + x["n"]).alias("e"))))).cast(kind)
+    return F.aggregate(covers, F.array().cast(kind), step)
+
+
+def primary(alignments: DataFrame) -> DataFrame:
+    """Neither secondary nor supplementary."""
+    return alignments.where((F.col("flag").bitwiseAND(256) == 0) & (F.col("flag").bitwiseAND(2048) == 0))
+
+
+def exon_histogram(alignments: DataFrame, least: int = 20, most: int = 20) -> DataFrame:
+    """(n_exons, n): exons per primary alignment told from its CIGAR, those of `most` and more together."""
+    n = 1 + F.size(introns(operations(F.col("cigar")), F.col("pos"), least, 1 << 40))
+    return primary(alignments).groupBy(F.least(n, F.lit(most)).alias("n_exons")).agg(F.count("*").alias("n"))
+
+
+def read_names(alignments: DataFrame) -> DataFrame:
+    return primary(alignments).select("read_name").distinct()

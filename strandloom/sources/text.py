@@ -12,7 +12,11 @@ JUNCTION_MOTIFS = ["non_canonical", "GT-AG", "CT-AC", "GC-AG", "CT-GC", "AT-AC",
 
 
 def tsv(spark: SparkSession, path: str | list[str], schema: str, header: bool = False) -> DataFrame:
-    return spark.read.csv(path, schema=schema, sep="\t", header=header, comment="#", quote="", mode="DROPMALFORMED")
+    """Rows of tab-separated text. A line with a value that isn't of its column's type, or with too few, fails the query that reads it: none is lost."""
+    rows = spark.read.csv(path, schema=schema + ", _broken string", sep="\t", header=header, comment="#", quote="", mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", columnPruning=False)
+    # all columns are parsed whichever are asked for, as the check reads them
+    bad = F.raise_error(F.concat(F.lit("malformed line: "), F.substring("_broken", 1, 200)))
+    return rows.select(*(F.when(F.col("_broken").isNull(), F.col(c)).otherwise(bad.cast(t)).alias(c) for c, t in rows.dtypes if c != "_broken"))
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -79,9 +83,11 @@ def read_star(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_polya_bed(spark: SparkSession, path: str) -> DataFrame:
     """Distinct sites (contig, strand, site): a row's end on plus, its start on minus; no strand is plus."""
-    rows = tsv(spark, path, "contig string, start long, stop long, name string, score string, strand string").where("contig NOT LIKE 't%' AND start IS NOT NULL")
-    strand = F.when(F.col("strand") == "-", "-").otherwise("+")
-    return rows.select("contig", strand.alias("strand"), F.when(strand == "-", F.col("start")).otherwise(F.col("stop")).alias("site")).distinct()
+    lines = spark.read.text(path).where(~F.col("value").rlike("^(#|track|browser|\\s*$)"))
+    f = F.split("value", "\t")
+    strand = F.when(F.get(f, F.lit(5)) == "-", "-").otherwise("+")
+    # a start or an end that is no number fails the read
+    return lines.select(F.get(f, F.lit(0)).alias("contig"), strand.alias("strand"), F.when(strand == "-", F.get(f, F.lit(1))).otherwise(F.get(f, F.lit(2))).cast("long").alias("site")).distinct()
 
 
 def read_cage_bed(spark: SparkSession, path: str, min_score: float = 0.0) -> DataFrame:
@@ -98,7 +104,9 @@ def read_cage_bed(spark: SparkSession, path: str, min_score: float = 0.0) -> Dat
 
 def read_bedgraph(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A step function (contig, start, end, value), summed over files where steps are equal."""
-    return tsv(spark, path, "contig string, start long, end long, value double").groupBy("contig", "start", "end").agg(F.sum("value").alias("value"))
+    lines = spark.read.text(path).where(~F.col("value").rlike("^(#|track|browser|\\s*$)"))
+    at = lambda i, kind: F.get(F.split("value", "\\s+"), F.lit(i)).cast(kind)
+    return lines.select(at(0, "string").alias("contig"), at(1, "long").alias("start"), at(2, "long").alias("end"), at(3, "double").alias("value")).groupBy("contig", "start", "end").agg(F.sum("value").alias("value"))
 
 
 def read_umis(spark: SparkSession, path: str, cell: str = "cell_barcode", umi: str = "umi", name: str = "read_name") -> DataFrame:
@@ -175,3 +183,36 @@ def group_members(assigned: DataFrame) -> DataFrame:
     part = F.floor((F.row_number().over(Window.partitionBy("model_name", F.pmod(F.xxhash64("read_name"), F.lit(64))).orderBy("read_name")) - 1) / 4096)
     rows = assigned.where("model_name IS NOT NULL").withColumns({"salt": F.pmod(F.xxhash64("read_name"), F.lit(64)), "part": part})
     return rows.groupBy("model_name", "salt", "part").agg(F.array_join(F.sort_array(F.collect_list("read_name")), ",").alias("names"))
+
+
+def sample_rows(df: DataFrame, n: int, total: int, seed: int = 7) -> DataFrame:
+    """About n of `total` rows, drawn over the whole table and not from its head."""
+    return df.sample(fraction=min(1.0, n / max(1, total)), seed=seed)
+
+
+def read_categories(spark: SparkSession, path: str, names: tuple[str, ...] = ("model_id", "isoform", "transcript_id", "pbid"), kinds: tuple[str, ...] = ("category", "structural_category"), support: tuple[str, ...] = ("n_reads", "n_molecules", "support")) -> DataFrame:
+    """(model_id, category, support) of a table with a header, by the first of the names that it has; no other column is read."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    pick = lambda options: next((c for c in options if c in rows.columns), None)
+    name, kind, count = pick(names), pick(kinds), pick(support)
+    if not name or not kind:
+        raise ValueError(f"{path} has no column of {names} or of {kinds}")
+    return rows.select(F.col(name).alias("model_id"), F.col(kind).alias("category"), (F.col(count).try_cast("long") if count else F.lit(None).cast("long")).alias("support"))
+
+
+def model_spans(rows: DataFrame) -> DataFrame:
+    """GTF rows to (model_id, contig, strand, n_exons, start, end, span) of each transcript."""
+    x = rows.where("feature = 'exon' AND tx_id IS NOT NULL").groupBy(F.col("tx_id").alias("model_id")).agg(F.min("contig").alias("contig"), F.min("strand").alias("strand"), F.count("*").alias("n_exons"), F.min("s").alias("start"), F.max("e").alias("end"))
+    return x.withColumn("span", F.col("end") - F.col("start"))
+
+
+def read_assignments(spark: SparkSession, path: str) -> DataFrame:
+    """(read_name, model_id) of a read_stat table; unassigned reads are left out."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return rows.select(F.col("id").alias("read_name"), F.col("pbid").alias("model_id")).where("model_id IS NOT NULL AND model_id <> 'NA'")
+
+
+def assignment_counts(assigned: DataFrame) -> DataFrame:
+    """One row: rows, distinct reads, and reads that stand with more than one model."""
+    each = assigned.groupBy("read_name").agg(F.count("*").alias("n"), F.count_distinct("model_id").alias("m"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_reads"), F.count_if(F.col("m") > 1).alias("n_with_several"))
