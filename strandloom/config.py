@@ -78,7 +78,6 @@ class Terminal:
 class Coverage:
     window: int = 100
     max_downstream_ratio: float = 0.3
-    min_tss_ratio: float = 1.5
     min_coverage: float = 3.0
 
 
@@ -138,6 +137,8 @@ class Config:
     genome: str | None = None
     umis: str | None = None
     junction_tables: tuple[str, ...] = ()
+    polya_sites: str | None = None
+    coverage_tracks: tuple[str, ...] = ()
     out: str = "catalogue"
     contigs: tuple[str, ...] = ()
     exclude_contigs: tuple[str, ...] = ("chrM", "MT", "M")
@@ -169,6 +170,8 @@ class Config:
             wrong.append("gates.min_intron is over gates.max_intron")
         if self.molecules.normalise not in ("none", "strip_segment", "strip_ccs", "zmw"):
             wrong.append(f"molecules.normalise={self.molecules.normalise!r} is unknown")
+        if self.molecules.hamming not in (0, 1):
+            wrong.append("molecules.hamming is 0 or 1")
         if wrong:
             raise ValueError("; ".join(wrong))
         return self

@@ -11,7 +11,7 @@ from .molecules import support_counts
 KEY = ["contig", "strand", "chain"]
 
 
-def chain_groups(reads: DataFrame) -> DataFrame:
+def chain_groups(reads: DataFrame, merge: bool = True) -> DataFrame:
     """reads(contig, strand, chain, cell, umi, read_id, and tss if there) to one row for each exact chain; mono-exonic reads stay out.
 
     Arrays of structs are legal keys, so reads meet in one aggregate with partial sums before the shuffle.
@@ -20,7 +20,7 @@ def chain_groups(reads: DataFrame) -> DataFrame:
     extra = [F.min("read_id").alias("first_read")]
     if "tss" in reads.columns:
         extra += [F.min("tss").alias("_lo"), F.max("tss").alias("_hi")]
-    out = support_counts(reads.where(F.size("chain") > 0), KEY, *extra)
+    out = support_counts(reads.where(F.size("chain") > 0), KEY, *extra, merge=merge)
     if "tss" in reads.columns:
         out = out.withColumn("five", F.when(F.col("strand") == "-", F.col("_hi")).otherwise(F.col("_lo"))).drop("_lo", "_hi")
     return out

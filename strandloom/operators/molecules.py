@@ -68,7 +68,7 @@ def _merge_udf():
     return merge
 
 
-def support_counts(reads: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+def support_counts(reads: DataFrame, keys: list[str], *extra: Column, merge: bool = True) -> DataFrame:
     """(keys, n_reads, n_mols, n_cells, extra..): molecules are UMIs of a cell after directional merging; unknown ones count as reads alone.
 
     The counts of one aggregate feed the next, so reads are shuffled once, after partial sums. extra:
@@ -81,6 +81,8 @@ def support_counts(reads: DataFrame, keys: list[str], *extra: Column) -> DataFra
     cells = each.groupBy(*keys, "cell").agg(F.sum("_n").alias("_n"), F.collect_list(F.when(known, F.struct(F.col("umi").alias("u"), F.col("_n").alias("n")))).alias("_m"), *again)
     merged = F.size(_merge_udf()(F.transform("_m", lambda x: x["u"]), F.transform("_m", lambda x: x["n"])))
     cells = cells.select(*keys, "cell", "_n", "_m", *names)
+    if not merge:  # distinct UMIs as they are
+        return cells.groupBy(*keys).agg(F.sum("_n").alias("n_reads"), F.sum(F.size("_m")).cast("long").alias("n_mols"), F.count("cell").alias("n_cells"), *again)
     alone = cells.where(F.size("_m") < 2).withColumn("_k", F.size("_m"))
     many = cells.where(F.size("_m") > 1).withColumn("_k", merged)
     both = alone.unionByName(many)

@@ -154,7 +154,7 @@ def deletions(ops: Column, pos: Column, least: int = 20) -> Column:
     return F.transform(F.filter(ops, lambda x: (x["op"] == "D") & (x["n"] >= least)), lambda x: F.struct((pos + x["at"]).alias("donor"), (pos + x["at"] + x["n"]).alias("acceptor")))
 
 
-def admitted_columns(alignments: DataFrame, least: int = 20, exclude_3p_clip: bool = True) -> DataFrame:
+def admitted_columns(alignments: DataFrame, least: int = 20, exclude_3p_clip: bool = True, most: int = 500_000) -> DataFrame:
     """Alignments with strand, ends, chain, gaps, clips, coverage, identity and tail, for gates and grouping."""
     a = alignments.withColumn("ops", operations(F.col("cigar")))
     total = lambda *kinds: F.aggregate(F.filter("ops", lambda x: x["op"].isin(*kinds)), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
@@ -175,7 +175,7 @@ def admitted_columns(alignments: DataFrame, least: int = 20, exclude_3p_clip: bo
             "query": total("M", "I", "S", "H", "=", "X"),
         }
     )
-    js = introns(F.col("ops"), F.col("pos"), least)
+    js = introns(F.col("ops"), F.col("pos"), least, most)
     soft = F.when(minus, F.when(F.col("ops")[0]["op"] == "S", F.expr("left(seq, cast(ops[0].n AS INT))"))).otherwise(F.when(F.element_at("ops", -1)["op"] == "S", F.expr("right(seq, cast(element_at(ops, -1).n AS INT))")))
     tail = F.when(minus, F.reverse(F.translate(soft, "ACGT", "TGCA"))).otherwise(soft)
     base = F.col("query") - (F.col("clip3") if exclude_3p_clip else F.lit(0))

@@ -13,10 +13,12 @@ JUNCTION_MOTIFS = ["non_canonical", "GT-AG", "CT-AC", "GC-AG", "CT-GC", "AT-AC",
 
 def tsv(spark: SparkSession, path: str | list[str], schema: str, header: bool = False) -> DataFrame:
     """Rows of tab-separated text. A line with a value that isn't of its column's type, or with too few, fails the query that reads it: none is lost."""
-    rows = spark.read.csv(path, schema=schema + ", _broken string", sep="\t", header=header, comment="#", quote="", mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", columnPruning=False)
-    # all columns are parsed whichever are asked for, as the check reads them
+    rows = spark.read.csv(path, schema=schema + ", _broken string", sep="\t", header=header, comment="#", quote="", mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+    typed = [F.col(c).cast("string") for c, t in rows.dtypes if t != "string"]
+    # a reader converts the columns that are asked for; this asks for all that can be malformed
+    good = F.col("_broken").isNull() & (F.size(F.array(F.lit(""), *typed)) > 0)
     bad = F.raise_error(F.concat(F.lit("malformed line: "), F.substring("_broken", 1, 200)))
-    return rows.select(*(F.when(F.col("_broken").isNull(), F.col(c)).otherwise(bad.cast(t)).alias(c) for c, t in rows.dtypes if c != "_broken"))
+    return rows.select(*(F.when(good, F.col(c)).otherwise(bad.cast(t)).alias(c) for c, t in rows.dtypes if c != "_broken"))
 
 
 def attribute(attrs: Column, name: str) -> Column:

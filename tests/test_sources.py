@@ -132,7 +132,7 @@ def test_settings(tmp_path):
 
 
 def plant(tmp_path):
-    """25 whole reads of T1, 30 truncated ones, 12 of a new exon skip, 2 of a false junction, 20 of T2 on minus."""
+    """25 whole reads of T1, 30 truncated ones, 12 of a new exon skip, 2 of a false junction, 20 of T2 on minus, 12 unspliced ones of no gene, 6 within T1's last exon."""
     lines, umis, n = ["@HD\tVN:1.6"], ["cell_barcode\tumi\tread_name"], 0
 
     def add(times, flag, contig, pos, cigar, size):
@@ -147,6 +147,8 @@ def plant(tmp_path):
     add(12, 0, "chr1", 1001, "200M1800N500M", 700)
     add(2, 0, "chr1", 1001, "237M763N200M800N500M", 937)
     add(20, 16, "chr2", 101, "100M100N100M", 200)
+    add(12, 0, "chr1", 9001, "300M", 300)
+    add(6, 0, "chr1", 3051, "300M", 300)
     return put(tmp_path / "r.sam", "\n".join(lines)), put(tmp_path / "u.tsv", "\n".join(umis)), put(tmp_path / "a.gtf", GTF)
 
 
@@ -162,17 +164,26 @@ def test_a_run_finds_what_was_planted(spark, tmp_path):
             cells.setdefault(n % 4, {})["".join("ACGT"[n // 4**k % 4] for k in range(8))] = 1
         return sum(len(set(merge_cell(x).values())) for x in cells.values())
 
-    assert got == {("chr1", 2, "FSM"): (55, molecules(*range(55))), ("chr1", 1, "NOVEL"): (12, molecules(*range(55, 67))), ("chr2", 1, "FSM"): (20, molecules(*range(69, 89)))}
+    assert got == {("chr1", 2, "FSM"): (61, molecules(*range(55), *range(101, 107))), ("chr1", 1, "NIC"): (12, molecules(*range(55, 67))), ("chr2", 1, "FSM"): (20, molecules(*range(69, 89))), ("chr1", 0, "monoexon_intergenic"): (12, molecules(*range(89, 101)))}
     assigned = out["assigned"].groupBy(F.col("model_name").isNull().alias("none")).count().collect()
-    assert {r["none"]: r["count"] for r in assigned} == {False: 87, True: 2}
+    assert {r["none"]: r["count"] for r in assigned} == {False: 105, True: 2}
     checks = catalogue.invariants(out, A.admitted_columns(A.read_sam(spark, sam)).withColumn("read_id", F.xxhash64("read_name", "contig", "pos", "cigar"))).first()
     assert checks.ok_mono and checks.ok_span and checks.ok_exons
     back = T.annotation(T.read_gtf(spark, f"{cfg.out}/models.gtf"))
     assert {tuple(tuple(j) for j in r.chain) for r in back.collect()} == {tuple(tuple(j) for j in r.chain) for r in out["models"].collect()}
     head = spark.read.text(f"{cfg.out}/matrix/matrix").collect()
-    assert head[0].value.startswith("%%MatrixMarket") and sum(int(r.value.split()[2]) for r in head[2:]) == sum(n for _, n in got.values()) < 87
+    assert head[0].value.startswith("%%MatrixMarket") and sum(int(r.value.split()[2]) for r in head[2:]) == sum(n for _, n in got.values()) < 105
     table = spark.read.csv(f"{cfg.out}/models.tsv", sep="\t", header=True)
-    assert table.count() == 3 and "read_share" in table.columns
+    assert table.count() == 4 and {"read_share", "tier", "terminal_class"} <= set(table.columns)
+    qc = json.loads(spark.read.text(f"{cfg.out}/qc.json", wholetext=True).first().value)
+    assert qc["reads"] == {"reads": 107, "mono_exonic_reads": 18, "spliced_reads": 89, "junction_records": 116} and qc["novelty"]["n_novel_models"] == 1
+    rejected = spark.read.csv(f"{cfg.out}/single_exons_rejected.tsv", sep="\t", header=True).collect()
+    assert [(x.outcome, x.n_reads) for x in rejected] == [("demoted_fragment", "6")]
+    facts = cli.audit(spark, sam, f"{cfg.out}/models.gtf", f"{cfg.out}/read_stat.tsv")
+    assert facts["n_mono_mismatch"] == 0 and facts["n_with_several"] == 0 and facts["n_inspected"] == 4 and facts["exons_per_read"] == {1: 18, 2: 62, 3: 27}
+    assert cli.diagnose(spark, umis, sam)["use"] == {"column": "read_name", "mode": "none"}
+    cli.index_umis(spark, umis, "none", str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 107
     same = cli.compare(spark, [f"{cfg.out}/models.gtf"] * 1 + [gtf], 100).collect()
     assert {r.category for r in same} >= {"ALL"}
 
@@ -186,3 +197,59 @@ def test_gates_that_refuse_nearly_all_stop_the_run(spark, tmp_path):
 
 def test_settings_dump_is_json():
     assert json.loads(config.dump(config.Config()))["posthoc"]["end3_tolerance"] == 200
+
+
+def test_every_setting_is_read():
+    import dataclasses
+    import re
+    from pathlib import Path
+
+    folder = Path(catalogue.__file__).parent
+    code = "".join((folder / f).read_text() for f in ("catalogue.py", "stages.py"))
+
+    def leaves(kind):
+        for f in dataclasses.fields(kind):
+            inner = f.default_factory if f.default_factory is not dataclasses.MISSING and dataclasses.is_dataclass(f.default_factory) else None
+            yield from leaves(inner) if inner else [f.name]
+
+    assert [n for n in leaves(config.Config) if not re.search(rf"\.{n}\b", code)] == []
+
+
+def test_lines_that_are_no_rows_fail(spark, tmp_path):
+    bad = put(tmp_path / "bad.gtf", GTF + "\nchr1\tx\texon\tten\t20\t.\t+\t.\tgene_id \"G\";")
+    with pytest.raises(Exception, match="malformed line"):
+        T.read_gtf(spark, bad).collect()
+    with pytest.raises(Exception, match="malformed line"):
+        T.read_gtf(spark, bad).select("contig").collect()
+    bed = put(tmp_path / "a.bed", "track name=x\nchr1\t10\t20\nchr1\t10\t20\tn\t0\t-\n")
+    assert sorted(tuple(x) for x in T.read_polya_bed(spark, bed).collect()) == [("chr1", "+", 20), ("chr1", "-", 10)]
+    graph = put(tmp_path / "a.bg", "track type=bedGraph\nchr1\t0\t10\t1.5\nchr1\t0\t10\t1\n")
+    assert [tuple(x) for x in T.read_bedgraph(spark, graph).collect()] == [("chr1", 0, 10, 2.5)]
+
+
+def test_stages_with_a_genome(spark, tmp_path):
+    from strandloom.plans import stages as S
+
+    left, right = "A" * 20, "C" * 20
+    intron = "GT" + "T" * 56 + "AG"
+    fasta = put(tmp_path / "g.fa", f">c\n{left}{intron}{right}{'G' * 40}\n")
+    genome = T.read_fasta(spark, fasta)
+    j = spark.createDataFrame([("c", "+", 20, 80), ("c", "-", 20, 80), ("c", "+", 22, 80)], "contig string, strand string, donor long, acceptor long")
+    got = {(r.strand, r.donor): (r.motif_class, r.direct_repeat) for r in S.with_motifs(j, genome).collect()}
+    assert got == {("+", 20): ("canonical", 0), ("-", 20): ("antisense", 0), ("+", 22): ("non_canonical", 0)}
+    assert {r.motif_class for r in S.with_motifs(j, None).collect()} == {"unknown"}
+    e = S.end_evidence(spark.createDataFrame([("a", "c", "+", 100), ("b", "c", "-", 20)], "id string, contig string, strand string, three long"), S.Evidence(genome=genome), config.Config()).collect()
+    assert {r.id: (r.percent_a, r.internal_priming) for r in e} == {"a": (0.0, False), "b": (0.0, False)}
+
+
+def test_the_second_pass_on_a_catalogue(spark):
+    from strandloom.plans import stages as S
+
+    chain = "array<struct<donor:bigint,acceptor:bigint>>"
+    tx = spark.createDataFrame([("t", "g", "c", "+", [(200, 300)], [(100, 200), (300, 400)], 100, 400, 0, 200), ("u", "h", "c", "+", [(1200, 1300)], [(1100, 1200), (1300, 1400)], 1100, 1400, 0, 200)], f"tx_id string, gene_id string, contig string, strand string, chain {chain}, exons array<struct<s:bigint,e:bigint>>, tss long, tts long, rank int, tx_len long")
+    rows = [("m", "g", [(200, 300)], [(100, 200), (300, 390)], "FSM", 9), ("s", "g", [], [(310, 380)], "monoexon_internal", 3), ("r", "h", [], [(1110, 1190)], "monoexon_internal", 4), ("x", None, [], [(5000, 5100)], "monoexon_intergenic", 5), ("n", "g", [(200, 300)], [(100, 200), (300, 350)], "end3_novel", 2)]
+    m = spark.createDataFrame([(i, g, "c", "+", ch, ex, k, n, n, 1, ex[-1][1], ex[0][1], True, False, False, False, 50.0, None) for i, g, ch, ex, k, n in rows], f"model_id string, gene_id string, contig string, strand string, chain {chain}, exons array<struct<s:bigint,e:bigint>>, category string, support long, n_reads long, n_cells long, three long, five long, end_annotated boolean, at_polya_site boolean, motif_found boolean, internal_priming boolean, dispersion double, contrast double").withColumn("step_supported", F.lit(None).cast("boolean"))
+    kept, mapping, audit = S.second_pass(m, tx, config.Config())
+    assert {r.model_id: r.category for r in kept.collect()} == {"m": "FSM", "x": "monoexon_intergenic", "INFERRED|h|u": "INFERRED"}
+    assert {r.model_id: r.target for r in mapping.collect()} == {"s": "m", "r": "INFERRED|h|u", "n": "m"}
+    assert {(r.model_id, r.stage, r.action, r.reason) for r in audit.collect()} == {("s", "single_exons", "replaced", "infer_from=data"), ("r", "single_exons", "replaced", "infer_from=reference"), ("x", "single_exons", "kept", "intergenic_out_of_scope"), ("n", "ends", "removed", "tier=none")}
