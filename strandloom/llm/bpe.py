@@ -41,13 +41,13 @@ from .common import file_bytes, shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: About this many bytes of text make a block, whose words and numbers one Python worker holds.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Input files to a bucket, about, and the most buckets that Spark writes.
 BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 1 << 16
 #: Texts of so many characters are split match by match, so that their words aren't held.
 LONG = 1 << 20
 #: Numbers that are turned into ids at a time.
-_PIECE = 1_000_000
+_PIECE = 500_000
 
 
 def default_path() -> str:
@@ -252,6 +252,7 @@ def split_blocks(docs: DataFrame, path: str, pattern: str, block_bytes: int, buc
                 size += len(text)
                 if size >= block_bytes:
                     yield from flush()
+                    pa.default_memory_pool().release_unused()
                     numbers, ids, held, block, size = Numbers(tokens, len(by_rank)), [], [], block + 1, 0
         yield from flush()
 
@@ -320,6 +321,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
             out["decoded"].extend(hashlib.sha256(x).hexdigest() for x in decoded.to_pylist())
             if with_ids:
                 out["list"].extend(pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids).to_pylist())
+        pa.default_memory_pool().release_unused()
         fields = {"doc_id": texts.column("doc_id"), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["ids"], pa.string()), "decoded_sha256": pa.array(out["decoded"], pa.string())}
         return pa.table(fields | ({"ids": pa.array(out["list"], pa.list_(pa.int32()))} if with_ids else {}))
 

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from .common import WORD, table, word_hashes
 
@@ -150,17 +149,17 @@ class CoTrained:
 
 
 def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` with both views' features, for the bounded sample."""
+    """The columns `keep` with both views' features as 32-bit numbers end to end, for the bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(keep)
         for batch in batches:
             t, lang, source, n = (batch.column(k + i).to_pylist() for i in range(4))
-            text = [text_features(x).tolist() for x in t]
-            meta = [meta_features(*x).tolist() for x in zip(lang, source, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(text, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.float64()))], names=[*keep, "tf", "mf"])
+            text = [text_features(x).astype("<f4").tobytes() for x in t]
+            meta = [meta_features(*x).astype("<f4").tobytes() for x in zip(lang, source, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(text, pa.binary()), pa.array(meta, pa.binary())], names=[*keep, "tf", "mf"])
 
-    schema = docs.select(*keep).schema.add("tf", ArrayType(DoubleType())).add("mf", ArrayType(DoubleType()))
+    schema = docs.select(*keep).schema.add("tf", "binary").add("mf", "binary")
     return docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")).mapInArrow(run, schema)
 
 
@@ -176,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     ids = set(known["doc_id"])
     rest = _features(part(docs.where("doc_id IS NOT NULL"), pool, "pool"), ["doc_id"]).toPandas().sort_values("doc_id", kind="stable")
     rest = rest[~rest["doc_id"].isin(ids)]
-    stack = lambda s, n: np.array(s.tolist(), float).reshape(-1, n)
+    stack = lambda s, n: np.frombuffer(b"".join(s), "<f4").reshape(-1, n).astype(float)
     n_meta = len(meta_features(None, None, None))
     fold = np.array([(int(i) * 2654435761 >> 7) % 4 == 0 for i in known["doc_id"]], bool)
     return CoTrained(stack(known["tf"], N_TEXT), stack(known["mf"], n_meta), known["y"].to_numpy(float), fold, stack(rest["tf"], N_TEXT), stack(rest["mf"], n_meta))
