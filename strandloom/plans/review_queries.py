@@ -23,11 +23,14 @@ from .junction_queries import _EXONS, tx_exons
 from .model_queries import models, transcripts
 
 G = ["contig", "strand", "chain"]
-GENE = F.concat(F.lit("g1."), F.col("contig").cast("string"), F.when(F.col("strand") == "+", "p").otherwise("m"))
 _GENE = "'g1.' || contig || CASE WHEN strand = '+' THEN 'p' ELSE 'm' END"
 _TRACK = "tk AS (SELECT user_id % 5 AS contig, event_id % 200 * 50 AS s, event_id % 200 * 50 + 50 AS e, count(*) AS v FROM events WHERE (event_id % 200 * 50) % 350 <> 0 GROUP BY 1, 2, 3)"
 
 
+def gene():
+    return F.concat(F.lit("g1."), F.col("contig").cast("string"), F.when(F.col("strand") == "+", "p").otherwise("m"))
+
+
 # --- alignments ------------------------------------------------------------------------------------
 
 
@@ -196,7 +199,7 @@ SELECT model_id, category FROM w WHERE category = 'FSM' OR place <= 3""")
 
 def readthrough(spark, d):
     """Models of the first gene whose 3' end lies in an exon of the second, past the first gene's end (which is cut to half of it here)."""
-    m = models(spark, d).select(F.col("model_id").alias("id"), "contig", "strand", "three", GENE.alias("gene_id"))
+    m = models(spark, d).select(F.col("model_id").alias("id"), "contig", "strand", "three", gene().alias("gene_id"))
     x = tx_exons(spark).select("gene_id", "contig", "strand", F.col("s").alias("rs"), F.col("e").alias("re"))
     genes = V.transcripts(spark).groupBy("gene_id").agg(F.min(F.least("tss", "tts")).alias("start"), F.floor(F.max(F.greatest("tss", "tts")) / 2).alias("stop"))
     return R.readthrough_gene(m, genes, x).select("id", "readthrough")
@@ -209,7 +212,7 @@ SELECT id, readthrough FROM m LEFT JOIN h USING (id)""")
 
 
 def nearest_parent(spark, d):
-    m = models(spark, d).select(F.col("model_id").alias("id"), GENE.alias("gene_id"), "three")
+    m = models(spark, d).select(F.col("model_id").alias("id"), gene().alias("gene_id"), "three")
     return R.nearest_parent(m, transcripts(spark)).select("id", "parent")
 
 
@@ -259,7 +262,7 @@ def clusters(spark, d):
 
 def spliced(spark, d):
     m = models(spark, d)
-    return m.select(GENE.alias("gene_id"), "model_id", F.element_at("exons", 1)["s"].alias("s"), F.element_at("exons", -1)["e"].alias("e"), "three", F.col("model_id").alias("place"))
+    return m.select(gene().alias("gene_id"), "model_id", F.element_at("exons", 1)["s"].alias("s"), F.element_at("exons", -1)["e"].alias("e"), "three", F.col("model_id").alias("place"))
 
 
 def monoexon_rules(spark, d):
@@ -288,7 +291,7 @@ def catalogue(spark, d):
         F.concat(F.lit("s"), x.cast("string")).alias("place"),
         F.substring(F.lit("ABCDEX"), (x % 6 + 1).cast("int"), F.lit(1)).alias("class"),
     )
-    m = models(spark, d).select("model_id", GENE.alias("gene_id"), (F.size("chain") + 1).alias("n_exons"), "support", F.col("model_id").alias("place"), F.lit(None).cast("string").alias("class"))
+    m = models(spark, d).select("model_id", gene().alias("gene_id"), (F.size("chain") + 1).alias("n_exons"), "support", F.col("model_id").alias("place"), F.lit(None).cast("string").alias("class"))
     return m.unionByName(mono)
 
 
@@ -321,7 +324,7 @@ BEST = V.sql("md", f"SELECT {_GENE} AS gene_id, arg_min(model_id, (-n_mols, mode
 
 
 def ended(spark, d):
-    v = categorised(spark, d).withColumns({"gene_id": F.when(F.col("n_reads") % 9 != 0, GENE), "support": F.col("n_mols"), "place": F.col("model_id")})
+    v = categorised(spark, d).withColumns({"gene_id": F.when(F.col("n_reads") % 9 != 0, gene()), "support": F.col("n_mols"), "place": F.col("model_id")})
     return v.withColumn("category", F.when(F.pmod("bin", F.lit(3)) == 1, "end3_novel").when(F.pmod("bin", F.lit(3)) == 0, "FSM").otherwise("end3_unresolved"))
 
 
@@ -389,7 +392,7 @@ TERMINAL = V.sql("rd", _CATEGORISED + " SELECT model_id, CASE WHEN n_reads % 5 =
 
 def labelled(spark, d):
     n = F.col("n_reads")
-    return models(spark, d).withColumns({"category": F.element_at(F.array(*map(F.lit, ["FSM", "NIC", "NNC", "IR", "READTHROUGH", "end3_novel"])), (n % 6 + 1).cast("int")), "gene_id": F.when(n % 8 != 0, GENE), "lfdr": F.when(n % 3 != 0, (n % 10) / 100), "associated_tx": F.when(n % 4 != 0, "t"), "n_equally_close": n % 3, "shift": F.when(n % 5 != 0, (n % 500) - 250), "refused": n % 7 == 0, "tail_share": F.when(n % 2 == 0, (n % 10) / 10)})
+    return models(spark, d).withColumns({"category": F.element_at(F.array(*map(F.lit, ["FSM", "NIC", "NNC", "IR", "READTHROUGH", "end3_novel"])), (n % 6 + 1).cast("int")), "gene_id": F.when(n % 8 != 0, gene()), "lfdr": F.when(n % 3 != 0, (n % 10) / 100), "associated_tx": F.when(n % 4 != 0, "t"), "n_equally_close": n % 3, "shift": F.when(n % 5 != 0, (n % 500) - 250), "refused": n % 7 == 0, "tail_share": F.when(n % 2 == 0, (n % 10) / 10)})
 
 
 _LABELLED = "lm AS (SELECT *, n_reads AS n, ['FSM', 'NIC', 'NNC', 'IR', 'READTHROUGH', 'end3_novel'][n_reads % 6 + 1] AS category, CASE WHEN n_reads % 8 <> 0 THEN " + _GENE + " ELSE '?' END AS g FROM md)"

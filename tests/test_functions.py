@@ -71,3 +71,12 @@ def test_sequences(spark):
     assert (r.zmw, r.ccs, r.seg) == ("m/12", "m/12", "m/12/ccs")
     assert sorted(r.nb) == sorted(["CC", "GC", "TC", "AA", "AG", "AT"])
     assert (r.polya.motif, r.polya.dist) == ("AATAAA", 16) and r.far is None
+
+
+def test_the_entry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent, timeout=300)
