@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a local one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/strandloom-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
