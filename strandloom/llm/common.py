@@ -96,21 +96,29 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def word_hashes(text: bytes, kind: np.ndarray = WORD) -> np.ndarray:
-    """The 64-bit hash of each word of a text whose A-Z have been lowered. Vectorised; any length."""
-    raw = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = kind[raw]
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return np.empty(0, np.uint64)
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each stretch of bytes. Vectorised; any length."""
     power, inverse = _power_table(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * power[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_spans(raw: np.ndarray, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends."""
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = kind[raw]
+    edges = np.diff(inside)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def word_hashes(text: bytes, kind: np.ndarray = WORD) -> np.ndarray:
+    """The 64-bit hash of each word of a text whose A-Z have been lowered."""
+    raw = np.frombuffer(text, np.uint8)
+    starts, ends = word_spans(raw, kind)
+    return span_hashes(raw, starts, ends) if len(starts) else np.empty(0, np.uint64)
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of k words; fewer words count as one run, none as none."""
     if not len(words):

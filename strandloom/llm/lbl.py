@@ -1,19 +1,22 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
-Words are counted over all training texts. The model's vocabulary has a fixed size: the most frequent
-words, the end of a text, and classes that share out all other words by a hash of their last two
-bytes. The count of each pair of neighbours in it is gathered from the whole corpus, and the model
+Words are counted over all training texts. The core has a fixed size: the most frequent words, the end
+of a text, and classes that share out all other words by a hash of their last two bytes. The count of
+each pair of neighbours in it is gathered from the whole corpus, and the model
 
     s(w | c) = (C r_c) . q_w + b_w
 
 is fitted to those counts by noise-contrastive estimation with NOISE draws from the unigram
-distribution to each word, whose expectation is taken exactly. One matrix product then gives every
-score, and a log-sum-exp over each row makes them normalised log-probabilities. A word outside the
-vocabulary gets its class's probability times (c + 1) / (sum of c + 1 over the class + 1), the last 1
-being for unseen words; so the probabilities of all known words and one unseen word per class sum to 1.
-
-Counts of the HEAD most frequent words are broadcast (a fixed size bound); rarer words of each
-text are shuffled by the word and joined to their counts, so no key is hot. A word of more than
+distribution to each word, whose expectation is taken exactly. Then every other word that occurs LEAST
+times gets a context vector C r of its own, fitted in the same way to the counts of all that follows it,
+with the core fixed: those counts are a shuffled table that grows with the corpus, as do the vectors.
+One matrix product gives every score, and a log-sum-exp over each row makes them normalised
+log-probabilities. A word outside the core gets its class's probability times (c + 1) / (sum of c + 1
+over the class + 1), the last 1 being for unseen words; so the probabilities of all known words and one
+unseen word per class sum to 1.
+
+Counts and vectors of the HEAD most frequent words are broadcast (a fixed size bound); rarer words of
+each text are shuffled by the word and joined to theirs, so no key is hot. A word of more than
 LONG_WORD bytes goes by its digest and last two bytes, in counts, vocabulary and joins alike.
 
 Null and empty texts hold the end alone. Repeated rows and equal doc_ids get a result each. If nothing
@@ -33,9 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import span_hashes, stash, table, word_spans
 
 WORDS, CLASSES, DIM, NOISE, STEPS = 1024, 127, 48, 10, 120
+#: Words outside the core that occur LEAST times in training have a context vector of their own, of OWN_STEPS steps, its class's weighing as PRIOR counts.
+LEAST, OWN_STEPS, PRIOR = 16, 5, 16.0
+#: A pair's name holds a word's class and hash, and the symbol that follows: 63 bits. Words of one name share a vector.
+CLASS_BITS, HASH_BITS, NEXT_BITS = 7, 45, 11
+#: Texts are cut into words in blocks of so many bytes.
+BLOCK = 1 << 18
 #: So many frequent words are broadcast with their counts; words of more than LONG_WORD bytes go by a digest.
 HEAD, LONG_WORD = 131_072, 48
 
@@ -45,10 +54,19 @@ def words_of(text: bytes) -> list[bytes]:
     found = text.lower().split()
     if len(text) > LONG_WORD:
         for i in [i for i, w in enumerate(found) if len(w) > LONG_WORD]:
-            found[i] = b"\0" + hashlib.sha256(found[i]).digest() + found[i][-2:]
+            found[i] = name_of(found[i])
     return found
 
 
+def name_of(word: bytes) -> bytes:
+    return word if len(word) <= LONG_WORD else b"\0" + hashlib.sha256(word).digest() + word[-2:]
+
+
+def name_hashes(names: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in names], dtype=np.int64)
+    return span_hashes(np.frombuffer(b"".join(names), np.uint8), ends - [len(w) for w in names], ends) if names else np.empty(0, np.uint64)
+
+
 def class_of(word: bytes, classes: int = CLASSES) -> int:
     return zlib.crc32(word[-2:]) % classes
 
@@ -76,38 +94,97 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Ids of the model: frequent words, the end, then the classes; and counts of the head."""
+    """Ids of the model: frequent words, the end, then the classes; and counts of the head, by hashes of words."""
 
     def __init__(self, head: list[tuple[bytes, int]], words: int, classes: int) -> None:
-        self.size_words = min(words, len(head))
+        core = head[:words]
         self.classes = classes
-        self.ids = {w: i for i, (w, _) in enumerate(head[: self.size_words])}
-        self.end = self.size_words
-        self.size = self.size_words + 1 + classes
-        self.counts = dict(head)
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get, first, classes = self.ids.get, self.end + 1, self.classes
-        crc = zlib.crc32
-        out = [get(w, -1) for w in words]
-        for i in [i for i, x in enumerate(out) if x < 0]:
-            out[i] = first + crc(words[i][-2:]) % classes
-        out.append(self.end)
-        return np.array(out, np.int64)
+        self.end = len(core)
+        self.first = self.end + 1
+        self.size = self.first + classes
+        if self.size > 1 << NEXT_BITS or classes > 1 << CLASS_BITS:
+            raise ValueError(f"{self.size} symbols with {classes} classes don't fit in names of pairs")
+        hashes = name_hashes([w for w, _ in head])
+        counts = np.array([c for _, c in head], np.int64)
+        by_hash = np.argsort(hashes[: self.end])
+        self.core_hashes, self.core_ids = hashes[by_hash], by_hash
+        by_hash = np.argsort(hashes)
+        self.head_hashes, self.head_counts = hashes[by_hash], counts[by_hash]
+        # the class of each pair of last bytes, then of each word of one byte
+        self.class_table = np.array([class_of(bytes((i >> 8, i & 255)), classes) for i in range(1 << 16)] + [class_of(bytes((i,)), classes) for i in range(256)], np.int64)
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value stands among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Block:
+    """Some texts as one sequence of symbols, the end after each: symbols, and of each word its place, hash and class."""
+
+    def __init__(self, v: Vocabulary, texts: list[bytes]) -> None:
+        self.bytes = b"\n".join(texts).lower()
+        raw = np.frombuffer(self.bytes, np.uint8)
+        self.starts, self.ends = word_spans(raw)
+        self.hashes = span_hashes(raw, self.starts, self.ends) if len(self.starts) else np.empty(0, np.uint64)
+        for i in np.flatnonzero(self.ends - self.starts > LONG_WORD):
+            self.hashes[i] = name_hashes([self.name(i)])[0]
+        lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        self.text = np.searchsorted(np.cumsum(lengths), self.starts, side="right")
+        self.places = np.arange(len(self.starts)) + self.text
+        last = raw[self.ends - 1].astype(np.int64)
+        before = raw[np.maximum(self.ends - 2, 0)].astype(np.int64)
+        self.kinds = v.class_table[np.where(self.ends - self.starts > 1, before << 8 | last, (1 << 16) + last)]
+        at, core = find(v.core_hashes, self.hashes)
+        ids = v.first + self.kinds
+        ids[core] = v.core_ids[at[core]]
+        self.symbols = np.full(len(self.starts) + len(texts), v.end, np.int64)
+        self.symbols[self.places] = ids
+        # each text ends with the end, so the next one begins after it
+        self.before = np.concatenate([[v.end], self.symbols[:-1]])
+        self.outside = np.flatnonzero(~core)
+
+    def name(self, i: int) -> bytes:
+        return name_of(self.bytes[self.starts[i] : self.ends[i]])
+
+    def pairs(self) -> np.ndarray:
+        """For each word outside the core its name of 52 bits, then the symbol after it."""
+        o = self.outside
+        key = self.kinds[o] << HASH_BITS | (self.hashes[o] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        return key << NEXT_BITS | self.symbols[self.places[o] + 1]
+
+
+def blocks(batch: pa.RecordBatch, column: int, v: Vocabulary) -> Iterator[tuple[int, int, Block]]:
+    """The texts of a batch in blocks of about BLOCK bytes, each with its range of rows; long texts stay whole."""
+    texts = batch.column(column)
+    start, held, size = 0, [], 0
+    for i in range(batch.num_rows):
+        held.append(texts[i].as_py())
+        size += len(held[-1])
+        if size >= BLOCK or i + 1 == batch.num_rows:
+            yield start, i + 1, Block(v, held)
+            start, held, size = i + 1, [], 0
 
 
 def count_pairs(texts: DataFrame, vocabulary) -> DataFrame:
-    """(pair long, n long): neighbours in the model's vocabulary, c * size + w, the end coming before each text."""
+    """(pair long, n long): neighbours in the core, c * size + w, the end coming before each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         found = np.zeros(v.size * v.size, np.int64)
+        held: list[np.ndarray] = []
+        add = lambda: np.add(found, np.bincount(np.concatenate(held), minlength=v.size * v.size), out=found)
         for batch in batches:
-            parts = [v.encode(words_of(t)) for t in batch.column(0).to_pylist()]
-            if parts:
-                flat = np.concatenate([[v.end], *parts])  # each text ends with the end, so the next begins after it
-                keys, n = np.unique(flat[:-1] * v.size + flat[1:], return_counts=True)
-                found[keys] += n
+            for _, _, block in blocks(batch, 0, v):
+                held.append(block.before * v.size + block.symbols)
+                if sum(map(len, held)) > 1_000_000:
+                    add()
+                    held.clear()
+        if held:
+            add()
         keys = np.flatnonzero(found)
         if len(keys):
             yield pa.RecordBatch.from_pydict({"pair": pa.array(keys, pa.int64()), "n": pa.array(found[keys], pa.int64())})
@@ -115,6 +192,129 @@ def count_pairs(texts: DataFrame, vocabulary) -> DataFrame:
     return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def count_followers(texts: DataFrame, vocabulary) -> DataFrame:
+    """(pair long, n int): what follows each word outside the core, added up in parts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"pair": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int32())})
+
+        for batch in batches:
+            for _, _, block in blocks(batch, 0, v):
+                held.append(block.pairs())
+                if sum(map(len, held)) > 2_000_000:
+                    yield out()
+        if sum(map(len, held)):
+            yield out()
+
+    return texts.mapInArrow(run, "pair long, n int")
+
+
+def fold_in(counts: np.ndarray, start: np.ndarray, q: np.ndarray, b: np.ndarray, unigram: np.ndarray, noise: int = NOISE, steps: int = OWN_STEPS, prior: float = PRIOR) -> np.ndarray:
+    """A context vector (C r) for each row of counts of followers, by noise-contrastive estimation with all else fixed.
+
+    A row begins at its start, which weighs as much as `prior` of its counts. Steps go along the gradient
+    by the inverse curvature at the unigram distribution, no score moving by more than 2; one that
+    raises a row's loss is taken back and halved.
+    """
+    n = counts.sum(1, keepdims=True)
+    p, pull = counts / n, (prior / n).astype(np.float32)
+    ku = (noise * unigram).astype(np.float32)
+    shift = (b - np.log(ku)).astype(np.float32)
+    curve = (q.T * (unigram * noise / (1 + noise))) @ q + 1e-4 * np.eye(q.shape[1])
+    inverse = np.linalg.inv(curve).astype(np.float32)
+    curve = curve.astype(np.float32)
+    best, loss, rate = start.copy(), np.full(len(counts), np.inf, np.float32), np.ones((len(counts), 1), np.float32)
+    move = np.zeros_like(best)
+    for step in range(steps + 1):
+        a = best + rate * move
+        d = np.clip(a @ q.T + shift, -30, 30)
+        e = np.exp(d)
+        soft = np.log1p(e)
+        off = a - start
+        now = ((p + ku) * soft - p * d).sum(1) + 0.5 * pull[:, 0] * ((off @ curve) * off).sum(1)
+        better = now < loss
+        rate[~better] *= 0.5
+        if not better.any():
+            continue
+        best[better], loss[better] = a[better], now[better]
+        if step == steps:
+            break
+        chance = e / (1 + e)
+        g = (ku * chance - p * (1 - chance)) @ q
+        new = -(g @ inverse + pull * off) / (1 + pull)
+        reach = np.abs(new @ q.T).max(1, keepdims=True)
+        new *= np.minimum(1, 2 / np.maximum(reach, 1e-6))
+        move[better] = new[better]
+    return best
+
+
+def own_vectors(followers: DataFrame, model, vocabulary, least: int = LEAST) -> DataFrame:
+    """(key long, n long, vector binary, log_z float): the context vector of each word outside the core that occurs `least` times.
+
+    Followers are dealt out by word and sorted, so each task adds up one word after the other; the
+    words of the core, which could be hot, are not among them. log_z makes the scores after a word
+    log-probabilities.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, m = vocabulary.value, model.value
+        a, q, b, unigram = m["a"], m["q"], m["b"], m["unigram"]
+        low = (1 << NEXT_BITS) - 1
+
+        def fitted(keys: np.ndarray, total: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 512):
+                some = keys[at : at + 512]
+                lo, hi = np.searchsorted(pairs, (some[0] << NEXT_BITS, some[-1] + 1 << NEXT_BITS))
+                counts = np.zeros((len(some), v.size), np.float32)
+                row, hit = find(some, pairs[lo:hi] >> NEXT_BITS)
+                np.add.at(counts, (row[hit], (pairs[lo:hi] & low)[hit]), n[lo:hi][hit])
+                vectors = fold_in(counts, a[v.first + (some >> HASH_BITS)], q, b, unigram).astype(np.float16)
+                s = vectors.astype(np.float32) @ q.T + b
+                top = s.max(1)
+                log_z = top + np.log(np.exp(s - top[:, None]).sum(1))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "key": pa.array(some),
+                        "n": pa.array(total[at : at + 512]),
+                        "vector": pa.array([x.tobytes() for x in vectors], pa.binary()),
+                        "log_z": pa.array(log_z, pa.float32()),
+                    }
+                )
+
+        pairs, n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal pairs, n
+            # the last word's rows may go on in the next batch; a word has few distinct followers
+            first = np.flatnonzero(np.diff(pairs, prepend=-1))
+            pairs, n = pairs[first], np.add.reduceat(n, first)
+            end = len(pairs) if last else np.searchsorted(pairs, pairs[-1] >> NEXT_BITS << NEXT_BITS)
+            if end:
+                own = pairs[:end] >> NEXT_BITS
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
+                total = np.add.reduceat(n[:end], starts)
+                often = total >= least
+                yield from fitted(own[starts][often], total[often], pairs[:end], n[:end])
+            pairs, n = pairs[end:], n[end:]
+
+        for batch in batches:
+            pairs = np.concatenate([pairs, batch.column(0).to_numpy()])
+            n = np.concatenate([n, batch.column(1).to_numpy().astype(np.int64)])
+            if len(pairs) > 200_000:
+                yield from ready(False)
+        if len(pairs):
+            yield from ready(True)
+
+    dealt = followers.repartition(F.shiftright("pair", NEXT_BITS)).sortWithinPartitions("pair")
+    return dealt.mapInArrow(run, "key long, n long, vector binary, log_z float")
+
+
 def least_head_count(counts: DataFrame, head_size: int) -> int:
     """The smallest count that at most head_size words reach, told from histograms of counts.
 
@@ -137,12 +337,27 @@ def least_head_count(counts: DataFrame, head_size: int) -> int:
     return 1
 
 
+def unigram_of(counts: np.ndarray) -> np.ndarray:
+    smoothed = counts.sum(0) + 0.5
+    return smoothed / smoothed.sum()
+
+
 def fit(counts: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = 0.05, seed: int = 3) -> np.ndarray:
     """Log-probabilities (natural), one row for each context, from counts of (context, word)."""
+    return normalised(*fit_vectors(counts, dim, noise, steps, rate, seed))
+
+
+def normalised(a: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    s = (a @ q.T + b).astype(np.float64)
+    top = s.max(1, keepdims=True)
+    return s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
+
+
+def fit_vectors(counts: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = 0.05, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts' vectors C r, the words' vectors q and their biases b."""
     size = len(counts)
     rng = np.random.default_rng(seed)
-    unigram = counts.sum(0) + 0.5
-    unigram = unigram / unigram.sum()
+    unigram = unigram_of(counts)
     context = counts.sum(1)
     total = max(1.0, context.sum())
     p = {"r": rng.normal(0, 0.1, (size, dim)), "m": np.eye(dim) + rng.normal(0, 0.01, (dim, dim)), "q": rng.normal(0, 0.1, (size, dim)), "b": np.log(unigram)}
@@ -165,12 +380,10 @@ def fit(counts: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STE
             m[k] += 0.1 * (grads[k] - m[k])
             v[k] += 0.01 * (grads[k] ** 2 - v[k])
             p[k] -= (scale * m[k] / (np.sqrt(v[k]) + 1e-12)).astype(np.float32)
-    s = ((p["r"] @ p["m"]) @ p["q"].T + p["b"]).astype(np.float64)
-    top = s.max(1, keepdims=True)
-    return s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
+    return p["r"] @ p["m"], p["q"], p["b"]
 
 
-def score(docs: DataFrame, training: Column, words: int = WORDS, classes: int = CLASSES, head_size: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, training: Column, words: int = WORDS, classes: int = CLASSES, head_size: int = HEAD, own_least: int = LEAST) -> DataFrame:
     """docs(doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), (~training).alias("held_out"))
@@ -194,55 +407,99 @@ def score(docs: DataFrame, training: Column, words: int = WORDS, classes: int =
     share = np.ones(classes)
     for row in in_classes:
         share[row["k"]] += row["t"]
-    for w in vocabulary.ids:
-        share[class_of(w, classes)] -= vocabulary.counts[w] + 1
+    for w, c in head[: vocabulary.end]:
+        share[class_of(w, classes)] -= c + 1
     if ends:
-        table10 = (fit(matrix) / np.log(10)).astype(np.float32)
+        a, q, b = fit_vectors(matrix)
+        log_p = (normalised(a, q, b) / np.log(10)).astype(np.float32)
     else:
-        table10 = np.full(matrix.shape, -np.log10(vocabulary.size), np.float32)
-    model = spark.sparkContext.broadcast((table10, np.log10(share), ends))
+        a = q = np.zeros((vocabulary.size, DIM), np.float32)
+        b = np.zeros(vocabulary.size, np.float32)
+        log_p = np.full(matrix.shape, -np.log10(vocabulary.size), np.float32)
+    core_counts = np.zeros(vocabulary.first, np.int64)
+    core_counts[: vocabulary.end] = [c for _, c in head[: vocabulary.end]]
+    core_counts[vocabulary.end] = ends
+    fitted = spark.sparkContext.broadcast({"a": a, "q": q, "b": b, "unigram": unigram_of(matrix)})
+    vectors = stash(own_vectors(count_followers(known, shared), fitted, shared, own_least), "lbl-vectors")
+    # vectors of words of the head are broadcast with it, the others are joined to the texts' words
+    near = vectors.where(F.col("n") >= least).toPandas().sort_values("key")
+    near = (near["key"].to_numpy(np.int64), np.frombuffer(b"".join(near["vector"]), np.float16).reshape(-1, DIM), near["log_z"].to_numpy(np.float32))
+    model = spark.sparkContext.broadcast((q, b, log_p, np.log10(share), np.log10(core_counts + 1.0), near))
+
+    def after(vector: np.ndarray, log_z: np.ndarray, following: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (np.einsum("ij,ij->i", vector.astype(np.float32), q[following]) + b[following] - log_z) / np.log(10)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, (log_p, log_share, ends) = shared.value, model.value
-        first, get = voc.end + 1, voc.counts.get
+        v, (q, b, log_p, log_share, log_core, (near_keys, near_vectors, near_z)) = shared.value, model.value
+        for batch in batches:
+            for start, stop, block in blocks(batch, 1, v):
+                rows, o = stop - start, block.outside
+                model_part = log_p[block.before, block.symbols].astype(np.float64)
+                base_part = np.zeros(len(block.symbols))
+                inside = block.symbols < v.first
+                base_part[inside] = log_core[block.symbols[inside]]
+                at, in_head = find(v.head_hashes, block.hashes[o])
+                logs = np.zeros(len(o))
+                logs[in_head] = np.log10(v.head_counts[at[in_head]] + 1.0)
+                places = block.places[o]
+                base_part[places] = logs
+                pairs = block.pairs()
+                at, own = find(near_keys, pairs >> NEXT_BITS)
+                at, own = at[own], places[own] + 1
+                model_part[own] = after(near_vectors[at], near_z[at], block.symbols[own], q, b)
+                model_part[places] += logs - log_share[block.kinds[o]]
+                of = np.zeros(len(block.symbols), np.int64)
+                last = np.cumsum(np.bincount(block.text, minlength=rows) + 1) - 1
+                of[last[:-1] + 1] = 1
+                of = np.cumsum(of)
+                tail = o[~in_head]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(block.text[tail], minlength=rows))])
+                tokens = np.bincount(of, minlength=rows)
+                unknown = np.bincount(block.text[tail], minlength=rows) + (0 if n else 1)
+                offsets = pa.array(offsets, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, rows),
+                        batch.column(2).slice(start, rows),
+                        pa.array(tokens, pa.int64()),
+                        pa.array(tokens - unknown, pa.int64()),
+                        pa.array(np.bincount(of, base_part, rows)),
+                        pa.array(np.bincount(of, model_part, rows)),
+                        pa.ListArray.from_arrays(offsets, pa.array([block.name(i) for i in tail], pa.binary())),
+                        pa.ListArray.from_arrays(offsets, pa.array(pairs[~in_head], pa.int64())),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail", "tail_pairs"],
+                )
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, (q, b, log_p, *_) = shared.value, model.value
         for batch in batches:
-            out = {k: [] for k in ("n_tokens", "n_known", "base", "model", "tail", "tail_n")}
-            for text in batch.column(1).to_pylist():
-                found = words_of(text)
-                ids = voc.encode(found)
-                before = np.concatenate([[voc.end], ids[:-1]])
-                model_score = float(log_p[before, ids].sum(dtype=np.float64))
-                outside = np.flatnonzero(ids >= first)
-                model_score -= float(log_share[ids[outside] - first].sum())
-                c = np.array([get(w, 0) for w in found], np.int64)
-                logs = np.log10(c + 1.0)
-                base = float(logs.sum()) + float(np.log10(ends + 1.0))
-                model_score += float(logs[outside].sum())
-                rare = Counter([found[i] for i in np.flatnonzero(c == 0)])
-                out["n_tokens"].append(len(ids))
-                out["n_known"].append(int((c > 0).sum()) + (ends > 0))
-                out["base"].append(base)
-                out["model"].append(model_score)
-                out["tail"].append(list(rare.keys()))
-                out["tail_n"].append(list(rare.values()))
-            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "model": pa.float64(), "tail": pa.list_(pa.binary()), "tail_n": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(out[k], t) for k, t in kinds.items())], names=["doc_id", "held_out", *kinds])
-
-    scored = rows.mapInArrow(local, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<binary>, tail_n array<int>")
+            if batch.num_rows:
+                pairs = batch.column(1).to_numpy()
+                vector = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(-1, DIM)
+                following = pairs & (1 << NEXT_BITS) - 1
+                gain = after(vector, batch.column(3).to_numpy(), following, q, b) - log_p[v.first + (pairs >> NEXT_BITS + HASH_BITS), following]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain.astype(np.float64))], names=["row", "gain"])
+
+    scored = rows.mapInArrow(local, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<binary>, tail_pairs array<long>")
     scored = stash(scored.withColumn("row", F.monotonically_increasing_id()), "lbl-rows")
     # words outside the broadcast head: add log10(c + 1) where the count is known, else 0
-    rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("times"))
+    rare = scored.select("row", F.explode("tail").alias("word"))
     below = counts.where(F.col("n") < least).select("word", "n")
-    added = rare.join(below, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0) * F.col("times")).alias("extra"), F.sum("times").alias("known"))
+    added = rare.join(below, "word").select("row", F.log10(F.col("n") + 1.0).alias("extra"), F.lit(1).alias("known"), F.lit(0.0).alias("gain"))
+    far = vectors.where(F.col("n") < least).select("key", "vector", "log_z")
+    steps = scored.select("row", F.explode("tail_pairs").alias("pair")).withColumn("key", F.shiftright("pair", NEXT_BITS))
+    steps = steps.join(far, "key").select("row", "pair", "vector", "log_z").mapInArrow(later, "row long, gain double")
+    added = added.unionAll(steps.select("row", F.lit(0.0), F.lit(0), "gain")).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("extra", "known", "gain")))
     extra = F.coalesce("extra", F.lit(0.0))
-    return scored.drop("tail", "tail_n").join(added, "row", "left").select(
+    return scored.drop("tail", "tail_pairs").join(added, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + extra - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-        (F.col("model") + extra).alias("score"),
+        (F.col("model") + extra + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 

@@ -185,8 +185,8 @@ def test_lbl_counts_base_and_normalisation(spark):
     assert lbl.score(docs(spark, []), training).count() == 0
 
 
-def brute_lbl(texts, held, words, classes):
-    """Scores by the definition, from counts and the fitted table."""
+def brute_lbl(texts, held, words, classes, least):
+    """Scores by the definition, from counts, the fitted table and the vectors of words outside it."""
     name = lambda w: w if len(w) <= 48 else b"\0" + hashlib.sha256(w).digest() + w[-2:]
     tokens = lambda t: [name(w) for w in (t or "").encode().lower().split()]
     c = Counter(w for i, t in texts if not held(i) for w in tokens(t))
@@ -202,18 +202,30 @@ def brute_lbl(texts, held, words, classes):
             for a, b in zip(s, s[1:], strict=False):
                 pairs[a, b] += 1
     share = [1 + sum(n + 1 for w, n in c.items() if w not in vocabulary and cls(w) == k) for k in range(classes)]
-    p = lbl.fit(pairs) / math.log(10) if ends else np.full(pairs.shape, -math.log10(size))
+    a, q, b = lbl.fit_vectors(pairs)
+    p = lbl.normalised(a, q, b) / math.log(10) if ends else np.full(pairs.shape, -math.log10(size))
+    followers = {}
+    for i, t in texts:
+        s = tokens(t)
+        for x, y in zip([] if held(i) else s, [*s, None][1:], strict=False):
+            if x not in vocabulary:
+                followers.setdefault(x, np.zeros(size, np.float32))[len(vocabulary) if y is None else symbol(y)] += 1
+    own = {}
+    for w, row in followers.items():
+        if row.sum() >= least:
+            vector = lbl.fold_in(row[None], a[[symbol(w)]], q, b, lbl.unigram_of(pairs)).astype(np.float16)
+            own[w] = lbl.normalised(vector.astype(np.float32), q, b)[0] / math.log(10)
     out = {}
     for i, t in texts:
-        before, total = len(vocabulary), 0.0
+        before, total = p[len(vocabulary)], 0.0
         for w in [*tokens(t), None]:
             s = len(vocabulary) if w is None else symbol(w)
-            total += p[before, s]
+            total += before[s]
             if w is not None and w not in vocabulary:
                 total += math.log10((c[w] + 1) / share[cls(w)])
-            before = s
+            before = own.get(w, p[s])
         out[i] = total
-    return out
+    return out, own
 
 
 def test_lbl_scores_against_brute_force_with_long_words(spark):
@@ -222,15 +234,43 @@ def test_lbl_scores_against_brute_force_with_long_words(spark):
     texts = [(1, None), (2, ""), *((20 + i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(30)))) for i in range(60)), (500, "x" * 61 + " " + "x" * 60), (501, "rare1 rare2 rare1")]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     training = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2
-    want = brute_lbl(texts, held, 12, 5)
-    for head in (30, 1000):
-        got = {r.doc_id: r.score for r in lbl.score(docs(spark, texts), training, words=12, classes=5, head_size=head).collect()}
+    want, own = brute_lbl(texts, held, 12, 5, 5)
+    assert len(own) > 20  # more than a head of 30 holds beyond the core
+    for head in (20, 30, 1000):
+        got = {r.doc_id: r.score for r in lbl.score(docs(spark, texts), training, words=12, classes=5, head_size=head, own_least=5).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-3) for i in want)
     alone = [(i, t) for i, t in texts if held(i)]
     got = lbl.score(docs(spark, alone), training, words=12, classes=5).collect()
     assert all(r.train_tokens == 0 and r.base_score == 0 and r.n_known == 0 for r in got)
 
 
+def test_lbl_words_outside_the_core_learn_their_own_followers():
+    rng = np.random.default_rng(1)
+    core = rng.dirichlet(np.full(20, 0.5), 20)
+    a, q, b = lbl.fit_vectors(np.round(core * 3000), dim=12, steps=300)
+    u = lbl.unigram_of(np.round(core * 3000))
+    truth = core[rng.integers(0, 20, 300)]  # each word goes on like one of the core
+    loss = lambda vectors: -(truth * lbl.normalised(vectors, q, b)).sum(1).mean()
+    start = np.repeat(a.mean(0, keepdims=True), 300, 0)
+    gains = []
+    for n in (16, 100, 1000):
+        counts = np.array([rng.multinomial(n, x) for x in truth], np.float32)
+        gains.append(loss(start) - loss(lbl.fold_in(counts, start, q, b, u)))
+    assert 0.03 < gains[0] < gains[1] < gains[2]
+
+
+def test_lbl_hot_and_repeated_words(spark):
+    """One word holds a third of all tokens; one text is very long; rows repeat and ids are null."""
+    rng = random.Random(4)
+    vocab = words(60, 9)
+    text = lambda n: " ".join("the" if rng.random() < 0.33 else rng.choice(vocab) for _ in range(n))
+    texts = [(None, "the the"), (0, text(60_000)), *((i, text(40)) for i in range(1, 40)), (3, "again"), (3, "again")]
+    training = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
+    want, _ = brute_lbl([(n, t) for n, (_, t) in enumerate(texts)], lambda n: zlib.crc32(b"" if texts[n][0] is None else str(texts[n][0]).encode()) % 7 == 2, 10, 5, 16)
+    got = lbl.score(docs(spark, texts), training, words=10, classes=5, head_size=30).collect()
+    assert sorted(r.score for r in got) == pytest.approx(sorted(want.values()), rel=1e-4, abs=2e-3)
+
+
 def test_lbl_fit_is_normalised_and_close_to_the_counts():
     rng = np.random.default_rng(0)
     truth = rng.dirichlet(np.full(12, 0.5), 12)
