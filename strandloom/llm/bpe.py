@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_bytes, shared_dir, table
+from .common import file_bytes, map_batches, shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: About this many bytes of text make a block, whose words and numbers one Python worker holds.
@@ -257,7 +257,7 @@ def split_blocks(docs: DataFrame, path: str, pattern: str, block_bytes: int, buc
         yield from flush()
 
     schema = "block long, doc_id long, bucket int, number int, data binary"
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -278,7 +278,7 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([blocks[k] for k in some], pa.int64()), pa.array([numbers[k] for k in some], pa.int32()), pa.array(out, pa.binary())], names=["block", "number", "data"])
 
     dealt = words.select("block", "bucket", "number", "data").hint("rebalance", "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block long, number int, data binary")
+    return map_batches(dealt, run, "block long, number int, data binary")
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
@@ -342,7 +342,7 @@ def decode(rows: DataFrame, ranks_path: str | None = None) -> DataFrame:
             joined = join_bytes(known, starts, by_rank)
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.binary()))], names=["doc_id", "text"])
 
-    return rows.select("doc_id", F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text binary")
+    return map_batches(rows.select("doc_id", F.col("ids").cast("array<int>")), run, "doc_id long, text binary")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

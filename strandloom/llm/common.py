@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many rows of at most 16 bytes; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that go to a Python worker at a time, about: either side holds a batch several times over, Spark's by default up to 64 MB of it.
+BATCH_BYTES, _BATCH = 2_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +54,14 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about BATCH_BYTES, whatever the length of texts; a bound that the session names itself stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def file_bytes(df: DataFrame) -> int:
     """Bytes of the files that df reads, by the planner's statistics; 0 if it is more than a scan of files."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, word_hashes
+from .common import WORD, map_batches, table, word_hashes
 
 LABELLED, POOL, ROUNDS, THRESHOLD = 8192, 8192, 5, 0.5
 #: Confident documents that a view hands over in a round, at most, and how sure it must be.
@@ -160,7 +160,7 @@ def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(text, pa.binary()), pa.array(meta, pa.binary())], names=[*keep, "tf", "mf"])
 
     schema = docs.select(*keep).schema.add("tf", "binary").add("mf", "binary")
-    return docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")).mapInArrow(run, schema)
+    return map_batches(docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")), run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
@@ -200,7 +200,7 @@ def classify(docs: DataFrame, model: CoTrained, keep: list[str] | None = None, t
             both = np.where(some, both, 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(both), pa.array(by_text), pa.array(by_meta), pa.array(some & (both >= threshold))], names=[*keep, "quality_score", "text_score", "meta_score", "kept"])
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("\0t"), F.col("lang").cast("string").alias("\0l"), F.col("source").cast("string").alias("\0s"), F.col("n_chars").cast("long").alias("\0n")).mapInArrow(run, schema)
+    return map_batches(docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("\0t"), F.col("lang").cast("string").alias("\0l"), F.col("source").cast("string").alias("\0s"), F.col("n_chars").cast("long").alias("\0n")), run, schema)
 
 
 def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

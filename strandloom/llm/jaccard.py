@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import drop_stash, hinted, mix, shingle_hashes, stash, table, word_hashes
+from .common import drop_stash, hinted, map_batches, mix, shingle_hashes, stash, table, word_hashes
 from .components import components
 
 #: Seeds of the orders by hash that follow the first order.
@@ -78,7 +78,7 @@ def set_keys(rows: DataFrame, k: int, bits: int) -> DataFrame:
             first = pa.array([int(((s & mask) == 0).sum()) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), first, *map(pa.array, keys)], names=["doc_id", "n_shingles", "first", "k1", "k2"])
 
-    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, first long, k1 long, k2 long")
+    return map_batches(rows.select("doc_id", F.col("text").cast("binary")), run, "doc_id long, n_shingles long, first long, k1 long, k2 long")
 
 
 def tokens(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
@@ -103,7 +103,7 @@ def tokens(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
                     own = np.repeat(np.array(nodes, np.int64), [len(x) for x in found])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(own)], names=["h", "node"])
 
-    return rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "h long, node long")
+    return map_batches(rows.select("doc_id", F.col("text").cast("binary")), run, "h long, node long")
 
 
 def prefixes(tokens: DataFrame, sizes: DataFrame, percent: int, bits: int) -> DataFrame:
@@ -169,7 +169,7 @@ def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
                     keep[i] = 100 * shared >= percent * (len(sa) + len(sb) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
 def similar_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:

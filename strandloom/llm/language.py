@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4), 8, 8
@@ -224,7 +224,7 @@ def predict(docs: DataFrame, net: ByteConvNet, keep: list[str] | None = None, te
                 scores.append(float(z.max()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).alias("\0text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*keep, F.col(text).alias("\0text")), run, schema)
 
 
 def held_out() -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, grams, table, word_hashes
+from .common import ALNUM, grams, map_batches, table, word_hashes
 
 MIN_MATCH, THRESHOLD = 5, 0.5
 BLOCK_WORDS = 2_000_000
@@ -156,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, thre
                 taken = batch.select(list(range(len(keep)))).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
 
-        return docs.where("text IS NOT NULL").select(*keep, F.col("text").cast("binary").alias("\0text")).mapInArrow(run, schema)
+        return map_batches(docs.where("text IS NOT NULL").select(*keep, F.col("text").cast("binary").alias("\0text")), run, schema)
 
     parts = []
     for block in range(blocks):

@@ -154,6 +154,23 @@ def test_jaccard_edges_and_empty_tables(spark):
     assert jaccard.similar_classes(docs(spark, []), 3, 90).count() == 0
 
 
+def test_long_texts_come_to_python_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.repeat(F.lit("word "), 4000), "id").alias("text"))
+    sets = jaccard.set_keys(rows, 5, 1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 12_000_000 and max(found) < 4_000_000
+    assert {(r.doc_id, r.n_shingles) for r in sets.collect()} == {(i, 2) for i in range(600)}
+    encoded = bpe.encode(rows)  # a block of texts is more than a batch
+    want = {i: hashlib.sha256(("word " * 4000 + f" {i}").encode()).hexdigest() for i in range(600)}
+    assert {r.doc_id: r.decoded_sha256 for r in encoded.collect()} == want
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7)] + [(202, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
