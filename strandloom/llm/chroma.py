@@ -43,6 +43,8 @@ WIDTH = 8
 SHORTEST = FRAME + (len(SMOOTH) + WIDTH - 2) * HOP
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 2, 8, 0.2
 QUERY_STEP = 50
+#: Recordings of a task of the search, about, if that makes more than four tasks a core.
+TASK_ROWS = 20_000
 #: Query codes that tasks hold at a time.
 BLOCK_CODES = 2_000_000
 #: An alignment is looked for where SEED_BITS chosen bits of two codes agree, for SEEDS choices.
@@ -52,6 +54,8 @@ BESIDE = [(0, -4), (4, -2), (2, -3), (3, -1)]
 MOST_WRONG = np.array([0, 7, 14, 21, 28, 35, 41, 47, 52], np.uint16)
 #: Items of arrays, and pairs of run starts, that are worked on at a time.
 _FLAT, _PAIRS = 200_000, 200_000_000
+#: Samples of recordings that the filters go over together.
+_SAMPLES = 500_000
 #: Frames that are transformed at a time.
 _CHUNK = 8192
 
@@ -95,20 +99,19 @@ def chroma(pcm: bytes) -> np.ndarray:
     return np.rint(np.where(norm > 0.01, c / np.maximum(norm, 0.01), 0) * 4096).astype(np.int64)
 
 
-def codes_of(pcm: bytes) -> np.ndarray:
-    """The 32-bit codes of a recording, as uint32; none if it is empty."""
-    c = chroma(pcm.ljust(SHORTEST, b"\x80") if pcm else pcm)
-    n = len(c) - WIDTH + 1
-    if n <= 0:
-        return np.empty(0, np.uint32)
-    image = np.zeros((len(c) + 1, 13), np.int64)
-    image[1:, 1:] = c.cumsum(0).cumsum(1)
-    t = np.arange(n)
+def codes_of_all(pcm: list[bytes]) -> list[np.ndarray]:
+    """The 32-bit codes of each recording, as uint32; none if it is empty. The filters go over all of them at once, in integers."""
+    found = [chroma(x.ljust(SHORTEST, b"\x80") if x else x) for x in pcm]
+    sizes = np.array([len(c) for c in found], np.int64)
+    n = np.maximum(sizes - WIDTH + 1, 0)
+    image = np.zeros((sizes.sum() + 1, 13), np.int64)
+    image[1:, 1:] = np.concatenate([np.zeros((0, 12), np.int64), *found]).cumsum(0).cumsum(1)
+    t = np.repeat(np.cumsum(sizes) - sizes, n) + _runs(n)
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
         return image[t + t1, p1] - image[t + t0, p1] - image[t + t1, p0] + image[t + t0, p0]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros(len(t), np.uint32)
     for kind, y, h, w in FILTERS:
         # the mean energy of one part of the rectangle (or of all pitch classes) against that of the rest
         whole, size = area(0, w, y, y + h), w * h
@@ -129,7 +132,12 @@ def codes_of(pcm: bytes) -> np.ndarray:
         # three cuts of a : b, at 4/5, 1 and 5/4, as a Gray code
         level = (5 * a > 4 * b).astype(np.uint32) + (a > b) + (4 * a > 5 * b)
         out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))
-    return out
+    return np.split(out, np.cumsum(n))[: len(pcm)]
+
+
+def codes_of(pcm: bytes) -> np.ndarray:
+    """The 32-bit codes of a recording, as uint32; none if it is empty."""
+    return codes_of_all([pcm])[0]
 
 
 def fingerprint(recordings: DataFrame) -> DataFrame:
@@ -141,7 +149,8 @@ def fingerprint(recordings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pcm = [x or b"" for x in batch.column(1).to_pylist()]
-            codes = [codes_of(x).astype("<u4").tobytes() for x in pcm]
+            sizes = np.array([len(x) for x in pcm], np.int64)
+            codes = [c.astype("<u4").tobytes() for piece in _pieces(sizes, _SAMPLES) for c in codes_of_all(pcm[piece])]
             prints = [hashlib.sha256(x if 0 < len(x) < SHORTEST else c).hexdigest() for x, c in zip(pcm, codes, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array(prints), pa.array(codes, pa.binary())],
@@ -312,6 +321,7 @@ def search(queries: DataFrame, recordings: DataFrame, block_codes: int = BLOCK_C
     spark = recordings.sparkSession
     total = queries.agg(F.coalesce(F.sum("n_codes"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_codes))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-recordings.count() // TASK_ROWS))
 
     def scan(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +333,7 @@ def search(queries: DataFrame, recordings: DataFrame, block_codes: int = BLOCK_C
                 kinds = [pa.int64()] * 2 + [pa.string()] + [pa.int64()] * 3 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["query_id", "doc_id", "fingerprint", "offset", "votes", "overlap", "bit_error_rate"])
 
-        return recordings.select("doc_id", "fingerprint", "codes").mapInArrow(run, "query_id long, doc_id long, fingerprint string, offset long, votes long, overlap long, bit_error_rate double")
+        return recordings.select("doc_id", "fingerprint", "codes").repartition(tasks).mapInArrow(run, "query_id long, doc_id long, fingerprint string, offset long, votes long, overlap long, bit_error_rate double")
 
     found = []
     for block in range(blocks):

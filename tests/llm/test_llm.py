@@ -539,6 +539,19 @@ def test_chroma_finds_alignments_with_wrong_bits_in_every_code(spark):
     assert all((r.overlap, r.bit_error_rate) == want[p][r.offset] for p, r in got.items())
 
 
+def test_chroma_codes_together_and_search_in_many_tasks(spark):
+    rng = random.Random(9)
+    pcm = [b"", b"a", tone([220, 330], 3000), *(bytes(rng.randrange(256) for _ in range(n)) for n in (959, 960, 1024, 5000)), b"", b"\x80" * 2000, b""]
+    together = chroma.codes_of_all(pcm)
+    assert [c.tolist() for c in together] == [chroma.codes_of(x).tolist() for x in pcm] and chroma.codes_of_all([]) == []
+    assert [len(c) for c in together] == [max(0, (max(len(x), chroma.SHORTEST) - chroma.SHORTEST) // chroma.HOP + 1) if x else 0 for x in pcm]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(pcm)], "doc_id long, pcm binary").coalesce(1)
+    printed = chroma.fingerprint(df)
+    assert {r.doc_id: bytes(r.codes) for r in printed.collect()} == {i: c.astype("<u4").tobytes() for i, c in enumerate(together)}
+    # a search takes long for few bytes, so files or partitions by size would leave cores idle
+    assert chroma.search(printed, printed).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_chroma_of_short_recordings(spark):
     rng = random.Random(6)
     pcm = [bytes(rng.randrange(256) for _ in range(n)) for n in (1, 40, 300, 959, 1100, 1300)]
