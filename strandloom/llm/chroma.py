@@ -4,10 +4,12 @@ A recording is 8-bit unsigned PCM in one channel. Frames of FRAME samples every
 pitch classes, smoothed and normalised; filters over rectangles of their integral image, each cut at
 three thresholds into two Gray-coded bits, pack every position into a 32-bit code. Recordings align at
 an offset where MIN_OVERLAP codes overlap, at most MAX_ERROR of their bits differ and each recording
-begins at least MIN_VOTES runs of equal codes (silence and held tones align with nothing). Offsets are
-looked for where two codes that begin runs agree in a seed, a choice of 16 of their bits, so bits may
-be wrong in every code; the equal ones among them are the votes. Of the accepted offsets the one with
-the most votes is given (ties: the most bits that agree beyond half, the smallest shift, the earlier).
+begins at least MIN_VOTES runs of equal codes (silence and held tones align with nothing). Overlaps under
+LONG codes lie at an end of a recording, or are all of it: these stretches are compared all against all,
+two middle codes first. Longer ones are looked for where two codes that begin runs, and those before them,
+agree in a seed, a choice of their bits, and the codes around are near. So bits may be wrong in every code;
+the equal ones that begin runs are the votes. Of the accepted offsets found the one with the most votes is
+given (ties: the most bits that agree beyond half, the smallest shift, the earlier).
 
 The tables hold no audio: op1 reads the UTF-8 bytes of each whole text of `documents` as its PCM, so
 copies sound the same and near copies align. Recordings of equal codes are one class, named by its
@@ -47,13 +49,17 @@ QUERY_STEP = 50
 TASK_ROWS = 20_000
 #: Query codes that tasks hold at a time.
 BLOCK_CODES = 2_000_000
-#: An alignment is looked for where SEED_BITS chosen bits of two codes agree, for SEEDS choices.
-SEEDS, SEED_BITS = 28, 16
-#: Pairs of steps from such a code, far ones first, and the most wrong bits by the number of codes so far: a little over MAX_ERROR.
-BESIDE = [(0, -4), (4, -2), (2, -3), (3, -1)]
-MOST_WRONG = np.array([0, 7, 14, 21, 28, 35, 41, 47, 52], np.uint16)
-#: Items of arrays, and pairs of run starts, that are worked on at a time.
-_FLAT, _PAIRS = 200_000, 200_000_000
+#: Overlaps under LONG codes are compared all against all; longer ones are looked for where SEED_BITS chosen bits of a code
+#: and as many of the code SEED_STEP before it agree, for SEEDS choices, and the two differ in at most SEED_WRONG bits.
+LONG = 16
+SEEDS, SEED_BITS, SEED_STEP, SEED_WRONG = 12, 6, 6, 12
+#: Steps from such a code to two between, then pairs of steps to others; and the most wrong bits by the number of codes so far: a little over MAX_ERROR.
+BETWEEN, BESIDE = (-2, -4), [(3, -9), (6, -12)]
+MOST_WRONG = np.array([0, 7, 14, 21, 28, 35, 41, 47, 52], np.uint8)
+#: Wrong bits by which the codes of a short overlap that were compared first, the two middle ones, may exceed their share.
+SLACK = 7
+#: Items of arrays, of tables of all against all, and pairs of places that are worked on at a time.
+_FLAT, _DENSE, _PAIRS = 100_000, 32_768, 50_000_000_000
 #: Samples of recordings that the filters go over together.
 _SAMPLES = 500_000
 #: Frames that are transformed at a time.
@@ -165,10 +171,10 @@ def _starts(codes: np.ndarray) -> np.ndarray:
 
 
 def _seed_masks() -> np.ndarray:
-    """SEEDS choices of SEED_BITS of a code's bits; the two bits that hardly ever change stay out."""
+    """SEEDS choices of SEED_BITS bits of a code and of the code before; the two bits that hardly ever change stay out."""
     rng = np.random.default_rng(0)
     bits = [b for b in range(32) if b not in (8, 20)]
-    return np.array([sum(1 << int(b) for b in rng.choice(bits, SEED_BITS, replace=False)) for _ in range(SEEDS)], np.uint32)
+    return np.array([[sum(1 << int(b) for b in rng.choice(bits, SEED_BITS, replace=False)) for _ in range(2)] for _ in range(SEEDS)], np.uint32)
 
 
 MASKS = _seed_masks()
@@ -208,28 +214,106 @@ class Recordings:
         self.first = np.cumsum(self.length) - self.length
         self.codes = np.concatenate([np.empty(0, np.uint32), *codes]).astype(np.uint32)
         starts = [_starts(c) for c in codes]
-        self.own = np.repeat(np.arange(len(codes)), [len(s) for s in starts])
-        self.at = np.concatenate([np.empty(0, np.int64), *starts])
+        self.of = np.repeat(np.arange(len(codes)), self.length)
+        self.left = np.repeat(self.first + self.length, self.length) - np.arange(len(self.codes))
         self.begins = np.zeros(len(self.codes), bool)
-        self.begins[self.first[self.own] + self.at] = True
+        self.begins[np.repeat(self.first, [len(s) for s in starts]) + np.concatenate([np.empty(0, np.int64), *starts])] = True
         self.n_begins = np.r_[0, np.cumsum(self.begins)]
 
+    def two(self, step: int) -> np.ndarray:
+        """Each code and, in the upper half, the one step further (anything at the end)."""
+        return self.codes | self.codes.take(np.arange(step, step + len(self.codes)), mode="clip").astype(np.uint64) << np.uint64(32)
 
-    def beside(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each pair of steps of BESIDE, the codes so far from each run start in one integer, and the bits of those that there are."""
-        at, length, out = np.flatnonzero(self.begins), self.length[self.own], []
+    def stretches(self, m: int) -> tuple[np.ndarray, ...]:
+        """Where stretches of m codes begin that hold enough runs: of recordings of just m codes; of longer ones all of them, the first, the last."""
+        longer = self.length > m
+        found = self.first[self.length == m], np.flatnonzero((self.left >= m) & longer[self.of]), self.first[longer], (self.first + self.length - m)[longer]
+        return tuple(x[self.n_begins[x + m] - self.n_begins[x] >= min(MIN_VOTES, m)] for x in found)
+
+    def places(self) -> np.ndarray:
+        """The run starts in recordings of at least LONG codes with a code SEED_STEP before."""
+        return np.flatnonzero(self.begins & (self.length >= LONG)[self.of] & (np.arange(len(self.codes)) - self.first[self.of] >= SEED_STEP))
+
+    def beside(self, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each pair of steps of BESIDE, the codes so far from each place in one integer, and the bits of those that there are."""
+        at, left, out = places - self.first[self.of[places]], self.left[places], []
         for steps in BESIDE:
             codes, there = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
             for step, shift in zip(steps, (np.uint64(0), np.uint64(32)), strict=True):
-                has = (self.at + step >= 0) & (self.at + step < length)
-                codes |= np.where(has, self.codes.take(at + step, mode="clip"), 0).astype(np.uint64) << shift
+                has = (at + step >= 0) & (step < left)
+                codes |= np.where(has, self.codes.take(places + step, mode="clip"), 0).astype(np.uint64) << shift
                 there |= np.where(has, np.uint64(2**32 - 1), np.uint64(0)) << shift
             out.append((codes, there))
         return out
 
 
+class Places:
+    """Places of some recordings where long overlaps are looked for: the code and the one SEED_STEP before, and those beside."""
+
+    def __init__(self, r: Recordings, places: np.ndarray) -> None:
+        self.value = r.two(SEED_STEP)[places - SEED_STEP]
+        self.between = r.two(BETWEEN[0] - BETWEEN[1])[places + BETWEEN[1]]
+        self.near = r.beside(places)
+        self.of, self.left = r.of[places], r.left[places]
+        self.at = places - r.first[self.of]
+
+    def by_key(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key of a seed begins in the order by keys, and that order."""
+        low, high = (_key((self.value >> np.uint64(s)).astype(np.uint32), t) for s, t in zip((0, 32), tables, strict=True))
+        key = (low << np.uint32(SEED_BITS) | high).astype(np.uint16)
+        return np.r_[0, np.cumsum(np.bincount(key, minlength=1 << 2 * SEED_BITS))], np.argsort(key, kind="stable").astype(np.int32)
+
+
+class Room:
+    """Buffers for tables of all against all."""
+
+    def __init__(self) -> None:
+        self.bits, self.wrong, self.near = np.empty(_DENSE, np.uint64), np.empty(_DENSE, np.uint8), np.empty(_DENSE, bool)
+
+    def close(self, a: np.ndarray, b: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in a and b, of pairs that differ in at most `most` bits, and the bits in which they do."""
+        if len(a) > len(b):
+            yield from ((i, j, wrong) for j, i, wrong in self.close(b, a, most))
+            return
+        width = max(1, min(len(b), _DENSE))
+        rows = _DENSE // width
+        for j in range(0, len(b), width):
+            beyond = b[j : j + width]
+            for i in range(0, len(a), rows):
+                some = a[i : i + rows]
+                n = len(some) * len(beyond)
+                np.bitwise_xor(some[:, None], beyond, out=self.bits[:n].reshape(len(some), -1))
+                np.less_equal(np.bitwise_count(self.bits[:n], out=self.wrong[:n]), most, out=self.near[:n])
+                near = np.flatnonzero(self.near[:n])
+                if len(near):
+                    row = near // len(beyond)
+                    yield row + i, near - row * len(beyond) + j, self.wrong[near]
+
+
+def _together(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same pairs, about _FLAT at a time."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= _FLAT:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in a and b of equal values, and zeros."""
+    order = np.argsort(a, kind="stable")
+    lo = np.searchsorted(a[order], b, "left")
+    n = np.searchsorted(a[order], b, "right") - lo
+    for piece in _pieces(n):
+        yield order[np.repeat(lo[piece], n[piece]) + _runs(n[piece])], np.repeat(np.arange(len(b))[piece], n[piece]), np.zeros(n[piece].sum(), np.uint8)
+
+
 class Queries:
-    """Codes of a block of queries, and for each seed the places of its run starts by key."""
+    """Codes of a block of queries, and for each seed their places by key."""
 
     def __init__(self, ids: list, codes: list[np.ndarray]) -> None:
         self.ids, self.data = ids, codes
@@ -239,39 +323,66 @@ class Queries:
         return {"ids": self.ids, "data": self.data, "index": None}  # the index is built where it is used
 
     def _build(self) -> None:
-        self.all = r = Recordings(self.data)
-        value, self.near = r.codes[r.begins], r.beside()
+        self.all, self.room = Recordings(self.data), Room()
+        self.places = Places(self.all, self.all.places())
         self.index = []
-        for mask in MASKS:
-            tables = _gather(int(mask))
-            key = _key(value, tables).astype(np.uint16)
-            order = np.argsort(key, kind="stable").astype(np.int32)
-            self.index.append((tables, np.r_[0, np.cumsum(np.bincount(key, minlength=1 << SEED_BITS))], order))
-
-    def _diagonals(self, r: Recordings, r_beside: list[tuple[np.ndarray, np.ndarray]], part: slice) -> np.ndarray:
-        """(query, recording, offset) of all places where a seed holds at one of a part of the run starts and the codes beside it are near."""
-        q, q_beside, r_beside = self.all, self.near, [(x[part], y[part]) for x, y in r_beside]
-        value, r_own, r_at = (r_beside[0][0] & np.uint64(2**32 - 1)).astype(np.uint32), r.own[part], r.at[part]
-        width = int(max(q.length.max(initial=1), r.length.max(initial=1)) + 1).bit_length() + 1
+        for masks in MASKS:
+            tables = np.array([_gather(int(mask)) for mask in masks])
+            self.index.append((tables, *self.places.by_key(tables)))
+
+    def _long(self, r: Recordings, places: np.ndarray) -> np.ndarray:
+        """(query, recording, offset) of overlaps of at least LONG codes where a seed holds at one of the places and the codes beside it are near."""
+        q, p = self.places, Places(r, places)
+        width = int(max(self.all.length.max(initial=1), r.length.max(initial=1)) + 1).bit_length() + 1
         found = [np.empty(0, np.int64)]
         for tables, first, order in self.index:
-            key = _key(value, tables)
-            lo, n = first[key], first[key + np.uint32(1)] - first[key]
-            for piece in _pieces(n):
-                at = np.repeat(np.arange(len(n))[piece], n[piece])
-                of = order[np.repeat(lo[piece], n[piece]) + _runs(n[piece])]
-                wrong, bits = np.zeros(len(at), np.uint16), np.zeros(len(at), np.uint16)
-                for (x, x_there), (y, y_there) in zip(q_beside, r_beside, strict=True):
+            first_p, order_p = p.by_key(tables)
+            value, between, value_p, between_p = q.value[order], q.between[order], p.value[order_p], p.between[order_p]
+            keys = np.flatnonzero((np.diff(first) > 0) & (np.diff(first_p) > 0))
+            edges = zip(*(x[keys + more].tolist() for x in (first, first_p) for more in (0, 1)), strict=True)
+            close = ((i + a, j + c, wrong) for a, b, c, d in edges for i, j, wrong in self.room.close(value[a:b], value_p[c:d], SEED_WRONG))
+            for i, j, wrong in _together(close):
+                wrong += np.bitwise_count(between[i] ^ between_p[j])
+                near = np.flatnonzero(wrong <= MOST_WRONG[4])
+                of, at, wrong = order[i[near]], order_p[j[near]], wrong[near]
+                bits = np.full(len(of), 128, np.uint16)
+                for (x, x_there), (y, y_there) in zip(q.near, p.near, strict=True):
                     there = y_there[at] & x_there[of]
                     wrong += np.bitwise_count((y[at] ^ x[of]) & there)
                     bits += np.bitwise_count(there)
                     near = np.flatnonzero(wrong <= MOST_WRONG[bits >> 5])
                     at, of, wrong, bits = at[near], of[near], wrong[near], bits[near]
-                found.append((q.own[of] * len(r.length) + r_own[at] << width) + (r_at[at] - q.at[of] + (1 << width - 1)))
-        key = np.unique(np.concatenate(found))
+                some = np.flatnonzero(np.minimum(q.at[of], p.at[at]) + np.minimum(q.left[of], p.left[at]) >= LONG)
+                of, at = of[some], at[some]
+                found.append((q.of[of] * len(r.length) + p.of[at] << width) + (p.at[at] - q.at[of] + (1 << width - 1)))
+        key = np.sort(np.concatenate(found))
+        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
         pair = key >> width
         return np.stack([pair // len(r.length), pair % len(r.length), (key & (1 << width) - 1) - (1 << width - 1)])
 
+    def _short(self, r: Recordings) -> Iterator[np.ndarray]:
+        """(query, recording, offset) of overlaps under LONG codes: such an overlap is all of one of them, or the end of one and the beginning of the other."""
+        q = self.all
+        for m in range(1, LONG):
+            most, half = int(MAX_ERROR * min(m / MIN_OVERLAP, 1) * 32 * m + 1e-9), (m + 1) // 2
+            (whole, inside, head, tail), (r_whole, r_inside, r_head, r_tail) = q.stretches(m), r.stretches(m)
+            sides = [(whole, np.concatenate([r_whole, r_inside])), (inside, r_whole)]
+            if m >= MIN_OVERLAP:
+                sides += [(tail, r_head), (head, r_tail)]
+            x, y = q.two(half), r.two(half)
+            first, *rest = sorted(range(half), key=lambda step: step != max(0, (m - half - 1) // 2))
+            for a, b in sides:
+                near = self.room.close(x[a + first], y[b + first], min(most, -(-2 * most // m) + SLACK)) if most else _equal(q.codes[a], r.codes[b])
+                for i, j, wrong in _together(near):
+                    i, j = a[i], b[j]
+                    for n, step in enumerate(rest, 1):
+                        apart = x[i + step] ^ y[j + step]
+                        wrong += np.bitwise_count(apart if step + half < m else apart & np.uint64(2**32 - 1))
+                        some = np.flatnonzero(wrong <= min(most, -(-2 * most * (n + 1) // m) + SLACK + 2 * n))
+                        i, j, wrong = i[some], j[some], wrong[some]
+                    own, to = q.of[i], r.of[j]
+                    yield np.stack([own, to, j - r.first[to] - (i - q.first[own])])
+
     def _verify(self, r: Recordings, found: np.ndarray) -> tuple[np.ndarray, ...]:
         """query, recording, offset, overlap, votes and bit error rate of the alignments that are accepted."""
         q, (own, to, offset) = self.all, found
@@ -283,17 +394,22 @@ class Queries:
         shorter = np.minimum(q.length[own], r.length[to])
         some = np.flatnonzero((m >= np.minimum(MIN_OVERLAP, shorter)) & (changes >= np.minimum(MIN_VOTES, shorter)))
         own, to, offset, m, a, b = (x[some] for x in (own, to, offset, m, a, b))
-        wrong, votes = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64)
-        for piece in _pieces(m):
-            step, n = _runs(m[piece]), m[piece]
-            i, j = np.repeat(a[piece], n) + step, np.repeat(b[piece], n) + step
-            edges = np.cumsum(n) - n
-            x = q.codes[i] ^ r.codes[j]
-            wrong[piece] = np.add.reduceat(np.bitwise_count(x), edges, dtype=np.int64)
-            votes[piece] = np.add.reduceat((x == 0) & q.begins[i] & r.begins[j], edges, dtype=np.int64)
+        wrong, half, x, y = np.zeros(len(m), np.int64), (m + 1) // 2, q.two(1), r.two(1)
+        for piece in _pieces(half):
+            n, step = half[piece], 2 * _runs(half[piece])
+            apart = x[np.repeat(a[piece], n) + step] ^ y[np.repeat(b[piece], n) + step]
+            ends = np.cumsum(n)
+            apart[ends[m[piece] % 2 == 1] - 1] &= np.uint64(2**32 - 1)
+            wrong[piece] = np.add.reduceat(np.bitwise_count(apart), ends - n, dtype=np.int64)
         error = wrong / (32 * m)
         some = np.flatnonzero(error <= MAX_ERROR * np.minimum(m / MIN_OVERLAP, 1))
-        return tuple(x[some] for x in (own, to, offset, m, votes, error))
+        own, to, offset, m, a, b, error = (x[some] for x in (own, to, offset, m, a, b, error))
+        votes = np.zeros(len(m), np.int64)
+        for piece in _pieces(m):
+            n, step = m[piece], _runs(m[piece])
+            i, j = np.repeat(a[piece], n) + step, np.repeat(b[piece], n) + step
+            votes[piece] = np.add.reduceat((q.codes[i] == r.codes[j]) & q.begins[i] & r.begins[j], np.cumsum(n) - n, dtype=np.int64)
+        return own, to, offset, m, votes, error
 
     def align(self, recordings: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(query, recording, offset, votes, overlap, bit error rate) of each query that aligns with one of the recordings, by their places in the lists."""
@@ -302,12 +418,16 @@ class Queries:
         q, r = self.all, Recordings(recordings)
         if not len(q.codes) or not len(r.codes):
             return
-        beside = r.beside()
-        size = max(1, _PAIRS // max(1, len(q.own)))
-        parts = [self._verify(r, self._diagonals(r, beside, slice(at, at + size))) for at in range(0, len(r.own), size)]
+        places = r.places()
+        size = max(1, _PAIRS // max(1, len(self.places.of)))
+        parts = [self._verify(r, found) for found in self._short(r)]
+        parts += [self._verify(r, self._long(r, places[at : at + size])) for at in range(0, len(places), size)]
+        if not parts:
+            return
         own, to, offset, m, votes, error = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((offset, np.abs(offset), m * (2 * error - 1), -votes, to, own))
         own, to, offset, m, votes, error = (x[order] for x in (own, to, offset, m, votes, error))
+        # a pair that is found from places of two parts comes twice, and stays once
         best = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (to[1:] != to[:-1])]) if len(own) else []
         for i in best:
             yield int(own[i]), int(to[i]), int(offset[i]), int(votes[i]), int(m[i]), float(error[i])

@@ -539,6 +539,38 @@ def test_chroma_finds_alignments_with_wrong_bits_in_every_code(spark):
     assert all((r.overlap, r.bit_error_rate) == want[p][r.offset] for p, r in got.items())
 
 
+def test_chroma_finds_every_short_overlap(spark):
+    rng = np.random.default_rng(12)
+    spoilt = lambda part, n: part ^ np.array([sum(1 << int(b) for b in rng.permutation(32)[:n]) for _ in part], np.uint32)
+    codes, wrong = {}, {2: 1, 3: 2, 4: 3, 5: 4, 6: 4, 7: 5}
+    for m in range(1, chroma.LONG + 5):  # m codes at an end of a query, or all of a short recording, with wrong bits in each
+        n = 6 if m >= chroma.MIN_OVERLAP else wrong.get(m, 0)
+        for k in range(6):
+            q, d = 1000 * m + 2 * k, 1000 * m + 2 * k + 1
+            codes[q] = rng.integers(0, 2**32, 40, dtype=np.uint32)
+            at = (0, 40 - m, 11)[k % 3]
+            codes[d] = spoilt(codes[q][at : at + m], n)
+            if m >= chroma.MIN_OVERLAP and k % 3 < 2:
+                more = rng.integers(0, 2**32, 25, dtype=np.uint32)
+                codes[d] = np.concatenate([more, codes[d]] if at == 0 else [codes[d], more])
+    df = spark.createDataFrame([(i, len(c), hashlib.sha256(c.tobytes()).hexdigest(), bytearray(c.tobytes())) for i, c in codes.items()], "doc_id long, n_codes long, fingerprint string, codes binary")
+    got = {(r.query_id, r.doc_id): (r.offset, r.overlap) for r in chroma.search(df, df).collect()}
+    for q in (i for i in codes if i % 2 == 0):
+        m, k = q // 1000, q % 1000 // 2
+        offset = (25 if m >= chroma.MIN_OVERLAP else 0, m - 40, -11)[k % 3]
+        assert got[(q, q + 1)] == (offset, m) and got[(q + 1, q)] == (-offset, m), (q, m)
+
+
+def test_chroma_compares_all_against_all():
+    rng = np.random.default_rng(13)
+    room = chroma.Room()
+    for n, k in ((0, 0), (0, 5), (1, 1), (3, 40_000), (40_000, 2), (700, 90), (90, 700)):
+        a, b = (rng.integers(0, 2**64, x, dtype=np.uint64) & np.uint64(2**16 - 1) for x in (n, k))
+        got = sorted((int(i), int(j), int(n)) for found in room.close(a, b, 3) for i, j, n in zip(*found, strict=True))
+        wrong = np.bitwise_count(a[:, None] ^ b)
+        assert got == [(int(i), int(j), int(wrong[i, j])) for i, j in zip(*np.nonzero(wrong <= 3), strict=True)]
+
+
 def test_chroma_codes_together_and_search_in_many_tasks(spark):
     rng = random.Random(9)
     pcm = [b"", b"a", tone([220, 330], 3000), *(bytes(rng.randrange(256) for _ in range(n)) for n in (959, 960, 1024, 5000)), b"", b"\x80" * 2000, b""]
