@@ -6,8 +6,8 @@ three thresholds into two Gray-coded bits, pack every position into a 32-bit cod
 an offset where MIN_OVERLAP codes overlap, at most MAX_ERROR of their bits differ and each recording
 begins at least MIN_VOTES runs of equal codes (silence and held tones align with nothing). Overlaps under
 LONG codes lie at an end of a recording, or are all of it: these stretches are compared all against all,
-two middle codes first. Longer ones are looked for where two codes that begin runs, and those before them,
-agree in a seed, a choice of their bits, and the codes around are near. So bits may be wrong in every code;
+two middle codes first. Longer ones are looked for where two codes, and those SEED_STEP before them (a run begins
+in between), agree in a seed, a choice of their bits, and the codes around are near. So bits may be wrong in every code;
 the equal ones that begin runs are the votes. Of the accepted offsets found the one with the most votes is
 given (ties: the most bits that agree beyond half, the smallest shift, the earlier).
 
@@ -52,14 +52,14 @@ BLOCK_CODES = 2_000_000
 #: Overlaps under LONG codes are compared all against all; longer ones are looked for where SEED_BITS chosen bits of a code
 #: and as many of the code SEED_STEP before it agree, for SEEDS choices, and the two differ in at most SEED_WRONG bits.
 LONG = 16
-SEEDS, SEED_BITS, SEED_STEP, SEED_WRONG = 12, 6, 6, 12
+SEEDS, SEED_BITS, SEED_STEP, SEED_WRONG = 16, 6, 6, 12
 #: Steps from such a code to two between, then pairs of steps to others; and the most wrong bits by the number of codes so far: a little over MAX_ERROR.
 BETWEEN, BESIDE = (-2, -4), [(3, -9), (6, -12)]
 MOST_WRONG = np.array([0, 7, 14, 21, 28, 35, 41, 47, 52], np.uint8)
 #: Wrong bits by which the codes of a short overlap that were compared first, the two middle ones, may exceed their share.
 SLACK = 7
-#: Items of arrays, of tables of all against all, and pairs of places that are worked on at a time.
-_FLAT, _DENSE, _PAIRS = 100_000, 32_768, 50_000_000_000
+#: Items of arrays, of tables of all against all, and alignments to be verified that are worked on at a time.
+_FLAT, _DENSE, _HELD = 100_000, 32_768, 4_000_000
 #: Samples of recordings that the filters go over together.
 _SAMPLES = 500_000
 #: Frames that are transformed at a time.
@@ -219,6 +219,7 @@ class Recordings:
         self.begins = np.zeros(len(self.codes), bool)
         self.begins[np.repeat(self.first, [len(s) for s in starts]) + np.concatenate([np.empty(0, np.int64), *starts])] = True
         self.n_begins = np.r_[0, np.cumsum(self.begins)]
+        self.next = self.two(1)
 
     def two(self, step: int) -> np.ndarray:
         """Each code and, in the upper half, the one step further (anything at the end)."""
@@ -231,8 +232,9 @@ class Recordings:
         return tuple(x[self.n_begins[x + m] - self.n_begins[x] >= min(MIN_VOTES, m)] for x in found)
 
     def places(self) -> np.ndarray:
-        """The run starts in recordings of at least LONG codes with a code SEED_STEP before."""
-        return np.flatnonzero(self.begins & (self.length >= LONG)[self.of] & (np.arange(len(self.codes)) - self.first[self.of] >= SEED_STEP))
+        """The codes of recordings of at least LONG codes where a run begins since the code SEED_STEP before."""
+        at = np.flatnonzero((self.length >= LONG)[self.of] & (np.arange(len(self.codes)) - self.first[self.of] >= SEED_STEP))
+        return at[self.n_begins[at + 1] > self.n_begins[at + 1 - SEED_STEP]]
 
     def beside(self, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each pair of steps of BESIDE, the codes so far from each place in one integer, and the bits of those that there are."""
@@ -330,11 +332,23 @@ class Queries:
             tables = np.array([_gather(int(mask)) for mask in masks])
             self.index.append((tables, *self.places.by_key(tables)))
 
-    def _long(self, r: Recordings, places: np.ndarray) -> np.ndarray:
-        """(query, recording, offset) of overlaps of at least LONG codes where a seed holds at one of the places and the codes beside it are near."""
-        q, p = self.places, Places(r, places)
+    def _long(self, r: Recordings) -> Iterator[np.ndarray]:
+        """(query, recording, offset) of overlaps of at least LONG codes where a seed holds at one of the places and the codes beside it are near.
+
+        Up to about _HELD at a time, each once among them.
+        """
+        q, p = self.places, Places(r, r.places())
         width = int(max(self.all.length.max(initial=1), r.length.max(initial=1)) + 1).bit_length() + 1
-        found = [np.empty(0, np.int64)]
+
+        def once(found: list[np.ndarray]) -> np.ndarray:
+            key = np.sort(np.concatenate(found))
+            return key[np.r_[True, key[1:] != key[:-1]]]
+
+        def apart(key: np.ndarray) -> np.ndarray:
+            pair = key >> width
+            return np.stack([pair // len(r.length), pair % len(r.length), (key & (1 << width) - 1) - (1 << width - 1)])
+
+        found, n = [], 0
         for tables, first, order in self.index:
             first_p, order_p = p.by_key(tables)
             value, between, value_p, between_p = q.value[order], q.between[order], p.value[order_p], p.between[order_p]
@@ -354,11 +368,17 @@ class Queries:
                     at, of, wrong, bits = at[near], of[near], wrong[near], bits[near]
                 some = np.flatnonzero(np.minimum(q.at[of], p.at[at]) + np.minimum(q.left[of], p.left[at]) >= LONG)
                 of, at = of[some], at[some]
-                found.append((q.of[of] * len(r.length) + p.of[at] << width) + (p.at[at] - q.at[of] + (1 << width - 1)))
-        key = np.sort(np.concatenate(found))
-        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
-        pair = key >> width
-        return np.stack([pair // len(r.length), pair % len(r.length), (key & (1 << width) - 1) - (1 << width - 1)])
+                if len(of):
+                    found.append((q.of[of] * len(r.length) + p.of[at] << width) + (p.at[at] - q.at[of] + (1 << width - 1)))
+                    n += len(of)
+                if n >= _HELD:
+                    found = [once(found)]
+                    n = len(found[0])
+                    if n >= _HELD // 2:
+                        yield apart(found[0])
+                        found, n = [], 0
+        if found:
+            yield apart(once(found))
 
     def _short(self, r: Recordings) -> Iterator[np.ndarray]:
         """(query, recording, offset) of overlaps under LONG codes: such an overlap is all of one of them, or the end of one and the beginning of the other."""
@@ -394,10 +414,10 @@ class Queries:
         shorter = np.minimum(q.length[own], r.length[to])
         some = np.flatnonzero((m >= np.minimum(MIN_OVERLAP, shorter)) & (changes >= np.minimum(MIN_VOTES, shorter)))
         own, to, offset, m, a, b = (x[some] for x in (own, to, offset, m, a, b))
-        wrong, half, x, y = np.zeros(len(m), np.int64), (m + 1) // 2, q.two(1), r.two(1)
+        wrong, half = np.zeros(len(m), np.int64), (m + 1) // 2
         for piece in _pieces(half):
             n, step = half[piece], 2 * _runs(half[piece])
-            apart = x[np.repeat(a[piece], n) + step] ^ y[np.repeat(b[piece], n) + step]
+            apart = q.next[np.repeat(a[piece], n) + step] ^ r.next[np.repeat(b[piece], n) + step]
             ends = np.cumsum(n)
             apart[ends[m[piece] % 2 == 1] - 1] &= np.uint64(2**32 - 1)
             wrong[piece] = np.add.reduceat(np.bitwise_count(apart), ends - n, dtype=np.int64)
@@ -418,16 +438,13 @@ class Queries:
         q, r = self.all, Recordings(recordings)
         if not len(q.codes) or not len(r.codes):
             return
-        places = r.places()
-        size = max(1, _PAIRS // max(1, len(self.places.of)))
-        parts = [self._verify(r, found) for found in self._short(r)]
-        parts += [self._verify(r, self._long(r, places[at : at + size])) for at in range(0, len(places), size)]
+        parts = [self._verify(r, found) for stage in (self._short, self._long) for found in stage(r)]
         if not parts:
             return
         own, to, offset, m, votes, error = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((offset, np.abs(offset), m * (2 * error - 1), -votes, to, own))
         own, to, offset, m, votes, error = (x[order] for x in (own, to, offset, m, votes, error))
-        # a pair that is found from places of two parts comes twice, and stays once
+        # an alignment may come from two parts; a pair stays once
         best = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (to[1:] != to[:-1])]) if len(own) else []
         for i in best:
             yield int(own[i]), int(to[i]), int(offset[i]), int(votes[i]), int(m[i]), float(error[i])

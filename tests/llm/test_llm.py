@@ -561,6 +561,12 @@ def test_chroma_finds_every_short_overlap(spark):
         assert got[(q, q + 1)] == (offset, m) and got[(q + 1, q)] == (-offset, m), (q, m)
 
 
+def test_chroma_looks_for_long_overlaps_around_each_run_start():
+    held = np.repeat(np.array([5, 9], np.uint32), 10)  # the other recording may change a little sooner or later
+    r = chroma.Recordings([held, held[: chroma.LONG - 1], np.full(30, 7, np.uint32), held])
+    assert r.places().tolist() == [*range(10, 10 + chroma.SEED_STEP), *range(75, 75 + chroma.SEED_STEP)]
+
+
 def test_chroma_compares_all_against_all():
     rng = np.random.default_rng(13)
     room = chroma.Room()
