@@ -424,3 +424,16 @@ def test_sole_annotated_agreement_and_continuity(spark):
     assert {r.name: r.rep for r in X.with_representatives(peaks, names).collect()} == {"a": 15, "b": 10}
     hits = spark.createDataFrame([("x", "none", 10), ("x", "zmw", 30), ("y", "zmw", 5), ("z", "strip_ccs", 4), ("z", "zmw", 4)], "column string, mode string, hits long")
     assert {(r.column, r.mode) for r in X.safe_modes(hits).where("unsafe").collect()} == {("x", "zmw"), ("y", "zmw")}
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_name_hits_counts_before_it_joins(spark):
+    # a value that fills a column is one row of a task when names meet; all readings meet in one join
+    t = spark.createDataFrame([("r/1/ccs/0_5", "r/1", "N")] * 3 + [("r/1/ccs", None, "N"), ("r/9/ccs/1_2", "r/2", "N")], "a string, b string, c string")
+    names = spark.createDataFrame([("r/1/ccs",), ("r/1/ccs",), ("r/2/ccs",), (None,)], "read_name string")
+    got = X.name_hits(t, ["a", "b", "c"], names, ["none", "strip_segment", "strip_ccs", "zmw"])
+    assert rows(got.select("column", "mode", "hits")) == [("a", "none", 1), ("a", "strip_ccs", 4), ("a", "strip_segment", 4), ("a", "zmw", 4), ("b", "strip_ccs", 4), ("b", "zmw", 4)]
+    assert plan_of(got).count("Join ") == 1
