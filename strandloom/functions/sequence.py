@@ -46,11 +46,11 @@ def polya_motif(upstream: Column, strict: bool = True, least: int = 10, most: in
     The distance runs from the hexamer's first base to the sequence's end.
     """
     n = F.length(upstream)
-    starts = F.sequence(F.lit(1), F.greatest(n - 5, F.lit(1)))
+    first = F.greatest(n - most + 1, F.lit(1))
 
     def best(motif: str) -> Column:
-        hits = F.filter(starts, lambda i: (F.substring(upstream, i, F.lit(6)) == motif) & (n - i + 1).between(least, most))
-        return F.when(F.size(hits) > 0, F.struct(F.lit(motif).alias("motif"), (n - F.array_min(hits) + 1).alias("dist")))
+        at = F.position(F.lit(motif), upstream, first)  # the leftmost from there on; 0 without one
+        return F.when((at > 0) & (at <= n - least + 1), F.struct(F.lit(motif).alias("motif"), (n - at + 1).alias("dist")))
 
     return F.when(n >= 6, F.coalesce(*map(best, STRICT_HEXAMERS if strict else HEXAMERS)))
 

@@ -437,3 +437,22 @@ def test_name_hits_counts_before_it_joins(spark):
     got = X.name_hits(t, ["a", "b", "c"], names, ["none", "strip_segment", "strip_ccs", "zmw"])
     assert rows(got.select("column", "mode", "hits")) == [("a", "none", 1), ("a", "strip_ccs", 4), ("a", "strip_segment", 4), ("a", "zmw", 4), ("b", "strip_ccs", 4), ("b", "zmw", 4)]
     assert plan_of(got).count("Join ") == 1
+
+
+@pytest.mark.parametrize("strict, least, most", [(True, 10, 40), (False, 10, 40), (False, 6, 12), (False, 0, 99)])
+def test_hexamers_by_the_rule(spark, strict, least, most):
+    from strandloom.functions import sequence as S
+
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("AAAATTGC") for _ in range(n)) for n in range(60) for _ in range(4)]
+
+    def brute(s):
+        for m in S.STRICT_HEXAMERS if strict else S.HEXAMERS:
+            for i in range(len(s) - 5):
+                if s[i : i + 6] == m and least <= len(s) - i <= most:
+                    return m, len(s) - i
+        return None
+
+    df = spark.createDataFrame([(s,) for s in [*seqs, None]], "s string").select("s", S.polya_motif(F.col("s"), strict, least, most).alias("m"))
+    assert all((r.m and tuple(r.m)) == (None if r.s is None else brute(r.s)) for r in df.collect())
+    assert "lambda" not in plan_of(df)  # no walk over positions in array functions, which run a node at a time
