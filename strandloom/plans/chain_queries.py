@@ -70,8 +70,10 @@ def maximal_parents(spark, d):
 MAXIMAL = V.sql("gr tj", _MAX + " SELECT contig, strand, chain, parent FROM mp")
 
 
-def resolved(spark, d):
-    return C.resolve_suffixes(with_tss(marked(spark, d).where("candidate"), spark, d))
+def resolved(spark, d, groups=None):
+    """Decisions on the candidates; groups: marked()'s, where the caller has them already."""
+    g = marked(spark, d) if groups is None else groups
+    return C.resolve_suffixes(with_tss(g.where("candidate"), spark, d))
 
 
 def suffix_resolution_class(spark, d):
@@ -92,7 +94,8 @@ RESOLUTION = V.sql("gr tj tc rd", _RESOLVE + " SELECT contig, strand, chain, n_p
 
 
 def subthreshold_rehome(spark, d):
-    return C.rehome(marked(spark, d), resolved(spark, d)).select("contig", "strand", R(F.col("chain")).alias("chain"), "n_reads", "n_parents", "merge_class", R(F.col("target")).alias("target"))
+    g = marked(spark, d)  # once: each call of it reads and groups all reads
+    return C.rehome(g, resolved(spark, d, g)).select("contig", "strand", R(F.col("chain")).alias("chain"), "n_reads", "n_parents", "merge_class", R(F.col("target")).alias("target"))
 
 
 _REHOME = _RESOLVE + """,
@@ -106,7 +109,8 @@ REHOME = V.sql("gr tj tc rd", _REHOME + " SELECT contig, strand, chain, n_reads,
 def exact_chain_fraction(spark, d):
     """Of the reads that a chain ends up with, the share that had it from the start."""
     g = marked(spark, d)
-    mapping = C.rehome(g, resolved(spark, d)).select(*C.KEY, "target").unionByName(resolved(spark, d).select(*C.KEY, "target"))
+    merged = resolved(spark, d, g)
+    mapping = C.rehome(g, merged).select(*C.KEY, "target").unionByName(merged.select(*C.KEY, "target"))
     folded = C.fold(V.reads(spark, d).select("read_id", *C.KEY), mapping)
     return folded.groupBy("contig", "strand", "root").agg(F.count("*").alias("n_reads"), F.round(F.avg((F.col("chain") == F.col("root")).cast("int")), 6).alias("exact_fraction"), F.count_distinct("chain").alias("n_chains")).withColumn("root", R(F.col("root")))
 

@@ -439,6 +439,21 @@ def test_name_hits_counts_before_it_joins(spark):
     assert plan_of(got).count("Join ") == 1
 
 
+def test_each_query_groups_the_reads_once(spark, monkeypatch):
+    from strandloom.plans import chain_queries as Q
+
+    g = groups(spark, {"12": (50, False, False), "32": (50, False, False), "2": (2, False, False), "45": (9, False, False), "5": (1, False, False), "7": (1, False, False)}).withColumn("candidate", F.col("support") > 5)
+    calls = []
+    monkeypatch.setattr(Q, "marked", lambda spark, d: calls.append(1) or g)
+    monkeypatch.setattr(Q, "with_tss", lambda df, spark, d: df)
+    monkeypatch.setattr(Q.V, "reads", lambda spark, d: g.select(F.col("first_read").alias("read_id"), "contig", "strand", "chain"))
+    got = {r.chain: (r.merge_class, r.target) for r in Q.subthreshold_rehome(spark, "").collect()}
+    assert got["5000-5500"] == ("subthreshold_merge", "4000-4500;5000-5500") and got["7000-7500"] == ("dropped_no_parent", None)
+    assert len(calls) == 1
+    got = {r.root: (r.n_reads, r.exact_fraction) for r in Q.exact_chain_fraction(spark, "").collect()}
+    assert len(calls) == 2 and got["4000-4500;5000-5500"] == (2, 0.5) and sum(n for n, _ in got.values()) == 6
+
+
 @pytest.mark.parametrize("strict, least, most", [(True, 10, 40), (False, 10, 40), (False, 6, 12), (False, 0, 99)])
 def test_hexamers_by_the_rule(spark, strict, least, most):
     from strandloom.functions import sequence as S
