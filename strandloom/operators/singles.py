@@ -37,16 +37,19 @@ def judge(
             "_tight": F.coalesce("motif_found", F.lit(False)) & F.coalesce(F.col("dispersion") <= most_dispersion, F.lit(False)),
         }
     )
-    m = spliced.select("gene_id", "model_id", F.col("s").alias("ms"), F.col("e").alias("me"), F.col("three").alias("m3"), "place")
-    shared = F.least("e", "me") - F.greatest("s", "ms")
-    near = F.abs(F.col("m3") - F.col("three"))
-    # a cluster meets the models of its gene alone, and is one row again at once
-    hits = c.where(F.col("category") == UTR3).select("id", "gene_id", "s", "e", "three").join(m, "gene_id").groupBy("id").agg(
-        F.min_by("model_id", F.when((F.col("ms") <= F.col("s")) & (F.col("me") >= F.col("e")), F.col("place"))).alias("_inside"),
-        F.min(F.when(shared >= 0.5 * (F.col("e") - F.col("s")), F.struct((-shared).alias("o"), "place", "model_id")))["model_id"].alias("_over"),
-        F.min(F.when(near <= max_3p_diff, F.struct(near.alias("d"), "place", "model_id")))["model_id"].alias("_ends"),
-    )
-    c = c.join(hits, "id", "left")
+    # a gene's models are one row, in the order that breaks ties: a cluster is never multiplied by them
+    m = spliced.where("gene_id IS NOT NULL").groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("place", "model_id", F.col("s").alias("ms"), F.col("e").alias("me"), F.col("three").alias("m3")))).alias("_models"))
+    shared = lambda x: F.least(F.col("e"), x["me"]) - F.greatest(F.col("s"), x["ms"])
+    near = lambda x: F.abs(x["m3"] - F.col("three"))
+    chosen = lambda test, by: F.array_min(F.transform(F.filter("_models", test), lambda x: F.struct(by(x).alias("o"), x["place"].alias("place"), x["model_id"].alias("model_id"))))["model_id"]
+    c = c.join(m, "gene_id", "left").withColumn("_models", F.when(F.col("category") == UTR3, F.col("_models")))
+    c = c.withColumns(
+        {
+            "_inside": F.get(F.filter("_models", lambda x: (x["ms"] <= F.col("s")) & (x["me"] >= F.col("e"))), F.lit(0))["model_id"],
+            "_over": chosen(lambda x: shared(x) >= 0.5 * (F.col("e") - F.col("s")), lambda x: -shared(x)),
+            "_ends": chosen(lambda x: near(x) <= max_3p_diff, near),
+        }
+    ).drop("_models")
     open_end = (F.col("category") == UTR3) & ~(F.col("_ann") | F.col("_site") | F.col("_tight"))
     contained = open_end & F.col("_inside").isNotNull()
     goes_on = open_end & ~F.coalesce("step_supported", F.lit(True)) & F.col("_over").isNotNull()

@@ -471,3 +471,23 @@ def test_hexamers_by_the_rule(spark, strict, least, most):
     df = spark.createDataFrame([(s,) for s in [*seqs, None]], "s string").select("s", S.polya_motif(F.col("s"), strict, least, most).alias("m"))
     assert all((r.m and tuple(r.m)) == (None if r.s is None else brute(r.s)) for r in df.collect())
     assert "lambda" not in plan_of(df)  # no walk over positions in array functions, which run a node at a time
+
+
+def test_single_exon_rules_meet_a_gene_in_one_row(spark):
+    from strandloom.operators import singles as O
+
+    fields = {"d_site": "long", "d_tts": "long", "dispersion": "double", "motif_found": "boolean", "internal_priming": "boolean", "polya_supported": "boolean", "tail_share": "double", "step_supported": "boolean"}
+    data = [(1, "g", 120, 180, 180, 0.9), (2, "g", 380, 480, 480, 0.9), (3, "g", 900, 950, 1010, 0.9), (4, "g", 120, 180, 180, 0.1), (5, None, 120, 180, 180, 0.9), (6, "x", 120, 180, 180, 0.9)]
+    c = spark.createDataFrame([(*r, 20, 5, 4) for r in data], "id long, gene_id string, s long, e long, three long, in_terminal double, n_reads long, n_mols long, n_cells long").withColumns({"in_utr3": F.lit(0.0), **{k: F.lit(None).cast(t) for k, t in fields.items()}})
+    c = c.withColumn("step_supported", F.col("id") != 2)
+    m = spark.createDataFrame([("g", "b", 100, 400, 400, 2), ("g", "a", 110, 420, 420, 3), ("g", "z", 0, 460, 1000, 1), ("g", "n", 500, 1000, 1020, 4), (None, "u", 100, 400, 180, 0)], "gene_id string, model_id string, s long, e long, three long, place long")
+    got = O.judge(c, m)
+    assert {r.id: (r.category, r.outcome, r.target) for r in got.collect()} == {
+        1: ("monoexon_3UTR", "demoted_fragment", "z"),
+        2: ("monoexon_3UTR", "sr_continuation", "z"),
+        3: ("monoexon_3UTR", "demoted_fragment", "n"),
+        4: ("monoexon_internal", "no_polya", None),
+        5: ("monoexon_intergenic", "no_polya", None),
+        6: ("monoexon_3UTR", "kept", None),
+    }
+    assert plan_of(got).count("Join ") == 1  # a gene's models as one row: nothing is grouped back by cluster
