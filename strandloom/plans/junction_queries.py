@@ -8,6 +8,7 @@ from ..functions import sequence as S
 from ..operators import joins as J
 from ..operators import junctions as N
 from . import virtual as V
+from .lineage import cut
 
 
 def records(spark, d, displaced=False):
@@ -142,11 +143,14 @@ def constitutive_introns(spark, d):
 CONSTITUTIVE = V.sql("tx", _EXONS + ", nx AS (SELECT gene_id, contig, strand, e AS s, lead(s) OVER (PARTITION BY gene_id ORDER BY s) AS e FROM un) SELECT * FROM nx WHERE e IS NOT NULL")
 
 
-def gene_assignment_max_overlap(spark, d):
-    """Of each single-exon read: the gene whose exons it overlaps most; ties to the first id; none without overlap."""
-    r = V.mono_reads(spark, d).select("read_id", "contig", "strand", F.col("start").alias("s"), F.col("end").alias("e"))
+def gene_assignment_max_overlap(spark, d, reads=None):
+    """Of each single-exon read: the gene whose exons it overlaps most; ties to the first id; none without overlap.
+
+    reads: mono_reads(), kept, where the caller has them; each call of it sorts all line items' keys anew.
+    """
+    r = (cut(V.mono_reads(spark, d)) if reads is None else reads).select("read_id", "contig", "strand", F.col("start").alias("s"), F.col("end").alias("e"))
     u = J.interval_union(tx_exons(spark).select("gene_id", "contig", "strand", "s", "e"), ["gene_id", "contig", "strand"]).select("gene_id", "contig", "strand", F.col("s").alias("rs"), F.col("e").alias("re"))
-    hit = J.interval_join(r, u, ["contig", "strand"], 4096)
+    hit = J.interval_join(r, F.broadcast(u), ["contig", "strand"], 4096)  # the annotation's size; reads of a hot bin stay where they are
     bp = F.least("e", "re") - F.greatest("s", "rs")
     sums = hit.groupBy("read_id", "gene_id").agg(F.sum(bp).alias("bp"))
     best = sums.groupBy("read_id").agg(F.min(F.struct(-F.col("bp"), F.col("gene_id"))).alias("b"), F.count("*").alias("n_genes"))

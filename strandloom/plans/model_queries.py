@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..operators import models as M
 from . import virtual as V
+from .lineage import cut
 
 G = ["contig", "strand", "chain"]
 
@@ -213,9 +214,10 @@ def gene_structure(spark):
 def monoexon_class(spark, d):
     from .junction_queries import gene_assignment_max_overlap
 
-    r = V.mono_reads(spark, d).join(gene_assignment_max_overlap(spark, d).select("read_id", "gene_id"), "read_id")
+    m = cut(V.mono_reads(spark, d))
+    r = m.join(gene_assignment_max_overlap(spark, d, m).select("read_id", "gene_id"), "read_id")
     genes = gene_structure(spark).withColumn("n_mono", F.when(F.col("gene_id").startswith("g2.3"), 1).otherwise(F.col("n_mono"))).withColumn("n_multi", F.when(F.col("gene_id").startswith("g2.4"), 0).otherwise(F.col("n_multi")))
-    return M.monoexon_class(r.select(F.col("read_id").alias("model_id"), "gene_id", F.col("start").alias("s"), F.col("end").alias("e")), genes)
+    return M.monoexon_class(r.select(F.col("read_id").alias("model_id"), "gene_id", F.col("start").alias("s"), F.col("end").alias("e")), F.broadcast(genes))  # a row for each gene
 
 
 def _mono() -> str:

@@ -491,3 +491,16 @@ def test_single_exon_rules_meet_a_gene_in_one_row(spark):
         6: ("monoexon_3UTR", "kept", None),
     }
     assert plan_of(got).count("Join ") == 1  # a gene's models as one row: nothing is grouped back by cluster
+
+
+def test_single_exon_reads_are_found_once(spark, monkeypatch):
+    from strandloom.plans import junction_queries as Q
+    from strandloom.plans import model_queries as MQ
+
+    r = spark.range(1, 3).select(F.col("id").alias("read_id"), (F.col("id") * 0).alias("contig"), F.lit("+").alias("strand"), F.when(F.col("id") == 1, 1600).otherwise(90_000).cast("long").alias("start"), F.when(F.col("id") == 1, 1900).otherwise(90_100).cast("long").alias("end"))
+    monkeypatch.setattr(Q.V, "mono_reads", lambda spark, d: r)
+    classes = MQ.monoexon_class(spark, "")
+    assert rows(classes.select("model_id", "gene_id", "class"))[0][:2] == (1, "g1.0p") and "Range (" not in plan_of(classes)
+    got = Q.gene_assignment_max_overlap(spark, "")
+    assert rows(got.select("read_id", "gene_id", "overlap_bp")) == [(1, "g1.0p", 300), (2, None, None)]
+    assert "strategy=broadcast" in plan_of(got)
