@@ -81,7 +81,7 @@ b AS (SELECT contig, strand, pos, arg_min(site, (abs(site - pos), site)) AS site
 
 def splice_site_snap_map(spark, d):
     ann = V.transcript_junctions(spark).where("contig % 2 = 0")
-    j = junction_census(spark, d)
+    j = cut(junction_census(spark, d).select(*N.KEY, "n_reads"))  # junctions, not reads: read by every later step
     return N.snap_map(j, ann, "donor").withColumn("site", F.lit("donor")).unionByName(N.snap_map(j, ann, "acceptor").withColumn("site", F.lit("acceptor")))
 
 

@@ -504,3 +504,13 @@ def test_single_exon_reads_are_found_once(spark, monkeypatch):
     got = Q.gene_assignment_max_overlap(spark, "")
     assert rows(got.select("read_id", "gene_id", "overlap_bp")) == [(1, "g1.0p", 300), (2, None, None)]
     assert "strategy=broadcast" in plan_of(got)
+
+
+def test_snap_map_reads_the_junctions_once(spark, monkeypatch):
+    from strandloom.plans import junction_queries as Q
+
+    census = spark.range(4).select((F.col("id") * 0 + 1).alias("contig"), F.lit("+").alias("strand"), (F.col("id") * 3 + 1000).alias("donor"), (F.col("id") * 3 + 1500).alias("acceptor"), (F.col("id") + 1).alias("n_reads"))
+    monkeypatch.setattr(Q, "junction_census", lambda spark, d: census)
+    got = Q.splice_site_snap_map(spark, "")
+    assert "Range (" not in plan_of(got)
+    assert rows(got.where("site = 'donor'").select("pos", "to")) == [(1000, 1003), (1003, 1003), (1006, 1009), (1009, 1009)]
